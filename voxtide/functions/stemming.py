@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The suffix tables of the published algorithm.
 STEP2 = (
@@ -93,7 +94,7 @@ def stem_word(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stem_arrays(tokens: pd.Series) -> pd.Series:
     # Each distinct word of the Arrow batch is stemmed once. No shuffle: joining
     # a table of stems back to the tokens would move every token of the corpus.

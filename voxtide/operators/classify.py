@@ -30,6 +30,7 @@ GRIDS = {
     "svm": {"C": [0.1, 1.0, 10.0]},
 }
 DEEPEST = 30
+TOLERANCE = 1e-4
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -66,7 +67,7 @@ def make_estimator(model: str, rows: int, classes: int, seed: int = 42, **point)
     """Estimator with the default hyper-parameters, overridden by `point`."""
     if model == "logistic_regression":
         return LogisticRegression(
-            labelCol="label", weightCol="weight", maxIter=1000, elasticNetParam=0.0, standardization=False,
+            labelCol="label", weightCol="weight", maxIter=1000, tol=TOLERANCE, elasticNetParam=0.0, standardization=False,
             family="multinomial" if classes > 2 else "binomial", **_params(model, {"C": 1.0, **point}, rows),
         )
     if model == "naive_bayes":
@@ -78,7 +79,7 @@ def make_estimator(model: str, rows: int, classes: int, seed: int = 42, **point)
         )
     if model == "svm":
         svm = LinearSVC(
-            labelCol="label", weightCol="weight", maxIter=1000, standardization=False,
+            labelCol="label", weightCol="weight", maxIter=1000, tol=TOLERANCE, standardization=False,
             **_params(model, {"C": 1.0, **point}, rows),
         )
         return svm if classes <= 2 else OneVsRest(classifier=svm, labelCol="label", weightCol="weight")
@@ -97,13 +98,23 @@ def train(df: DataFrame, label: str, model: str = "logistic_regression", seed: i
             inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"
         ).fit(rows)
         estimator = make_estimator(model, rows.count(), len(indexer.labels), seed, **point)
-        fitted = estimator.fit(indexer.transform(rows))
+        indexed = indexer.transform(rows)
+        fitted = estimator.fit(indexed)
+        if model == "naive_bayes":
+            fitted.setThresholds(_plain_priors(indexed, fitted.getSmoothing()))
     finally:
         rows.unpersist()
     names = IndexToString(inputCol="prediction", outputCol=f"predicted_{label}", labels=indexer.labels)
     return PipelineModel([fitted, names])
 
 
+def _plain_priors(indexed: DataFrame, smoothing: float) -> list[float]:
+    """Thresholds that undo the smoothing of class priors (term counts stay smoothed)."""
+    counts = [row["count"] for row in indexed.groupBy("label").count().orderBy("label").collect()]
+    n, k = sum(counts), len(counts)
+    return [((c + smoothing) / (n + k * smoothing)) / (c / n) for c in counts]
+
+
 def predict(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
     """Add `predicted_<label>` and, where the model has one, the winning probability."""
     scored = model.transform(df)
@@ -156,7 +167,7 @@ def tune(
         rows.unpersist()
     chosen = {param.name: value for param, value in points[best].items()}
     names = IndexToString(inputCol="prediction", outputCol=f"predicted_{label}", labels=indexer.labels)
-    return chosen, search.avgMetrics[best], PipelineModel([search.bestModel, names])
+    return chosen, float(search.avgMetrics[best]), PipelineModel([search.bestModel, names])
 
 
 def naive_bayes_likelihoods(df: DataFrame, label: str, model: PipelineModel, vocabulary: Vocabulary,

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def svd_basis(df: DataFrame, features: str = "features", k: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Largest k singular values and right singular vectors (d × k) of the row matrix."""
-    rows = MLUtils.convertVectorColumnsFromML(df.select(features), features)
-    rows.cache()
-    try:
-        found = RowMatrix(rows).computeSVD(k, computeU=False)
-        return np.array(found.s.toArray()), found.V.toArray()
-    finally:
-        rows.unpersist()
-
-
 def sparse_columns(df: DataFrame, features: str, keep: Sequence[str]) -> DataFrame:
     """Vectors as arrays `indices` and `values`, the form that goes to Python tasks."""
     raw = F.unwrap_udt(features)
@@ -46,28 +34,82 @@ def densify(indices: pd.Series, values: pd.Series, width: int) -> np.ndarray:
 CHUNK = 512  # rows made dense at a time
 
 
+def dense_blocks(batches: Iterator[pd.DataFrame], width: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for at in range(0, len(batch), CHUNK):
+            part = batch.iloc[at : at + CHUNK]
+            yield densify(part["indices"], part["values"], width)
+
+
+def sum_over_tasks(data: DataFrame, work: Callable[[Iterator[np.ndarray]], np.ndarray], width: int) -> np.ndarray:
+    """Add up a matrix that each task computes from its dense blocks of rows.
+
+    Only the matrix leaves a task; matrices are added on the executors.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matrix = work(dense_blocks(batches, width))
+        yield pd.DataFrame({"row": np.arange(len(matrix), dtype="int32"), "part": list(matrix)})
+
+    parts = data.mapInPandas(run, "row int, part array<double>")
+    summed = parts.groupBy("row").agg(Summarizer.sum(array_to_vector("part")).alias("total"))
+    rows = summed.select("row", vector_to_array("total").alias("total")).orderBy("row").collect()
+    return np.array([row["total"] for row in rows])
+
+
+def svd_basis(df: DataFrame, width: int, features: str = "features", k: int = 50, oversample: int = 10,
+              passes: int = 7, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Largest k singular values and right singular vectors (width × k) of the row matrix.
+
+    Randomised subspace iteration (Halko, Martinsson, Tropp 2011): each pass over the
+    rows returns XᵀXQ for a thin basis Q, which the driver makes orthonormal again.
+    """
+    size = min(k + oversample, width)
+    spark = df.sparkSession
+    data = sparse_columns(df, features, []).cache()
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, size)))
+    for step in range(passes):
+        sent = spark.sparkContext.broadcast(basis)
+        last = step == passes - 1
+
+        def work(blocks: Iterator[np.ndarray]) -> np.ndarray:
+            q = sent.value
+            out = np.zeros((size, size if last else width))
+            for block in blocks:
+                image = block @ q
+                out += image.T @ (image if last else block)
+            return out
+
+        found = sum_over_tasks(data, work, width)
+        sent.unpersist()
+        if not last:
+            basis, _ = np.linalg.qr(found.T)
+    data.unpersist()
+    values, vectors = np.linalg.eigh((found + found.T) / 2)
+    order = np.argsort(values)[::-1][:k]
+    return np.sqrt(np.maximum(values[order], 0.0)), basis @ vectors[:, order]
+
+
 def project(df: DataFrame, basis: np.ndarray, features: str = "features", keep: Sequence[str] = ("doc_id",),
             output: str = "reduced") -> DataFrame:
     """Multiply each row by a (d × k) basis that is sent to the tasks once."""
     sent = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(basis))
     sparse = sparse_columns(df, features, keep)
-    schema = T.StructType([sparse.schema[c] for c in keep]).add(output, "array<double>")
+    schema = T.StructType([sparse.schema[c] for c in keep]).add(output, T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = sent.value
         for batch in batches:
-            for at in range(0, len(batch), CHUNK):
-                part = batch.iloc[at : at + CHUNK]
-                block = densify(part["indices"], part["values"], weights.shape[0])
-                yield part[list(keep)].assign(**{output: list(block @ weights)})
+            images = [block @ weights for block in dense_blocks(iter([batch]), weights.shape[0])]
+            yield batch[list(keep)].assign(**{output: [row for image in images for row in image]})
 
     return sparse.mapInPandas(run, schema)
 
 
-def truncated_svd(df: DataFrame, features: str = "features", keep: Sequence[str] = ("doc_id",), k: int = 50,
-                  output: str = "reduced") -> DataFrame:
+def truncated_svd(df: DataFrame, width: int, features: str = "features", keep: Sequence[str] = ("doc_id",),
+                  k: int = 50, output: str = "reduced") -> DataFrame:
     """Rows in the space of the k largest singular vectors (scaled by the singular values)."""
-    _, basis = svd_basis(df, features, k)
+    _, basis = svd_basis(df, width, features, k)
     # The sign of a singular vector is arbitrary: make its largest entry positive.
     signs = np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])])
     return project(df, basis * signs, features, keep, output)

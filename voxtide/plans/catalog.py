@@ -1,6 +1,9 @@
 """All registered queries."""
 
-from voxtide.plans import rows_queries, series_queries, stats_queries  # noqa: F401
+from voxtide.plans import (  # noqa: F401
+    rows_queries, stats_queries, series_queries, store_queries, text_queries, metric_queries,
+    model_queries, stream_queries,
+)
 from voxtide.plans.registry import QUERIES
 from voxtide.plans.series_queries import flagship
 
