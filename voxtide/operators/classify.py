@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from voxtide.operators.features import Vocabulary, term_table, vectorize
 from voxtide.operators.metrics import full_report, scores
 from voxtide.operators.numbering import modulo, rank_in_groups
+from voxtide.session import compact
 
 MODELS = ("logistic_regression", "naive_bayes", "random_forest", "svm")
 
@@ -82,7 +83,7 @@ def make_estimator(model: str, rows: int, classes: int, seed: int = 42, **point)
             labelCol="label", weightCol="weight", maxIter=1000, tol=TOLERANCE, standardization=False,
             **_params(model, {"C": 1.0, **point}, rows),
         )
-        return svm if classes <= 2 else OneVsRest(classifier=svm, labelCol="label", weightCol="weight")
+        return svm if classes <= 2 else OneVsRest(classifier=svm, labelCol="label", weightCol="weight", parallelism=4)
     raise ValueError(f"unknown model type: {model}")
 
 
@@ -97,8 +98,9 @@ def train(df: DataFrame, label: str, model: str = "logistic_regression", seed: i
         indexer = StringIndexer(
             inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"
         ).fit(rows)
-        estimator = make_estimator(model, rows.count(), len(indexer.labels), seed, **point)
-        indexed = indexer.transform(rows)
+        n = rows.count()
+        estimator = make_estimator(model, n, len(indexer.labels), seed, **point)
+        indexed = compact(indexer.transform(rows), n)
         fitted = estimator.fit(indexed)
         if model == "naive_bayes":
             fitted.setThresholds(_plain_priors(indexed, fitted.getSmoothing()))
@@ -149,12 +151,13 @@ def tune(
     rows = with_weights(rows, label).withColumn(label, F.col(label).cast("string")).cache()
     try:
         indexer = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-        indexed = indexer.transform(rows)
-        base = make_estimator(model, rows.count(), len(indexer.labels), seed)
+        n = rows.count()
+        indexed = compact(indexer.transform(rows), n)
+        base = make_estimator(model, n, len(indexer.labels), seed)
         tuned = base.getClassifier() if isinstance(base, OneVsRest) else base
         builder = ParamGridBuilder()
         for name, values in grid.items():
-            spark_values = [_params(model, {name: v}, rows.count()) for v in values]
+            spark_values = [_params(model, {name: v}, n) for v in values]
             (spark_name,) = spark_values[0]
             builder = builder.addGrid(getattr(tuned, spark_name), [p[spark_name] for p in spark_values])
         points = builder.build()

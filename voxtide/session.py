@@ -65,3 +65,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def compact(df: DataFrame, n_rows: int, rows_per_task: int = 4096) -> DataFrame:
+    """Fewer, fuller tasks for a small table that is read over and over.
+
+    Iterative fits pay per task and round; tables of more rows than that keep their tasks.
+    """
+    tasks = max(1, -(-n_rows // rows_per_task))
+    return df.coalesce(tasks)
