@@ -82,7 +82,8 @@ def lemmatize(tokens: Column, lexicon: Mapping[str, str] | None = None) -> Colum
         return F.transform(tokens, lemma)
     pairs = [F.lit(part) for pair in lexicon.items() for part in pair]
     known = F.create_map(*pairs)
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(known, t), lemma(t)))
+    listed = list(lexicon)
+    return F.transform(tokens, lambda t: F.when(t.isin(listed), known[t]).otherwise(lemma(t)))
 
 
 def normalized_tokens(

@@ -19,13 +19,14 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _both_ways(edges)
-    joined = both.join(_lowest(both), "u").where(F.col("v") > F.col("u"))
+    lowest = materialize(_lowest(both), "lowest")
+    joined = both.join(lowest, "u").where(F.col("v") > F.col("u"))
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = _lowest(down)
+    lowest = materialize(_lowest(down), "lowest")
     moved = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(lowest.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
@@ -34,7 +35,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
     """(node, component) for all nodes with an edge to another node.
 
     A component is named by its smallest node. Hubs are never gathered in one place:
-    minima are combined before the shuffle, and joins on a hub are split when skewed.
+    minima are combined before the shuffle, and joins on a hub are split when skewed
+    (the minima are written out, as only plain shuffles can be split).
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct()
     pairs = materialize(pairs, "edges")

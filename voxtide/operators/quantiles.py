@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxtide.session import materialize
+
 SMALL_DOMAIN = 100_000  # distinct values that one aggregation buffer may hold
-CUTS = 1000
+CUTS, MOST_CUTS = 1000, 10_000
+PART_ROWS = 1_000_000  # aimed size of a value range
 
 
 def quantiles(
@@ -19,7 +22,7 @@ def quantiles(
     column: str,
     probabilities: Sequence[float],
     small_domain: int = SMALL_DOMAIN,
-    cuts: int = CUTS,
+    cuts: int | None = None,
 ) -> DataFrame:
     """One row per group with the array column `quantiles`.
 
@@ -30,10 +33,11 @@ def quantiles(
     looked at value by value. The table itself is never sorted or shuffled.
     """
     values = df.select(*groups, F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    distinct = values.agg(F.approx_count_distinct("v")).first()[0]
+    distinct, n = values.agg(F.approx_count_distinct("v"), F.count("v")).first()
     if distinct <= small_domain:
         grouped = values.groupBy(*groups) if groups else values
         return grouped.agg(F.percentile("v", [float(p) for p in probabilities]).alias("quantiles"))
+    cuts = cuts or min(MOST_CUTS, max(CUTS, n // PART_ROWS))
     return _by_narrowing(values, list(groups), list(probabilities), cuts)
 
 
@@ -62,6 +66,9 @@ def _by_narrowing(values: DataFrame, groups: list[str], probabilities: list[floa
         (F.col("t.at") - F.floor("t.at")).alias("frac"),
         F.explode(F.array_distinct(F.array(F.floor("t.at"), F.ceil("t.at")))).alias("pos"),
     ).where((F.col("pos") >= F.col("below")) & (F.col("pos") < F.col("below") + F.col("n")))
+    # A few rows per group. Their size is known once written: normally they are broadcast
+    # to the scan, so that only rows of the wanted ranges are shuffled.
+    targets = materialize(targets, "ranks")
 
     keys = [*groups, "part"]
     held = cut.join(targets.select(*keys).distinct(), keys, "left_semi")

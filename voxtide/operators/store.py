@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxtide.operators.numbering import number_rows
 from voxtide.schemas import STORE, require_columns
+from voxtide.session import materialize
 
 
 def text_key(text: Column) -> Column:
@@ -65,19 +66,20 @@ def ids_by_text(feedback: DataFrame, key: str = "id", text: str = "feedback_text
 def resolve(results: DataFrame, feedback: DataFrame, key: str = "id", text: str = "feedback_text") -> DataFrame:
     """Attach feedback ids to result rows by text; rows with unknown texts are dropped.
 
-    `ids_by_text` has one row per text, so a text repeated in the results is hot on one
-    side only, which the adaptive skew join splits.
+    The ids have one row per text, so a text repeated in the results is hot on one side
+    only. They are written out first: the planner then knows their size, and the
+    adaptive skew join, which splits plain shuffles only, can split the hot text.
     """
     require_columns(results, ["text"])
     keyed = results.withColumn("_text", text_key(F.col("text"))).drop("text")
-    return keyed.join(ids_by_text(feedback, key, text), "_text").drop("_text")
+    return keyed.join(materialize(ids_by_text(feedback, key, text), "ids"), "_text").drop("_text")
 
 
 def known_texts(feedback: DataFrame, results: DataFrame, text: str = "feedback_text") -> DataFrame:
     """Feedback rows whose text occurs in the results."""
     wanted = results.select(text_key(F.col("text")).alias("_text")).where("_text is not null").distinct()
     keyed = feedback.withColumn("_text", text_key(F.col(text)))
-    return keyed.join(wanted, "_text", "left_semi").drop("_text")
+    return keyed.join(materialize(wanted, "texts"), "_text", "left_semi").drop("_text")
 
 
 def label_rows(
@@ -188,7 +190,7 @@ class Store:
     def append(self, name: str, rows: DataFrame, order_by: Sequence[str] = ()) -> int:
         """Append rows (numbered unless they bring ids); returns how many."""
         if "id" not in rows.columns:
-            rows = number_rows(rows, list(order_by) or rows.columns, self.next_id(name))
+            rows = number_rows(rows, list(order_by), self.next_id(name))
         schema = STORE[name]
         rows = rows.withColumn("created_at", F.current_timestamp())
         full = rows.select(

@@ -29,9 +29,9 @@ def fitted(spark, folder, name, make):
 
 
 def _docs(spark, folder) -> DataFrame:
-    docs = labelled_documents(spark, folder)
+    docs = spread(table(spark, folder, "documents")).join(table(spark, folder, "labels"), "doc_id", "left")
     sentiment = F.when(F.col("quality") == 1, "Positive").when(F.col("quality") == 0, "Negative")
-    return spread(docs.select("doc_id", "text", F.col("lang").alias("category"), sentiment.alias("sentiment")))
+    return docs.select("doc_id", "text", F.col("lang").alias("category"), sentiment.alias("sentiment"))
 
 
 def _vocabulary(spark, folder, method="tfidf", ngram_range=(1, 2)):
@@ -116,8 +116,8 @@ def tuned_model(spark, folder):
 @query("score_new_feedback", "M10")
 def score_new_feedback(spark, folder):
     scorer = classify.Scorer(_vocabulary(spark, folder, "count"), {"category": _bayes(spark, folder)})
-    talk = table(spark, folder, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text")
-    return scorer(spread(talk), "id", "text")
+    talk = spread(table(spark, folder, "conversations"))
+    return scorer(talk.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text"), "id", "text")
 
 
 @query("feature_importance", "L6 M3")

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtide.session import apply_settings
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,7 +28,12 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Run], Run
     def add(run: Run) -> Run:
         if name in QUERIES:
             raise ValueError(f"query {name} exists already")
-        QUERIES[name] = Query(name, covers, run, sql)
+
+        def prepared(spark: SparkSession, folder: str) -> DataFrame:
+            apply_settings(spark)
+            return run(spark, folder)
+
+        QUERIES[name] = Query(name, covers, prepared, sql)
         return run
 
     return add

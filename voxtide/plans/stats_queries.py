@@ -111,7 +111,7 @@ def rating_by_sentiment(spark, folder):
 @query("histogram", "A12", """
 WITH x AS (SELECT len(list_filter(range(0, 20), lambda i: i * CAST(0.005 AS DOUBLE) <= l_discount)) AS b
   FROM lineitem WHERE l_discount BETWEEN 0 AND 0.1)
-SELECT CAST(b AS INTEGER) AS bin, round((b - 1) * 0.005, 6) AS bin_from, round(b * 0.005, 6) AS bin_to, count(*) AS count FROM x GROUP BY ALL""")
+SELECT CAST(b AS INTEGER) AS bin, CAST(round((b - 1) * 0.005, 6) AS DOUBLE) AS bin_from, CAST(round(b * 0.005, 6) AS DOUBLE) AS bin_to, count(*) AS count FROM x GROUP BY ALL""")
 def histogram(spark, folder):
     out = stats.histogram(table(spark, folder, "lineitem").select("l_discount"), "l_discount", 0, 0.1, 20)
     return rounded(out, "bin_from", "bin_to")
@@ -119,7 +119,7 @@ def histogram(spark, folder):
 
 @query("rating_histogram", "A12", WITH_FB + """
 SELECT CAST(least(floor((rating - 1) / 0.8) + 1, 5) AS INTEGER) AS bin,
-       round(1 + (bin - 1) * 0.8, 6) AS bin_from, round(1 + bin * 0.8, 6) AS bin_to, count(*) AS count FROM fb GROUP BY ALL""")
+       CAST(round(1 + (bin - 1) * 0.8, 6) AS DOUBLE) AS bin_from, CAST(round(1 + bin * 0.8, 6) AS DOUBLE) AS bin_to, count(*) AS count FROM fb GROUP BY ALL""")
 def rating_histogram(spark, folder):
     return rounded(stats.histogram(feedback_from_orders(spark, folder), "rating", 1, 5, 5), "bin_from", "bin_to")
 
@@ -168,7 +168,7 @@ def correlation(spark, folder):
 SELECT word, count(*) AS count FROM (SELECT unnest({KEPT_WORDS_SQL}) AS word FROM documents)
 GROUP BY word ORDER BY count DESC, word LIMIT 200""")
 def word_frequencies(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("text"))
+    docs = spread(table(spark, folder, "documents")).select("text")
     return stats.word_counts(docs, drop_stop_words(split_words(clean(F.col("text")))))
 
 
@@ -176,7 +176,7 @@ def word_frequencies(spark, folder):
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY count DESC, word) AS INTEGER) AS rank FROM (
   SELECT lang, word, count(*) AS count FROM (SELECT lang, unnest({KEPT_WORDS_SQL}) AS word FROM documents) GROUP BY ALL)) WHERE rank <= 50""")
 def word_frequencies_by_language(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("lang", "text"))
+    docs = spread(table(spark, folder, "documents")).select("lang", "text")
     return stats.word_counts_by(docs, "lang", drop_stop_words(split_words(clean(F.col("text")))), 50)
 
 

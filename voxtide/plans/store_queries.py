@@ -73,7 +73,7 @@ def _results(spark, folder):
 
 
 @query("store_sentiment_rows", "J4", f"""WITH {RESOLVED}
-SELECT feedback_id, CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END AS sentiment, 0.25 + 0.5 * toxic AS confidence,
+SELECT feedback_id, CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END AS sentiment, CAST(0.25 + 0.5 * toxic AS DOUBLE) AS confidence,
  'given' AS model FROM results JOIN ids USING (text)""")
 def store_sentiment_rows(spark, folder):
     label = F.when(F.col("quality") == 1, "Positive").otherwise("Negative")
@@ -137,7 +137,7 @@ scored AS (SELECT doc_id, lang, CASE WHEN d > 0 THEN 'Positive' WHEN d < 0 THEN
 
 
 def _scored(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "lang", "text")
     return score_sentiment(docs, "text", POSITIVE, NEGATIVE)
 
 
@@ -150,9 +150,9 @@ def lexicon_sentiment(spark, folder):
 WITH s AS (SELECT doc_id, list_sum(list_transform(['excellent','great','good','helpful','outstanding','enjoyed','useful'], lambda w: CAST(contains(lower(text), w) AS INTEGER)))
  - list_sum(list_transform(['poor','bad','disappointing','inadequate','below','difficult','struggled'], lambda w: CAST(contains(lower(text), w) AS INTEGER))) AS d FROM documents)
 SELECT doc_id, CASE WHEN d > 0 THEN 'Positive' WHEN d < 0 THEN 'Negative' ELSE 'Neutral' END AS predicted_sentiment,
- round(CASE WHEN d = 0 THEN 0.5 ELSE least(0.5 + abs(d) * 0.1, 0.9) END, 6) AS confidence FROM s""")
+ CAST(CASE WHEN d = 0 THEN 0.5 ELSE least(0.5 + abs(d) * 0.1, 0.9) END AS DOUBLE) AS confidence FROM s""")
 def default_lexicon_sentiment(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
     return rounded(score_sentiment(docs, "text").drop("text"), "confidence")
 
 
@@ -189,7 +189,7 @@ def _load_word_model():
 
 @query("model_inference", "N2", """
 WITH b AS (SELECT doc_id, length(text) - length(replace(text, ' ', '')) AS n FROM documents)
-SELECT doc_id, ['Positive', 'Negative', 'Neutral'][n % 3 + 1] AS predicted_sentiment, round(0.5 + 0.1 * (n % 5), 6) AS confidence FROM b""")
+SELECT doc_id, ['Positive', 'Negative', 'Neutral'][n % 3 + 1] AS predicted_sentiment, CAST(0.5 + 0.1 * (n % 5) AS DOUBLE) AS confidence FROM b""")
 def model_inference(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
     return rounded(score_with_model(docs, "text", _load_word_model).drop("text"), "confidence")

@@ -16,7 +16,7 @@ from voxtide.sources.tables import table
 
 
 def _docs(spark, folder, *columns):
-    return spread(table(spark, folder, "documents").select("doc_id", "text", *columns))
+    return spread(table(spark, folder, "documents")).select("doc_id", "text", *columns)
 
 
 def _lemma_sql(t: str) -> str:

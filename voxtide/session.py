@@ -19,6 +19,13 @@ SETTINGS = {
 }
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """Set what the plans rely on in a session that was built elsewhere."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+
+
 def build_session(app: str = "voxtide", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in {**SETTINGS, **conf}.items():
@@ -61,7 +68,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a table that is stored in fewer splits than there are cores.
 
     Text work is heavy per byte, so moving such a small table once pays off. Tables with
-    enough splits are returned as they are.
+    enough splits are returned as they are. To be called on a scan: on a joined table,
+    asking for the number of partitions would already run the join.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
