@@ -46,12 +46,43 @@ def term_totals(docs: DataFrame, text: str, ngram_range: tuple[int, int] = (1, 2
     )
 
 
+def _best(totals: DataFrame, n: int) -> list[tuple[int, str]]:
+    """(−total, term) of the n most frequent terms."""
+    return [(-r["total"], r["term"]) for r in totals.orderBy(F.desc("total"), F.asc("term")).limit(n).collect()]
+
+
+def most_frequent(
+    docs: DataFrame, text: str, max_features: int = 5000, ngram_range: tuple[int, int] = (1, 2)
+) -> list[tuple[str, int]]:
+    """The most frequent terms with their totals, ties by term.
+
+    An n-gram is at most as frequent as each of its words, so once `max_features` words
+    are known, n-grams with a rarer word cannot get in: they are not counted at all.
+    This keeps the many one-off n-grams of a large corpus out of the shuffle.
+    """
+    low, high = ngram_range
+    if low > 1 or high == 1:
+        return [(term, -n) for n, term in _best(term_totals(docs, text, ngram_range), max_features)]
+    words = _best(term_totals(docs, text, (1, 1)), 2 * max_features)
+    tokens = word_tokens(F.col(text))
+    if len(words) > max_features and words[max_features - 1][0] < words[-1][0]:
+        bar = words[max_features - 1][0]
+        candidates = [term for n, term in words if n <= bar]
+        tokens = F.transform(tokens, lambda t: F.when(t.isin(candidates), t))
+    # An n-gram with a masked word is null.
+    grams = F.flatten(F.transform(F.array(tokens), lambda t: ngrams(t, 2, high)))
+    exploded = docs.select(F.explode(grams).alias("term")).where(F.col("term").isNotNull())
+    longer = _best(exploded.groupBy("term").agg(F.count(F.lit(1)).alias("total")), max_features)
+    return [(term, -n) for n, term in sorted(words + longer)[:max_features]]
+
+
 def top_terms(
     docs: DataFrame, text: str, max_features: int = 5000, ngram_range: tuple[int, int] = (1, 2)
 ) -> DataFrame:
-    """The most frequent terms, ties by term, with their alphabetical index."""
-    best = term_totals(docs, text, ngram_range).orderBy(F.desc("total"), F.asc("term")).limit(max_features)
-    return best.orderBy("term")
+    """`most_frequent` as a table (term, total)."""
+    found = most_frequent(docs, text, max_features, ngram_range)
+    frame = pd.DataFrame({"term": [t for t, _ in found], "total": [n for _, n in found]})
+    return docs.sparkSession.createDataFrame(frame, "term string, total bigint")
 
 
 def fit_vocabulary(
@@ -60,7 +91,7 @@ def fit_vocabulary(
 ) -> Vocabulary:
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}; choose from {', '.join(METHODS)}")
-    terms = [row["term"] for row in top_terms(docs, text, max_features, ngram_range).collect()]
+    terms = [term for term, _ in most_frequent(docs, text, max_features, ngram_range)]
     vocabulary = Vocabulary(sorted(terms), ngram_range, method)
     if method == "tfidf":
         vocabulary.idf = inverse_document_frequency(docs, text, vocabulary)
