@@ -176,7 +176,8 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
     links = materialize(links, "links")
     linked = connected_components(links.where("core"), "id", "root")
     cores = flagged.where("core").select(F.col("id").alias("node")).join(linked, "node", "left")
-    cores = cores.select("node", F.coalesce("component", "node").alias("component"))
+    # Written out, so that border points of a large cluster, whose root is hot, can be split.
+    cores = materialize(cores.select("node", F.coalesce("component", "node").alias("component")), "cores")
     borders = (
         links.where("not core").join(cores, F.col("root") == F.col("node"))
         .groupBy("id").agg(F.min("component").alias("component"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -64,18 +65,28 @@ def most_frequent(
     if low > 1 or high == 1:
         return [(term, -n) for n, term in _best(term_totals(docs, text, ngram_range), max_features)]
     words = _best(term_totals(docs, text, (1, 1)), 2 * max_features)
-    tokens = word_tokens(F.col(text))
-    if len(words) > max_features and words[max_features - 1][0] < words[-1][0]:
-        bar = words[max_features - 1][0]
-        candidates = [term for n, term in words if n <= bar]
-        tokens = F.transform(tokens, lambda t: F.when(t.isin(candidates), t))
-    # An n-gram with a masked word is null.
-    grams = F.flatten(F.transform(F.array(tokens), lambda t: ngrams(t, 2, high)))
-    exploded = docs.select(F.explode(grams).alias("term")).where(F.col("term").isNotNull())
-    longer = _best(exploded.groupBy("term").agg(F.count(F.lit(1)).alias("total")), max_features)
+    bar = words[max_features - 1][0] if len(words) > max_features else 0
+    candidates = [term for n, term in words if n <= bar]
+    if bar == 0 or len(candidates) == len(words):  # few words, or too many equally rare ones
+        longer = _best(term_totals(docs, text, (2, high)), max_features)
+    else:
+        listed = docs.sparkSession.createDataFrame(pd.DataFrame({"word": candidates}), "word string")
+        totals = [_pruned_totals(docs, text, n, listed) for n in range(2, high + 1)]
+        longer = _best(reduce(DataFrame.unionByName, totals), max_features)
     return [(term, -n) for n, term in sorted(words + longer)[:max_features]]
 
 
+def _pruned_totals(docs: DataFrame, text: str, n: int, words: DataFrame) -> DataFrame:
+    """Corpus frequency of n-grams made of the given words (at most 2 · max_features)."""
+    slots = [f"w{k}" for k in range(n)]
+    tokens = docs.select(word_tokens(F.col(text)).alias("t")).where(F.size("t") >= n)
+    runs = [F.slice("t", k + 1, F.size("t") - n + 1).alias(slot) for k, slot in enumerate(slots)]
+    grams = tokens.select(F.inline(F.arrays_zip(*runs)))
+    for slot in slots:
+        grams = grams.join(F.broadcast(words.select(F.col("word").alias(slot))), slot, "left_semi")
+    return grams.groupBy(F.concat_ws(" ", *slots).alias("term")).agg(F.count(F.lit(1)).alias("total"))
+
+
 def top_terms(
     docs: DataFrame, text: str, max_features: int = 5000, ngram_range: tuple[int, int] = (1, 2)
 ) -> DataFrame:

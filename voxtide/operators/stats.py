@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,19 +81,18 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         exprs += [F.count(c).alias(f"{c}~count"), F.avg(c).alias(f"{c}~mean"), F.stddev_samp(c).alias(f"{c}~std"),
                   F.min(c).cast("double").alias(f"{c}~min"), F.max(c).cast("double").alias(f"{c}~max")]
-    wide = df.agg(*exprs)
-    parts = []
+    structs = []
     for c in columns:
         quartile = quantiles(df, [], c, (0.25, 0.5, 0.75)).scalar()
-        parts.append(
-            wide.select(
+        structs.append(
+            F.struct(
                 F.lit(c).alias("column_name"),
                 *[F.col(f"{c}~{s}").alias(s) for s in ("count", "mean", "std", "min")],
                 *[quartile[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))],
                 F.col(f"{c}~max").alias("max"),
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    return df.agg(*exprs).select(F.inline(F.array(*structs)))
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from voxtide.plans import (  # noqa: F401
     model_queries, stream_queries,
 )
 from voxtide.plans.registry import QUERIES
-from voxtide.plans.series_queries import flagship
+
+flagship = QUERIES["flagship"].run
 
 __all__ = ["QUERIES", "flagship"]

@@ -52,7 +52,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = FEEDBACK) ->
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").csv(path, header=True, quote='"', escape='"', dateFormat="yyyy-MM-dd")
+    """CSV files with a header; texts are written as they are, blanks at their ends included."""
+    df.write.mode("errorifexists").csv(
+        path, header=True, quote='"', escape='"', dateFormat="yyyy-MM-dd",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def ensure_collection(spark: SparkSession, path: str) -> DataFrame:
