@@ -7,6 +7,7 @@ between executors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -79,9 +80,13 @@ def most_frequent(
 def _pruned_totals(docs: DataFrame, text: str, n: int, words: DataFrame) -> DataFrame:
     """Corpus frequency of n-grams made of the given words (at most 2 · max_features)."""
     slots = [f"w{k}" for k in range(n)]
-    tokens = docs.select(word_tokens(F.col(text)).alias("t")).where(F.size("t") >= n)
-    runs = [F.slice("t", k + 1, F.size("t") - n + 1).alias(slot) for k, slot in enumerate(slots)]
-    grams = tokens.select(F.inline(F.arrays_zip(*runs)))
+
+    def runs(t: Column) -> Column:
+        length = F.greatest(F.size(t) - n + 1, F.lit(0))
+        return F.arrays_zip(*[F.slice(t, k + 1, length) for k in range(n)])
+
+    tokens = F.array(word_tokens(F.col(text)))  # bound to a name, as in `terms_of`
+    grams = docs.select(F.inline(F.flatten(F.transform(tokens, runs)))).toDF(*slots)
     for slot in slots:
         grams = grams.join(F.broadcast(words.select(F.col("word").alias(slot))), slot, "left_semi")
     return grams.groupBy(F.concat_ws(" ", *slots).alias("term")).agg(F.count(F.lit(1)).alias("total"))
@@ -129,12 +134,11 @@ def inverse_document_frequency(docs: DataFrame, text: str, vocabulary: Vocabular
     """ln((1 + n) / (1 + df)) + 1 per term."""
     if not vocabulary.terms:
         return []
-    n = docs.count()
     counted = _counted(docs.select(text), text, vocabulary, "_v")
-    df = counted.select(F.explode(F.unwrap_udt("_v")["indices"]).alias("index")).groupBy("index").count()
-    idf = F.log((1.0 + n) / (1.0 + F.col("count"))) + 1.0
-    found = {row["index"]: row["idf"] for row in df.select("index", idf.alias("idf")).collect()}
-    return [found[i] for i in range(len(vocabulary.terms))]
+    every = F.concat(F.array(F.lit(-1)), F.unwrap_udt("_v")["indices"])  # −1 counts the documents
+    df = counted.select(F.explode(every).alias("index")).groupBy("index").count()
+    found = {row["index"]: row["count"] for row in df.collect()}
+    return [math.log((1 + found[-1]) / (1 + found[i])) + 1 for i in range(len(vocabulary.terms))]
 
 
 def vectorize(

@@ -33,6 +33,9 @@ def build_session(app: str = "voxtide", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_LOCAL_ROOTS: dict[str, str] = {}  # temporary folder per local session
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster in spark.checkpoint.dir.
 
@@ -42,11 +45,12 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app in _LOCAL_ROOTS:
+        return _LOCAL_ROOTS[app]
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="voxtide-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _LOCAL_ROOTS.setdefault(app, tempfile.mkdtemp(prefix="voxtide-"))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
