@@ -163,7 +163,8 @@ def find_topic_count(
 ) -> tuple[int, LDAModel, DataFrame]:
     """Fit one model per number of topics (`limit` excluded); the first best coherence wins."""
     spark = docs.sparkSession
-    features = features.cache()
+    kept = features.storageLevel.useMemory or features.storageLevel.useDisk  # by the caller
+    features = features if kept else features.cache()
     fitted, lists = [], []
     counts_range = list(range(start, limit, step))
     for k in counts_range:
@@ -175,7 +176,8 @@ def find_topic_count(
     counts = window_counts(docs, tokens, sorted(words)).cache()  # one pass serves all models
     values = [float(np.mean(coherence(counts, topics))) for topics in lists]
     counts.unpersist()
-    features.unpersist()
+    if not kept:
+        features.unpersist()
     best = values.index(max(values))
     table = spark.createDataFrame(list(zip(counts_range, values)), "n_topics int, coherence double")
     return counts_range[best], fitted[best], table

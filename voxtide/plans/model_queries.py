@@ -40,8 +40,13 @@ def _vocabulary(spark, folder, method="tfidf", ngram_range=(1, 2)):
 
 
 def _vectors(spark, folder, method="tfidf", ngram_range=(1, 2)) -> DataFrame:
-    vocabulary = _vocabulary(spark, folder, method, ngram_range)
-    return features.vectorize(_docs(spark, folder), "doc_id", "text", vocabulary, ["category", "sentiment"])
+    """Feature rows, kept in memory and on disk: several fits and scorings read them."""
+
+    def make():
+        vocabulary = _vocabulary(spark, folder, method, ngram_range)
+        return features.vectorize(_docs(spark, folder), "doc_id", "text", vocabulary, ["category", "sentiment"]).cache()
+
+    return fitted(spark, folder, ("vectors", method, ngram_range), make)
 
 
 def _report(spark, folder, label: str, model: str, method: str = "tfidf", **point) -> DataFrame:
@@ -129,15 +134,7 @@ def feature_importance(spark, folder):
 
 def _lda(spark, folder):
     vectors = _vectors(spark, folder, "count", (1, 1))
-
-    def make():
-        kept = vectors.cache()
-        try:
-            return topics.fit_lda(kept, K)
-        finally:
-            kept.unpersist()
-
-    return fitted(spark, folder, "lda", make)
+    return fitted(spark, folder, "lda", lambda: topics.fit_lda(vectors, K))
 
 
 def _weights(spark, folder):
@@ -272,7 +269,7 @@ def combined_analysis(spark, folder):
 @query("batch_analysis", "M1 M3 M7 C1 C13 C9 E6")
 def batch_analysis(spark, folder):
     """The whole flow: features, two classifiers, topics, clusters and their scores."""
-    vectors = _vectors(spark, folder).cache()
+    vectors = _vectors(spark, folder)
     train, test = rows.split_rows(vectors, "doc_id")
     parts = []
     for label, model, point in (
