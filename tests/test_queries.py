@@ -33,12 +33,6 @@ def test_contract(spark):
     assert set(contract.oracle_sql()) < set(contract.queries())
 
 
-NATIVE = [
-    n for n, q in QUERIES.items()
-    if q.sql is not None and not any(w in n for w in ("stream", "store_sql", "csv", "latest_in_store"))
-]
-
-
 @pytest.mark.parametrize("name", ["flagship", "combined_series", "collection_stats", "crosstab_long", "value_shares",
                                   "store_sentiment_rows", "topics_of_feedback", "confusion_matrix", "tfidf"])
 def test_plans(spark, data, name):
