@@ -15,6 +15,7 @@ At a similarity of 0.8 a pair shares no band with a probability below 1e-7.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +41,28 @@ PLACE = _random.integers(0, 2**64, 64, dtype=np.uint64) | U64(1)
 
 
 class WordHashes(Recent):
-    def of(self, words: list[bytes]) -> np.ndarray:
-        for w in self.missing(words):
+    def learn(self, texts: list[list[bytes]]) -> None:
+        for w in self.missing(chain.from_iterable(texts)):
             self.now[w] = xxhash.xxh3_64_intdigest(w)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.now.__getitem__, words), U64, len(words))
 
 
-def shingles(words: list[bytes], cache: WordHashes, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; a shorter text is one shingle."""
-    if not words:
+def shingle_sets(values: list[bytes | None]) -> list[np.ndarray]:
+    """The shingle set of each text."""
+    cache = kept("words", WordHashes)
+    texts = [(v or b"").lower().split() for v in values]
+    cache.learn(texts)
+    out = [shingles(cache.of(words)) for words in texts]
+    cache.turn()
+    return out
+
+
+def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the n-word shingles of hashed words; a shorter text is one shingle."""
+    if not len(h):
         return np.zeros(0, U64)
-    h = cache.of(words)
     with np.errstate(over="ignore"):
         if len(h) < n:
             return mixed(np.array([(h * PLACE[n : n + len(h)]).sum() + PLACE[len(h)]], U64))
@@ -65,20 +77,23 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
     out = np.empty((len(sets), BANDS), U64)
+    y, shifted = np.empty_like(flat), np.empty_like(flat)
     with np.errstate(over="ignore"):
         for band in range(BANDS):
             key = np.full(len(sets), band, U64)
             for p in range(band * PER_BAND, (band + 1) * PER_BAND):
-                y = (flat ^ XOR[p]) * FACTOR[p]
-                y ^= y >> U64(32)
-                y *= FACTOR[p]
+                np.bitwise_xor(flat, XOR[p], out=y)
+                np.multiply(y, FACTOR[p], out=y)
+                np.right_shift(y, U64(32), out=shifted)
+                np.bitwise_xor(y, shifted, out=y)
+                np.multiply(y, FACTOR[p], out=y)
                 for end in (np.minimum, np.maximum):
                     key = mixed(key * U64(0x9E3779B97F4A7C15) + end.reduceat(y, starts))
             out[:, band] = key
     return out
 
 
-def _batched(sets: list[np.ndarray], values: int = 65_536) -> Iterable[list[np.ndarray]]:
+def _batched(sets: list[np.ndarray], values: int = 32_768) -> Iterable[list[np.ndarray]]:
     """Runs of sets that fit the processor's cache together."""
     some, n = [], 0
     for s in sets:
@@ -96,9 +111,7 @@ FIELDS = [("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int6
 
 def _sketch():
     def work(values: list) -> pa.Array:
-        cache = kept("words", WordHashes)
-        sets = [shingles((v or b"").lower().split(), cache) for v in values]
-        cache.turn()
+        sets = shingle_sets(values)
         full = [s for s in sets if len(s)]
         keys = iter(np.concatenate([signatures(some) for some in _batched(full)]).view(np.int64)) if full else iter(())
         return struct_rows(FIELDS, (
@@ -112,10 +125,7 @@ def _sketch():
 
 def _sets():
     def work(values: list) -> pa.Array:
-        cache = kept("words", WordHashes)
-        out = [shingles((v or b"").lower().split(), cache).view(np.int64) for v in values]
-        cache.turn()
-        return pa.array(out, pa.list_(pa.int64()))
+        return pa.array([s.view(np.int64) for s in shingle_sets(values)], pa.list_(pa.int64()))
 
     return batch_udf(work, "array<bigint>")
 
