@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from voxtide.functions import text as tx
 from voxtide.functions.lexicon import score_sentiment
-from voxtide.functions.stemming import stem_word
+from tests.porter import stem_word
+from voxtide.functions.stemming import stem_tokens
 from voxtide.operators import features, stats
 
 SENTENCES = [
@@ -47,7 +48,9 @@ def test_switches(spark):
 
 def test_lemmas(spark):
     pairs = {"classes": "class", "boxes": "box", "cities": "city", "women": "woman", "churches": "church",
-             "glass": "glass", "bus": "bus", "gas": "gas", "wolves": "wolf", "exams": "exam", "analysis": "analysis"}
+             "glass": "glass", "bus": "bus", "gas": "gas", "wolves": "wolf", "exams": "exam", "analysis": "analysis",
+             "series": "series", "gives": "give", "sizes": "size", "movies": "movie", "buses": "bus", "specimen": "specimen",
+             "women": "woman", "knives": "knife", "species": "species", "quizzes": "quiz", "children": "child"}
     for word, expected in pairs.items():
         assert one(spark, tx.lemma(F.lit(word))) == expected, word
 
@@ -64,6 +67,18 @@ def test_porter_stems(spark):
              "adjustable": "adjust", "replacement": "replac", "adoption": "adopt", "probate": "probat", "rate": "rate",
              "cease": "ceas", "controll": "control", "roll": "roll"}
     assert {w: stem_word(w) for w in pairs} == pairs
+    words = [*pairs, "yes", "yy", "by", "say", "saying", "toying", "ying", "syzygy", "a", "is", "", "ied", "eed", "agreed", "été", "ünique", "hoed", "bowing"]
+    assert one(spark, stem_tokens(F.lit(words))) == [stem_word(w) for w in words]
+
+
+def test_porter_on_a_table(spark, data):
+    tokens = tx.split_words(tx.clean(F.col("text")))
+    words = [r[0] for r in spark.read.parquet(f"{data}/documents.parquet").select(F.explode(tokens)).distinct().limit(20_000).collect()]
+    stems = spark.createDataFrame([(words,)], "w array<string>").select(stem_tokens(F.col("w"))).first()[0]
+    assert [(w, s) for w, s in zip(words, stems) if s != stem_word(w)] == []
+
+
+def test_processed_stems(spark):
     df = tx.preprocess(frame(spark), "text", lemmatized=False, stemmed=True)
     assert df.where("id = 1").first()["processed_text"] == "mathemat cours excel learn lot"
 

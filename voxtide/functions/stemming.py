@@ -1,13 +1,15 @@
-"""Porter's suffix-stripping algorithm (1980) over token arrays."""
+"""Porter's suffix-stripping algorithm (1980) over token arrays, as column functions.
+
+A word's measure is the number of vowel-consonant sequences in it. `y` is a consonant at the
+beginning of a word and after a vowel; a first `y` is written `Y` while a word is worked on.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The suffix tables of the published algorithm.
 STEP2 = (
@@ -25,88 +27,95 @@ STEP4 = (
     "ous", "ive", "ize", "ion", "al", "er", "ic", "ou",
 )
 
+CONSONANTS, VOWELS = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+MEASURE_1_UP = f"^(?:{CONSONANTS})?{VOWELS}{CONSONANTS}"
+MEASURE_2_UP = f"^(?:{CONSONANTS})?{VOWELS}{CONSONANTS}{VOWELS}{CONSONANTS}"
+MEASURE_1 = f"^(?:{CONSONANTS})?{VOWELS}{CONSONANTS}(?:{VOWELS})?$"
+HAS_VOWEL = f"^(?:{CONSONANTS})?[aeiouy]"
+SHORT_END = "(?:^[^aeiou]|[^aeiouy]|[aeiouy][^aeiou])[aeiouy][^aeiouwxy]$"
+DOUBLE_END = "(?:bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx)$"
+OPEN = "\u0001"  # marks a word that lost -ed or -ing
+
+
+def _cut(word: Column, n: int) -> Column:
+    return F.substring(word, F.lit(1), F.length(word) - n)
 
-def _shape(word: str) -> str:
-    """The word as a string of v (vowel) and c (consonant)."""
-    out = ""
-    for i, ch in enumerate(word):
-        vowel = ch in "aeiou" or (ch == "y" and i > 0 and out[-1] == "c")
-        out += "v" if vowel else "c"
-    return out
 
+def _plurals(w: Column) -> Column:
+    return (
+        F.when(w.endswith("sses") | w.endswith("ies"), _cut(w, 2))
+        .when(w.endswith("s") & ~w.endswith("ss"), _cut(w, 1)).otherwise(w)
+    )
 
-def _measure(stem: str) -> int:
-    return len(re.findall("v+c+", _shape(stem)))
 
+def _past(w: Column) -> Column:
+    eed = F.when(_cut(w, 3).rlike(MEASURE_1_UP), _cut(w, 1)).otherwise(w)
+    out = F.when(w.endswith("eed"), eed)
+    for ending in ("ed", "ing"):
+        stem = _cut(w, len(ending))
+        out = out.when(w.endswith(ending) & stem.rlike(HAS_VOWEL), F.concat(stem, F.lit(OPEN)))
+    return out.otherwise(w)
 
-def _short_end(stem: str) -> bool:
-    return _shape(stem)[-3:] == "cvc" and stem[-1] not in "wxy"
 
+def _close(w: Column) -> Column:
+    stem = _cut(w, 1)
+    closed = (
+        F.when(stem.rlike("(?:at|bl|iz)$"), F.concat(stem, F.lit("e"))).when(stem.rlike(DOUBLE_END), _cut(w, 2))
+        .when(stem.rlike(MEASURE_1) & stem.rlike(SHORT_END), F.concat(stem, F.lit("e"))).otherwise(stem)
+    )
+    return F.when(w.endswith(OPEN), closed).otherwise(w)
 
-def _swap(word: str, table, least: int) -> str:
-    for ending, new in sorted(table, key=lambda pair: -len(pair[0])):
-        if word.endswith(ending):
-            stem = word[: -len(ending)]
-            return stem + new if _measure(stem) > least else word
-    return word
 
+def _last_y(w: Column) -> Column:
+    return F.when(w.endswith("y") & _cut(w, 1).rlike(HAS_VOWEL), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
 
-def stem_word(word: str) -> str:
-    if len(word) <= 2:
-        return word
-    if word.endswith("sses") or word.endswith("ies"):
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
 
-    if word.endswith("eed"):
-        if _measure(word[:-3]) > 0:
-            word = word[:-1]
-    else:
-        cut = 2 if word.endswith("ed") else 3 if word.endswith("ing") else 0
-        if cut and "v" in _shape(word[:-cut]):
-            word = word[:-cut]
-            if word.endswith(("at", "bl", "iz")):
-                word += "e"
-            elif word[-1:] == word[-2:-1] and _shape(word)[-1] == "c" and word[-1] not in "lsz":
-                word = word[:-1]
-            elif _measure(word) == 1 and _short_end(word):
-                word += "e"
-    if word.endswith("y") and "v" in _shape(word[:-1]):
-        word = word[:-1] + "i"
+def _swap(table: tuple) -> Callable[[Column], Column]:
+    def step(w: Column) -> Column:
+        out = None
+        for ending, new in sorted(table, key=lambda pair: -len(pair[0])):
+            stem = _cut(w, len(ending))
+            swapped = F.when(stem.rlike(MEASURE_1_UP), F.concat(stem, F.lit(new))).otherwise(w)
+            out = F.when(w.endswith(ending), swapped) if out is None else out.when(w.endswith(ending), swapped)
+        return out.otherwise(w)
 
-    word = _swap(word, STEP2, 0)
-    word = _swap(word, STEP3, 0)
+    return step
 
+
+def _endings(w: Column) -> Column:
+    out = None
     for ending in sorted(STEP4, key=lambda e: -len(e)):
-        if word.endswith(ending):
-            stem = word[: -len(ending)]
-            if _measure(stem) > 1 and (ending != "ion" or stem[-1:] in ("s", "t")):
-                word = stem
-            break
+        stem = _cut(w, len(ending))
+        fits = stem.rlike(MEASURE_2_UP) & stem.rlike("[st]$") if ending == "ion" else stem.rlike(MEASURE_2_UP)
+        cut = F.when(fits, stem).otherwise(w)
+        out = F.when(w.endswith(ending), cut) if out is None else out.when(w.endswith(ending), cut)
+    return out.otherwise(w)
+
+
+def _last_e(w: Column) -> Column:
+    stem = _cut(w, 1)
+    drop = stem.rlike(MEASURE_2_UP) | (stem.rlike(MEASURE_1) & ~stem.rlike(SHORT_END))
+    return F.when(w.endswith("e") & drop, stem).otherwise(w)
+
+
+def _last_l(w: Column) -> Column:
+    return F.when(w.endswith("ll") & _cut(w, 1).rlike(MEASURE_2_UP), _cut(w, 1)).otherwise(w)
+
 
-    if word.endswith("e"):
-        stem = word[:-1]
-        if _measure(stem) > 1 or (_measure(stem) == 1 and not _short_end(stem)):
-            word = stem
-    if word.endswith("ll") and _measure(word[:-1]) > 1:
-        word = word[:-1]
-    return word
+def _first_y(w: Column) -> Column:
+    return F.when(w.startswith("y"), F.concat(F.lit("Y"), F.substring(w, F.lit(2), F.length(w)))).otherwise(w)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem_arrays(tokens: pd.Series) -> pd.Series:
-    # Each distinct word of the Arrow batch is stemmed once. No shuffle: joining
-    # a table of stems back to the tokens would move every token of the corpus.
-    known: dict[str, str] = {}
+def _plain_y(w: Column) -> Column:
+    return F.when(w.startswith("Y"), F.concat(F.lit("y"), F.substring(w, F.lit(2), F.length(w)))).otherwise(w)
 
-    def one(word: str) -> str:
-        if word not in known:
-            known[word] = stem_word(word)
-        return known[word]
 
-    return tokens.map(lambda words: None if words is None else [one(w) for w in words])
+STEPS = (_first_y, _plurals, _past, _close, _last_y, _swap(STEP2), _swap(STEP3), _endings, _last_e, _last_l, _plain_y)
 
 
 def stem_tokens(tokens: Column) -> Column:
-    return _stem_arrays(tokens)
+    """The stem of each lower-case token; tokens of one or two characters are stems."""
+    stems = tokens
+    for step in STEPS:  # one pass each, so that a word is built once per step
+        stems = F.transform(stems, step)
+    return F.zip_with(tokens, stems, lambda word, stem: F.when(F.length(word) > 2, stem).otherwise(word))

@@ -33,10 +33,14 @@ BLANKS = r"[\s\p{Z}]+"
 WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\s\p{Z}\p{L}\p{N}_]"
 
 # Plural endings of English nouns and their singular endings.
-NOUN_ENDINGS = (
-    ("ies", "y"), ("ches", "ch"), ("shes", "sh"), ("sses", "ss"), ("xes", "x"),
-    ("zes", "z"), ("ves", "f"), ("men", "man"), ("s", ""),
-)
+NOUN_ENDINGS = (("ies", "y"), ("ches", "ch"), ("shes", "sh"), ("sses", "ss"), ("xes", "x"), ("s", ""))
+# Plurals that their endings do not tell.
+IRREGULAR = {
+    "buses": "bus", "calves": "calf", "children": "child", "feet": "foot", "geese": "goose", "halves": "half",
+    "knives": "knife", "leaves": "leaf", "lives": "life", "loaves": "loaf", "men": "man", "mice": "mouse",
+    "movies": "movie", "people": "person", "quizzes": "quiz", "selves": "self", "series": "series", "shelves": "shelf",
+    "species": "species", "teeth": "tooth", "thieves": "thief", "wives": "wife", "wolves": "wolf", "women": "woman",
+}
 KEEPS_S = ("ss", "us", "is")
 
 
@@ -66,8 +70,9 @@ def keep_alphabetic(tokens: Column) -> Column:
 
 
 def lemma(token: Column) -> Column:
-    """Singular form of an English noun by its ending."""
-    out = F.when(F.length(token) <= 3, token)
+    """Singular form of an English noun: from the fixed list, else by its ending."""
+    known = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
+    out = F.when(token.isin(list(IRREGULAR)), F.try_element_at(known, token)).when(F.length(token) <= 3, token)
     for ending in KEEPS_S:
         out = out.when(token.endswith(ending), token)
     for ending, singular in NOUN_ENDINGS:

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxtide.functions import text as tx
+from voxtide.functions import stemming, text as tx
 from voxtide.functions.text import STOP_WORDS
 from voxtide.operators import features
 from voxtide.operators.topics import dominant_topic, pair_npmi, window_counts
 from voxtide.operators.stats import word_counts
 from voxtide.plans.registry import query, rounded, sql_list
 from voxtide.plans.stats_queries import KEPT_WORDS_SQL, WORDS_SQL
-from voxtide.session import spread
 from voxtide.sources.tables import table
 
 
 def _docs(spark, folder, *columns):
-    return spread(table(spark, folder, "documents")).select("doc_id", "text", *columns)
+    return table(spark, folder, "documents").select("doc_id", "text", *columns)
 
 
 def _lemma_sql(t: str) -> str:
-    cases = [f"WHEN length({t}) <= 3 THEN {t}"]
+    cases = [f"WHEN {t} = '{many}' THEN '{one}'" for many, one in tx.IRREGULAR.items()]
+    cases += [f"WHEN length({t}) <= 3 THEN {t}"]
     cases += [f"WHEN suffix({t}, '{e}') THEN {t}" for e in tx.KEEPS_S]
     cases += [f"WHEN suffix({t}, '{e}') THEN substr({t}, 1, length({t}) - {len(e)}) || '{s}'" for e, s in tx.NOUN_ENDINGS]
     return "CASE " + " ".join(cases) + f" ELSE {t} END"
@@ -64,7 +64,46 @@ def lemmatize(spark, folder):
     return tx.preprocess(_docs(spark, folder), "text").select("doc_id", "processed_text")
 
 
-@query("stem", "X6 UD1")
+def _stems_sql(tokens: str) -> str:
+    """Porter's steps in SQL, one list pass each; measures are told by regular expressions."""
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    one, two, exactly = f"^({c})?{v}{c}", f"^({c})?{v}{c}{v}{c}", f"^({c})?{v}{c}({v})?$"
+    vowel, short = f"^({c})?[aeiouy]", "(^[^aeiou]|[^aeiouy]|[aeiouy][^aeiou])[aeiouy][^aeiouwxy]$"
+    cut = lambda n: f"left(w, length(w) - {n})"
+    has = lambda what, pattern: f"regexp_matches({what}, '{pattern}')"
+
+    def swaps(pairs) -> str:
+        cases = [
+            f"WHEN suffix(w, '{e}') THEN CASE WHEN {has(cut(len(e)), one)} THEN {cut(len(e))} || '{new}' ELSE w END"
+            for e, new in sorted(pairs, key=lambda pair: -len(pair[0]))
+        ]
+        return f"CASE {' '.join(cases)} ELSE w END"
+
+    ends = " ".join(
+        f"WHEN suffix(w, '{e}') THEN CASE WHEN {has(cut(len(e)), two)}{' AND ' + has(cut(3), '[st]$') if e == 'ion' else ''} THEN {cut(len(e))} ELSE w END"
+        for e in sorted(stemming.STEP4, key=lambda e: -len(e))
+    )
+    steps = [
+        "CASE WHEN w[1] = 'y' THEN 'Y' || w[2:] ELSE w END",
+        f"CASE WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN {cut(2)} WHEN suffix(w, 's') AND NOT suffix(w, 'ss') THEN {cut(1)} ELSE w END",
+        f"CASE WHEN suffix(w, 'eed') THEN CASE WHEN {has(cut(3), one)} THEN {cut(1)} ELSE w END "
+        f"WHEN suffix(w, 'ed') AND {has(cut(2), vowel)} THEN {cut(2)} || '~' WHEN suffix(w, 'ing') AND {has(cut(3), vowel)} THEN {cut(3)} || '~' ELSE w END",
+        f"CASE WHEN NOT suffix(w, '~') THEN w WHEN {has(cut(1), '(at|bl|iz)$')} THEN {cut(1)} || 'e' "
+        f"WHEN w[-2] = w[-3] AND {has('w[-2]', '[bcdfghjkmnpqrtvwx]')} THEN {cut(2)} "
+        f"WHEN {has(cut(1), exactly)} AND {has(cut(1), short)} THEN {cut(1)} || 'e' ELSE {cut(1)} END",
+        f"CASE WHEN suffix(w, 'y') AND {has(cut(1), vowel)} THEN {cut(1)} || 'i' ELSE w END",
+        swaps(stemming.STEP2), swaps(stemming.STEP3), f"CASE {ends} ELSE w END",
+        f"CASE WHEN suffix(w, 'e') AND ({has(cut(1), two)} OR ({has(cut(1), exactly)} AND NOT {has(cut(1), short)})) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN suffix(w, 'll') AND {has(cut(1), two)} THEN {cut(1)} ELSE w END",
+        "CASE WHEN w[1] = 'Y' THEN 'y' || w[2:] ELSE w END",
+    ]
+    out = tokens
+    for step in steps:
+        out = f"list_transform({out}, lambda w: {step})"
+    return f"list_transform(list_zip({tokens}, {out}), lambda p: CASE WHEN length(p[1]) > 2 THEN p[2] ELSE p[1] END)"
+
+
+@query("stem", "X6 UD1", f"SELECT doc_id, array_to_string({_stems_sql(KEPT_WORDS_SQL)}, ' ') AS processed_text FROM documents")
 def stem(spark, folder):
     return tx.preprocess(_docs(spark, folder), "text", lemmatized=False, stemmed=True).select("doc_id", "processed_text")
 
@@ -110,22 +149,22 @@ def vocabulary(spark, folder):
     return features.top_terms(_docs(spark, folder), "text", 5000)
 
 
-@query("tfidf_of_new_texts", "V5", f"""WITH {tfidf_sql(1000)},
+@query("tfidf_of_new_texts", "V5", f"""WITH {tfidf_sql(5000)},
 newtok AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM conversations),
 newgram AS (SELECT conv_id, turn, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM newtok),
 newtf AS (SELECT conv_id, turn, term, count(*) * any_value(idf) AS w FROM newgram JOIN idf USING (term) GROUP BY ALL)
 SELECT conv_id * 100000 + turn AS id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY conv_id, turn)), 6) AS value FROM newtf""")
 def tfidf_of_new_texts(spark, folder):
-    fitted = features.fit_vocabulary(_docs(spark, folder), "text", "tfidf", 1000)
+    fitted = features.fit_vocabulary(_docs(spark, folder), "text", "tfidf", 5000)
     talk = table(spark, folder, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text")
     return rounded(features.long_terms(talk, "id", "text", fitted), "value")
 
 
-@query("sparse_vectors", "V6", f"""WITH {gram_sql(500)} SELECT d.doc_id, coalesce(count(term), 0) AS n_terms,
+@query("sparse_vectors", "V6", f"""WITH {gram_sql(5000)} SELECT d.doc_id, coalesce(count(term), 0) AS n_terms,
  coalesce(CAST(sum(n) AS DOUBLE), 0) AS total FROM documents d LEFT JOIN tf ON d.doc_id = tf.doc_id GROUP BY d.doc_id""")
 def sparse_vectors(spark, folder):
     docs = _docs(spark, folder)
-    rows = features.vectorize(docs, "doc_id", "text", features.fit_vocabulary(docs, "text", "count", 500))
+    rows = features.vectorize(docs, "doc_id", "text", features.fit_vocabulary(docs, "text", "count", 5000))
     values = F.unwrap_udt("features")["values"]
     return rows.select(
         "doc_id", F.size(values).cast("bigint").alias("n_terms"),
@@ -175,14 +214,14 @@ def npmi(spark, folder):
     return rounded(pair_npmi(_window_counts(spark, folder)), "npmi")
 
 
-@query("top_terms_per_topic", "L4", f"""WITH {gram_sql(500, 1)}, t AS (SELECT lang AS topic, term, CAST(sum(n) AS DOUBLE) AS weight FROM tf
+@query("top_terms_per_topic", "L4", f"""WITH {gram_sql(5000, 1)}, t AS (SELECT lang AS topic, term, CAST(sum(n) AS DOUBLE) AS weight FROM tf
  JOIN documents d ON d.doc_id = tf.doc_id GROUP BY ALL)
 SELECT topic, term, weight, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS INTEGER) AS rank FROM t) WHERE rank <= 10""")
 def top_terms(spark, folder):
     from voxtide.operators.topics import top_terms_per_topic
 
     docs = _docs(spark, folder, "lang")
-    vocab = features.fit_vocabulary(docs, "text", "count", 500, (1, 1))
+    vocab = features.fit_vocabulary(docs, "text", "count", 5000, (1, 1))
     long = features.long_terms(docs, "doc_id", "text", vocab)
     weights = long.join(table(spark, folder, "documents").select("doc_id", F.col("lang").alias("topic")), "doc_id")
     return top_terms_per_topic(weights.groupBy("topic", "term").agg(F.sum("value").alias("weight")), 10)
