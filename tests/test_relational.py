@@ -81,14 +81,23 @@ def test_quantiles_agree(spark):
     )
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
     exact = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", probabilities).alias("q")).collect()}
-    narrow = {r["g"]: r["quantiles"] for r in quantiles.quantiles(df, ["g"], "v", probabilities, small_domain=10, cuts=50).collect()}
+    narrow = {r["g"]: r["quantiles"] for r in quantiles.quantiles(df, ["g"], "v", probabilities).collect()}
     assert exact.keys() == narrow.keys()
     for g in exact:
         assert narrow[g] == pytest.approx(exact[g], rel=1e-12)
-    whole = quantiles.quantiles(df, [], "v", [0.5], small_domain=10, cuts=20).first()[0]
+    whole = quantiles.quantiles(df, [], "v", [0.5]).first()[0]
     assert whole == pytest.approx(df.agg(F.percentile("v", [0.5])).first()[0])
 
 
+def test_quantiles_of_nan_nulls_and_nothing(spark):
+    df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, float("nan"), None, 4.0, float("inf"))] + [("b", None)], "g string, v double")
+    out = {r["g"]: r["quantiles"] for r in quantiles.quantiles(df, ["g"], "v", [0.0, 0.5, 1.0]).collect()}
+    assert out == {"a": [1.0, 3.0, float("inf")]}
+    assert quantiles.quantiles(df.limit(0), [], "v", [0.5]).first()[0] == []
+    told = stats.describe(df.where("v is null or v < 9"), ["v"]).first()
+    assert (told["count"], told["min"], told["p50"], told["max"]) == (3, 1.0, 2.0, 4.0)
+
+
 def test_box_stats(spark):
     df = spark.createDataFrame([("a", v) for v in (1, 2, 3, 4, 100)] + [("b", 7)], "g string, v int")
     out = {r["g"]: r for r in stats.box_stats(df, "g", "v").collect()}
@@ -148,6 +157,27 @@ def test_numbering(spark):
     groups = df.select("k", F.when(F.col("k") < 800, "hot").otherwise("cold").alias("g"))
     ranks = rank_in_groups(groups, "g", "k", slices=8).groupBy("g").agg(F.sort_array(F.collect_list("rank")).alias("r")).collect()
     assert {r["g"]: r["r"] == list(range(len(r["r"]))) for r in ranks} == {"hot": True, "cold": True}
+    by_slices = [{tuple(r) for r in rank_in_groups(groups, "g", "k", slices=n).collect()} for n in (1, 64, 70)]
+    assert by_slices[0] == by_slices[1] == by_slices[2]
+
+
+def test_last_update_wins(spark):
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, x string, y int")
+    updates = spark.createDataFrame([(1, "c", 7), (1, None, 8), (3, "z", 9)], "k int, x string, other int").coalesce(1)
+    assert sorted(map(tuple, rows.update_rows(base, updates, "k").collect())) == [(1, None, 1), (2, "b", 2)]
+
+
+def test_ids_without_digits(spark):
+    existing = spark.createDataFrame([("F000007", "t"), ("manual", "u")], "feedback_id string, feedback_text string")
+    existing = existing.withColumn("date", F.lit("2024-01-01").cast("date"))
+    out = rows.append_feedback(existing, spark.createDataFrame([("v", "")], "feedback_text string, student_id string"), ["feedback_text"], "2024-02-02")
+    assert {r["feedback_id"] for r in out.collect()} == {"F000007", "manual", "F000008"}
+
+
+def test_too_many_labels(spark):
+    df = spark.range(2000).select((F.col("id") % 3).alias("r"), F.col("id").cast("string").alias("c"))
+    with pytest.raises(ValueError):
+        stats.crosstab(df, "r", "c")
 
 
 def test_split_is_stable(spark):

@@ -4,52 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtide.session import materialize
 
-SMALL_DOMAIN = 100_000  # distinct values that one aggregation buffer may hold
-CUTS, MOST_CUTS = 1000, 10_000
-PART_ROWS = 1_000_000  # aimed size of a value range
 
+def quantiles(df: DataFrame, groups: Sequence[str], column: str, probabilities: Sequence[float]) -> DataFrame:
+    """One row per group with the array column `quantiles`; nulls and NaN are no values.
 
-def quantiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    column: str,
-    probabilities: Sequence[float],
-    small_domain: int = SMALL_DOMAIN,
-    cuts: int | None = None,
-) -> DataFrame:
-    """One row per group with the array column `quantiles`.
-
-    `percentile` keeps a value → count map per group, which is fine for ratings and
-    the like. For columns with many distinct values the quantiles are found by
-    narrowing down instead: approximate cut points split the value range, counting
-    per range tells which range holds each wanted rank, and only those ranges are
-    looked at value by value. The table itself is never sorted or shuffled.
+    Equal values are counted before they are shuffled. The counted values are then sorted
+    over all tasks by (group, value), so a group may span many tasks; counting per group
+    and task tells which task holds each wanted rank, and only those tasks' rows are looked
+    at value by value.
     """
-    values = df.select(*groups, F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    distinct, n = values.agg(F.approx_count_distinct("v"), F.count("v")).first()
-    if distinct <= small_domain:
-        grouped = values.groupBy(*groups) if groups else values
-        return grouped.agg(F.percentile("v", [float(p) for p in probabilities]).alias("quantiles"))
-    cuts = cuts or min(MOST_CUTS, max(CUTS, n // PART_ROWS))
-    return _by_narrowing(values, list(groups), list(probabilities), cuts)
-
-
-def _by_narrowing(values: DataFrame, groups: list[str], probabilities: list[float], cuts: int) -> DataFrame:
-    points = values.agg(
-        F.percentile_approx("v", [i / cuts for i in range(1, cuts)], F.lit(10 * cuts))
-    ).first()[0]
-    edges = [float("-inf"), *sorted(set(points)), float("inf")]
-    cut = Bucketizer(splits=edges, inputCol="v", outputCol="part").transform(values)
-    sizes = cut.groupBy(*groups, "part").agg(F.count("*").alias("n"))
+    groups, probabilities = list(groups), list(probabilities)
+    v = F.col(column).cast("double")
+    values = df.select(*groups, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    counted = values.groupBy(*groups, "v").agg(F.count("*").alias("m"))
+    cut = materialize(counted.orderBy(*groups, "v").withColumn("part", F.spark_partition_id()), "values")
+    sizes = cut.groupBy(*groups, "part").agg(F.sum("m").alias("n"))
 
-    # `sizes` has at most `cuts` rows per group, so windows per group are small.
+    # `sizes` has a row per group and task that holds some of it, so windows per group are small.
     by_group = W.partitionBy(*(groups or [F.lit(0)]))
     upto = by_group.orderBy("part").rowsBetween(W.unboundedPreceding, 0)
     located = sizes.withColumns(
@@ -66,15 +43,13 @@ def _by_narrowing(values: DataFrame, groups: list[str], probabilities: list[floa
         (F.col("t.at") - F.floor("t.at")).alias("frac"),
         F.explode(F.array_distinct(F.array(F.floor("t.at"), F.ceil("t.at")))).alias("pos"),
     ).where((F.col("pos") >= F.col("below")) & (F.col("pos") < F.col("below") + F.col("n")))
-    # A few rows per group. Their size is known once written: normally they are broadcast
-    # to the scan, so that only rows of the wanted ranges are shuffled.
+    # A few rows per group; written, so that the planner knows their size.
     targets = materialize(targets, "ranks")
 
     keys = [*groups, "part"]
     held = cut.join(targets.select(*keys).distinct(), keys, "left_semi")
-    counts = held.groupBy(*keys, "v").agg(F.count("*").alias("m"))
     run = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ladder = counts.withColumn("top", F.sum("m").over(run))
+    ladder = held.withColumn("top", F.sum("m").over(run))
     found = targets.join(ladder, keys).where(
         (F.col("pos") - F.col("below") >= F.col("top") - F.col("m"))
         & (F.col("pos") - F.col("below") < F.col("top"))
@@ -82,7 +57,7 @@ def _by_narrowing(values: DataFrame, groups: list[str], probabilities: list[floa
     ends = found.groupBy(*groups, "i").agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("frac").alias("frac")
     )
-    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac"))
     pairs = F.array_sort(F.collect_list(F.struct("i", value.alias("q"))))
     grouped = ends.groupBy(*groups) if groups else ends
     return grouped.agg(pairs.alias("pairs")).select(

@@ -39,9 +39,17 @@ def top_values(df: DataFrame, column: str, k: int) -> list:
     return [row[0] for row in value_counts(df, column, k).collect()]
 
 
+MOST_LABELS = 1000  # columns of a wide table
+
+
 def label_values(df: DataFrame, column: str) -> list:
-    """The distinct labels of a column in order; labels are few by nature."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
+    """The distinct labels of a column in order, each to become a column of a wide table.
+
+    More than MOST_LABELS are refused; `pair_counts` has the same numbers in long form.
+    """
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"{column} has more than {MOST_LABELS} labels: use the long form")
     return sorted(row[0] for row in rows)
 
 
@@ -76,23 +84,17 @@ def distinct_count(df: DataFrame, column: str, approximate: bool = False) -> Dat
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max, one row per column."""
-    exprs = []
-    for c in columns:
-        exprs += [F.count(c).alias(f"{c}~count"), F.avg(c).alias(f"{c}~mean"), F.stddev_samp(c).alias(f"{c}~std"),
-                  F.min(c).cast("double").alias(f"{c}~min"), F.max(c).cast("double").alias(f"{c}~max")]
-    structs = []
-    for c in columns:
-        quartile = quantiles(df, [], c, (0.25, 0.5, 0.75)).scalar()
-        structs.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                *[F.col(f"{c}~{s}").alias(s) for s in ("count", "mean", "std", "min")],
-                *[quartile[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))],
-                F.col(f"{c}~max").alias("max"),
-            )
-        )
-    return df.agg(*exprs).select(F.inline(F.array(*structs)))
+    """count, mean, std, min, quartiles and max, one row per column; nulls and NaN are no values."""
+    clean = [F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]
+    long = df.select(*clean).unpivot([], list(columns), "column_name", "v")  # all columns in one pass
+    plain = long.groupBy("column_name").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    quartiles = quantiles(long, ["column_name"], "v", (0.25, 0.5, 0.75))
+    both = plain.join(quartiles, "column_name", "left")
+    return both.select(
+        "column_name", "count", "mean", "std", "min", *[F.col("quantiles")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "max"
+    )
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence | None = None) -> DataFrame:
