@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from voxtide.operators.features import Vocabulary, term_table, vectorize
 from voxtide.operators.metrics import full_report, scores
 from voxtide.operators.numbering import modulo, rank_in_groups
-from voxtide.session import compact
 
 MODELS = ("logistic_regression", "naive_bayes", "random_forest", "svm")
 
@@ -100,7 +99,7 @@ def train(df: DataFrame, label: str, model: str = "logistic_regression", seed: i
         ).fit(rows)
         n = rows.count()
         estimator = make_estimator(model, n, len(indexer.labels), seed, **point)
-        indexed = compact(indexer.transform(rows), n)
+        indexed = indexer.transform(rows)
         fitted = estimator.fit(indexed)
         if model == "naive_bayes":
             fitted.setThresholds(_plain_priors(indexed, fitted.getSmoothing()))
@@ -152,7 +151,7 @@ def tune(
     try:
         indexer = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
         n = rows.count()
-        indexed = compact(indexer.transform(rows), n)
+        indexed = indexer.transform(rows)
         base = make_estimator(model, n, len(indexer.labels), seed)
         tuned = base.getClassifier() if isinstance(base, OneVsRest) else base
         builder = ParamGridBuilder()
@@ -204,7 +203,7 @@ class Scorer:
 
     def __call__(self, df: DataFrame, key: str, text: str) -> DataFrame:
         kept = [c for c in df.columns if c not in (key, text)]
-        out = vectorize(df.where(F.col(key).isNotNull()), key, text, self.vocabulary, kept)
+        out = vectorize(df, key, text, self.vocabulary, kept)
         for label, model in self.models.items():
             out = predict(model, out, label).drop("confidence")
         return out.drop("features")

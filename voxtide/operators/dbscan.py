@@ -32,7 +32,7 @@ def _blocks(points: DataFrame, eps: float, block_rows: int, max_pivots: int) ->
     n = points.count()
     wanted = min(max(1, math.ceil(n / block_rows)), max_pivots)
     picked = points.orderBy(hash_int(F.col("id"), "pivot"), "id").limit(wanted).select("v").collect()
-    pivots = np.array([row["v"] for row in picked], dtype=float).reshape(len(picked), -1)
+    pivots = np.array([row["v"] for row in picked], dtype=float).reshape(len(picked), -1 if picked else 0)
     sent = spark.sparkContext.broadcast(pivots)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

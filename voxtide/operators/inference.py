@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 # Model labels and the classes they stand for; others are neutral.
 CLASS_OF = {"POSITIVE": "Positive", "NEGATIVE": "Negative"}
@@ -15,17 +15,13 @@ Model = Callable[[Sequence[str]], Sequence[tuple[str, float]]]
 
 
 def score_with_model(df: DataFrame, text: str, load: Callable[[], Model]) -> DataFrame:
-    """Add `predicted_sentiment` and `confidence` from a model.
+    """Add `predicted_sentiment` and `confidence` from a model; only the text is sent to Python.
 
     `load` is called once per task and returns a function from texts to (label, score)
     pairs. A text the model fails on is neutral with confidence 0.
     """
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField("predicted_sentiment", T.StringType()),
-         T.StructField("confidence", T.DoubleType())]
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("predicted_sentiment string, confidence double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load()
 
         def one_by_one(texts: list[str]) -> list[tuple[str, float]]:
@@ -38,14 +34,14 @@ def score_with_model(df: DataFrame, text: str, load: Callable[[], Model]) -> Dat
             return out
 
         for batch in batches:
-            texts = batch[text].fillna("").tolist()
+            texts = batch.fillna("").tolist()
             try:
                 found = list(model(texts))
             except Exception:
                 found = one_by_one(texts)
-            yield batch.assign(
-                predicted_sentiment=[CLASS_OF.get(label, "Neutral") for label, _ in found],
-                confidence=[float(score) for _, score in found],
-            )
+            yield pd.DataFrame({
+                "predicted_sentiment": [CLASS_OF.get(label, "Neutral") for label, _ in found],
+                "confidence": [float(value) for _, value in found],
+            })
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn("_scored", score(F.col(text))).select(*df.columns, "_scored.*")

@@ -49,11 +49,14 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def update_rows(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Apply a table of updates (one row per key); fields unknown to the base are ignored."""
+    """Apply a table of updates; fields unknown to the base are ignored.
+
+    Of several updates of one key the last one wins, in the order the table is read.
+    """
     fields = [c for c in updates.columns if c != key and c in base.columns]
-    changes = updates.select(
-        F.col(key).alias("_key"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in fields]
-    )
+    last = F.max_by(F.struct(*[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_hit")), "_place")
+    changes = updates.withColumn("_place", F.monotonically_increasing_id()).groupBy(F.col(key).alias("_key")).agg(last.alias("_last"))
+    changes = changes.select("_key", "_last.*")
     joined = base.join(changes, base[key] == changes["_key"], "left")
     return joined.select(
         *[
@@ -115,7 +118,7 @@ def append_feedback(existing: DataFrame, submitted: DataFrame, order_by: list, t
 
     Numbers go on from the highest one in use, so that ids stay unique after deletions.
     """
-    code = F.regexp_extract("feedback_id", r"(\d+)$", 1).cast("bigint")
+    code = F.regexp_extract("feedback_id", r"(\d+)$", 1).try_cast("bigint")
     highest = existing.agg(F.max(code)).first()[0] or 0
     numbered = number_rows(fill_defaults(submitted), order_by, start=highest + 1, name="_number")
     added = numbered.withColumns(

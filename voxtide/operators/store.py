@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.operators.numbering import number_rows
@@ -122,8 +122,8 @@ def topic_analysis_rows(
 
 
 def _with_text(best: DataFrame, feedback: DataFrame, key: str, text: str) -> DataFrame:
-    """Fetch texts for a few chosen rows (`best` holds at most its limit)."""
-    return F.broadcast(best).join(feedback.select(F.col(key).alias("id"), text), "id")
+    """Fetch texts for the chosen rows; they are written first, so that the planner knows their size."""
+    return materialize(best, "chosen").join(feedback.select(F.col(key).alias("id"), text), "id")
 
 
 def labelled_feedback(
@@ -199,9 +199,9 @@ class Store:
                 for f in schema.fields
             ]
         )
-        before = self.table(name).count()
-        full.write.mode("append").parquet(self.path(name))
-        return self.table(name).count() - before
+        seen = Observation()
+        full.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(self.path(name))
+        return seen.get["n"]
 
     def import_feedback(self, df: DataFrame, order_by: Sequence[str], today: str) -> int:
         return self.append("feedback", import_feedback(df, order_by, today, self.next_id("feedback")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,24 +32,25 @@ def build_session(app: str = "voxtide", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-_LOCAL_ROOTS: dict[str, str] = {}  # temporary folder per local session
+_ROOTS: dict[str, str] = {}  # by application; removed by its JVM when it ends
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster in spark.checkpoint.dir.
+    """A folder of this application below the one the cluster names in spark.checkpoint.dir.
 
-    A local session that names none gets a temporary folder; a cluster session
-    that names none is an error, since executors do not share local disks.
+    Where none is named, it lies in the warehouse, which is shared as well. The folder is
+    removed when the application ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
     app = spark.sparkContext.applicationId
-    if app in _LOCAL_ROOTS:
-        return _LOCAL_ROOTS[app]
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _LOCAL_ROOTS.setdefault(app, tempfile.mkdtemp(prefix="voxtide-"))
+    if app not in _ROOTS:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{app}")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS[app] = files.makeQualified(path).toString()
+    return _ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -66,23 +66,3 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that is stored in fewer splits than there are cores.
-
-    Text work is heavy per byte, so moving such a small table once pays off. Tables with
-    enough splits are returned as they are. To be called on a scan: on a joined table,
-    asking for the number of partitions would already run the join.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def compact(df: DataFrame, n_rows: int, rows_per_task: int = 4096) -> DataFrame:
-    """Fewer, fuller tasks for a small table that is read over and over.
-
-    Iterative fits pay per task and round; tables of more rows than that keep their tasks.
-    """
-    tasks = max(1, -(-n_rows // rows_per_task))
-    return df.coalesce(tasks)

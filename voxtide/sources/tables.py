@@ -47,3 +47,16 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their quality and toxicity labels (null where unlabelled)."""
     labels = table(spark, folder, "labels")
     return table(spark, folder, "documents").join(labels, "doc_id", "left")
+
+
+def fingerprint(spark: SparkSession, folder: str, names: list[str]) -> tuple:
+    """Name, size and time of change of the files of some tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        found = path.getFileSystem(conf).globStatus(path)
+        for top in found or []:
+            for f in top.getPath().getFileSystem(conf).listStatus(top.getPath()):
+                out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
