@@ -12,24 +12,33 @@ from voxtide.operators import classify, clusters, features, nmf, reduce as reduc
 from voxtide.plans.registry import query, rounded
 from voxtide.plans.rows_queries import _h
 from voxtide.plans.text_queries import gram_sql
-from voxtide.session import spread
-from voxtide.sources.tables import labelled_documents, table
+from voxtide.sources.tables import fingerprint, labelled_documents, table
 
-TERMS = 500
+TERMS = 5000
 K = 5
-_FITTED: dict = {}
+_FITTED: dict = {}  # of one set of files
 
 
 def fitted(spark, folder, name, make):
-    """Fit once per session and folder; the queries below share vocabularies and models."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _FITTED:
-        _FITTED[key] = make()
-    return _FITTED[key]
+    """Fit once per session and set of files; the queries below share vocabularies and models.
+
+    Files are told apart by name, size and time of change. When others are asked for, what was
+    fitted on the last ones is released.
+    """
+    files = (spark.sparkContext.applicationId, fingerprint(spark, folder, ["documents", "labels", "conversations", "embeddings"]))
+    if _FITTED.get("files") != files:
+        for old in _FITTED.values():
+            if isinstance(old, DataFrame):
+                old.unpersist()
+        _FITTED.clear()
+        _FITTED["files"] = files
+    if name not in _FITTED:
+        _FITTED[name] = make()
+    return _FITTED[name]
 
 
 def _docs(spark, folder) -> DataFrame:
-    docs = spread(table(spark, folder, "documents")).join(table(spark, folder, "labels"), "doc_id", "left")
+    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
     sentiment = F.when(F.col("quality") == 1, "Positive").when(F.col("quality") == 0, "Negative")
     return docs.select("doc_id", "text", F.col("lang").alias("category"), sentiment.alias("sentiment"))
 
@@ -67,7 +76,7 @@ def multinomial_logistic_regression_scores(spark, folder):
 
 @query("random_forest_scores", "M3 M7")
 def random_forest_scores(spark, folder):
-    return _report(spark, folder, "category", "random_forest", n_estimators=20, max_depth=10)
+    return _report(spark, folder, "category", "random_forest")
 
 
 @query("svm_scores", "M4 M7")
@@ -107,7 +116,7 @@ def naive_bayes_predictions(spark, folder):
 
 
 @query("stratified_folds", "M8", f"""
-SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY {_h('doc_id', '', 'slice42')} % 64, doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels""")
+SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY {_h('doc_id', '', 'slice42')}, doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels""")
 def stratified_folds(spark, folder):
     return classify.stratified_folds(table(spark, folder, "labels").select("doc_id", "quality"), "quality", "doc_id")
 
@@ -121,14 +130,14 @@ def tuned_model(spark, folder):
 @query("score_new_feedback", "M10")
 def score_new_feedback(spark, folder):
     scorer = classify.Scorer(_vocabulary(spark, folder, "count"), {"category": _bayes(spark, folder)})
-    talk = spread(table(spark, folder, "conversations"))
+    talk = table(spark, folder, "conversations")
     return scorer(talk.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text"), "id", "text")
 
 
 @query("feature_importance", "L6 M3")
 def feature_importance(spark, folder):
     vocabulary = _vocabulary(spark, folder, "count")
-    found = classify.train(_vectors(spark, folder, "count"), "category", "random_forest", n_estimators=20, max_depth=10)
+    found = classify.train(_vectors(spark, folder, "count"), "category", "random_forest")
     return classify.feature_importance(_docs(spark, folder), found, vocabulary, 20)
 
 
@@ -162,7 +171,7 @@ def lda_distribution_long(spark, folder):
 def topic_samples(spark, folder):
     found = topics.topic_distribution(_lda(spark, folder), _vectors(spark, folder, "count", (1, 1)), "doc_id")
     named = found.select("doc_id", topics.dominant_topic(F.col("probabilities")).alias("topic"))
-    docs = table(spark, folder, "documents").select("doc_id", F.substring("text", 1, 40).alias("start"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return clusters.first_members(docs, named, "doc_id", "topic", 3)
 
 
@@ -183,7 +192,7 @@ def best_topic_count(spark, folder):
     vectors = _vectors(spark, folder, "count", (1, 1))
     _, _, table_ = topics.find_topic_count(
         vectors, _docs(spark, folder), tx.word_tokens(F.col("text")), _vocabulary(spark, folder, "count", (1, 1)),
-        start=2, limit=7, step=2,
+        start=2, limit=11, step=2,
     )
     return table_
 
@@ -191,7 +200,7 @@ def best_topic_count(spark, folder):
 def _nmf(spark, folder):
     def make():
         vocabulary = _vocabulary(spark, folder, "count", (1, 1))
-        return nmf.fit_nmf(_vectors(spark, folder, "count", (1, 1)), len(vocabulary.terms), k=K, rounds=15)
+        return nmf.fit_nmf(_vectors(spark, folder, "count", (1, 1)), len(vocabulary.terms), k=K)
 
     return fitted(spark, folder, "nmf", make)
 
@@ -273,7 +282,7 @@ def batch_analysis(spark, folder):
     train, test = rows.split_rows(vectors, "doc_id")
     parts = []
     for label, model, point in (
-        ("sentiment", "logistic_regression", {}), ("category", "random_forest", {"n_estimators": 20, "max_depth": 10}),
+        ("sentiment", "logistic_regression", {}), ("category", "random_forest", {}),
     ):
         scored, _ = classify.evaluate(classify.train(train, label, model, **point), test, label)
         wide = scored.select("accuracy", "f1_weighted")

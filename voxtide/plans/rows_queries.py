@@ -289,10 +289,10 @@ def latest_in_store(spark, folder):
 
 
 @query("first_rows_per_group", "L5", """
-SELECT lang, doc_id, substr(text, 1, 40) AS start, rank FROM
+SELECT lang, doc_id, text, rank FROM
  (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INTEGER) AS rank FROM documents) WHERE rank <= 3""")
 def first_rows_per_group(spark, folder):
-    docs = table(spark, folder, "documents").select("lang", "doc_id", F.substring("text", 1, 40).alias("start"))
+    docs = table(spark, folder, "documents").select("lang", "doc_id", "text")
     return rows.first_per_group(docs, "lang", [F.asc("doc_id")], 3)
 
 

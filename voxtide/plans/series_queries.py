@@ -65,23 +65,22 @@ for _unit, _freq in (("day", "D"), ("week", "W"), ("month", "M"), ("quarter", "Q
 
 
 @query("sparse_volume", "T3", f"""
-WITH few AS (SELECT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_totalprice > 480000),
-{dense_sql('day', 'few', 'date', 'count(*) AS count', VOLUME)} SELECT * FROM dense""")
+WITH every AS (SELECT CAST(o_orderdate AS DATE) AS date FROM orders),
+{dense_sql('day', 'every', 'date', 'count(*) AS count', VOLUME)} SELECT * FROM dense""")
 def sparse_volume(spark, folder):
-    return series.volume(feedback_from_orders(spark, folder).where("amount > 480000"), freq="D")
+    return series.volume(feedback_from_orders(spark, folder), freq="D")
 
 
 def _column_query(how: str):
     agg = {"count": "count(rating)", "mean": "avg(rating)", "sum": "CAST(coalesce(sum(rating), 0) AS BIGINT)"}[how]
     fill = "round(v, 6)" if how == "mean" else "coalesce(v, 0)"
-    sql = f"""WITH few AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(1 + least(4, floor(o_totalprice / 100000)) AS INTEGER) AS rating
-  FROM orders WHERE o_totalprice > 450000),
-{dense_sql('week', 'few', 'date', f'{agg} AS v', f'{fill} AS rating')} SELECT * FROM dense"""
+    sql = f"""WITH every AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(1 + least(4, floor(o_totalprice / 100000)) AS INTEGER) AS rating
+  FROM orders),
+{dense_sql('week', 'every', 'date', f'{agg} AS v', f'{fill} AS rating')} SELECT * FROM dense"""
 
     @query(f"rating_{how}_by_week", "T4", sql)
     def run(spark, folder):
-        few = feedback_from_orders(spark, folder).where("amount > 450000")
-        out = series.column_series(few, "rating", how, freq="W")
+        out = series.column_series(feedback_from_orders(spark, folder), "rating", how, freq="W")
         return rounded(out, "rating") if how == "mean" else out
 
 

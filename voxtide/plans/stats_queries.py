@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from voxtide.functions.text import drop_stop_words, split_words, clean, STOP_WORDS
 from voxtide.operators import stats
 from voxtide.plans.registry import query, rounded, sql_list
-from voxtide.session import spread
 from voxtide.sources.tables import FEEDBACK_SQL, feedback_from_orders, labelled_documents, table
 
 WITH_FB = "WITH " + FEEDBACK_SQL
@@ -168,16 +167,16 @@ def correlation(spark, folder):
 SELECT word, count(*) AS count FROM (SELECT unnest({KEPT_WORDS_SQL}) AS word FROM documents)
 GROUP BY word ORDER BY count DESC, word LIMIT 200""")
 def word_frequencies(spark, folder):
-    docs = spread(table(spark, folder, "documents")).select("text")
+    docs = table(spark, folder, "documents").select("text")
     return stats.word_counts(docs, drop_stop_words(split_words(clean(F.col("text")))))
 
 
 @query("word_frequencies_by_language", "A19 L5", f"""
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY count DESC, word) AS INTEGER) AS rank FROM (
-  SELECT lang, word, count(*) AS count FROM (SELECT lang, unnest({KEPT_WORDS_SQL}) AS word FROM documents) GROUP BY ALL)) WHERE rank <= 50""")
+  SELECT lang, word, count(*) AS count FROM (SELECT lang, unnest({KEPT_WORDS_SQL}) AS word FROM documents) GROUP BY ALL)) WHERE rank <= 200""")
 def word_frequencies_by_language(spark, folder):
-    docs = spread(table(spark, folder, "documents")).select("lang", "text")
-    return stats.word_counts_by(docs, "lang", drop_stop_words(split_words(clean(F.col("text")))), 50)
+    docs = table(spark, folder, "documents").select("lang", "text")
+    return stats.word_counts_by(docs, "lang", drop_stop_words(split_words(clean(F.col("text")))))
 
 
 @query("cluster_sizes", "A20 E9", "SELECT label, count(*) AS size FROM embeddings GROUP BY label")

@@ -8,7 +8,6 @@ from voxtide.functions.lexicon import score_sentiment
 from voxtide.operators import metrics, stats, store
 from voxtide.operators.inference import score_with_model
 from voxtide.plans.registry import query, rounded
-from voxtide.session import spread
 from voxtide.sources.tables import labelled_documents, table
 
 # Frequent words stand in for the default lists, which hardly occur in these texts.
@@ -137,7 +136,7 @@ scored AS (SELECT doc_id, lang, CASE WHEN d > 0 THEN 'Positive' WHEN d < 0 THEN
 
 
 def _scored(spark, folder):
-    docs = spread(table(spark, folder, "documents")).select("doc_id", "lang", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
     return score_sentiment(docs, "text", POSITIVE, NEGATIVE)
 
 
@@ -152,7 +151,7 @@ WITH s AS (SELECT doc_id, list_sum(list_transform(['excellent','great','good','h
 SELECT doc_id, CASE WHEN d > 0 THEN 'Positive' WHEN d < 0 THEN 'Negative' ELSE 'Neutral' END AS predicted_sentiment,
  CAST(CASE WHEN d = 0 THEN 0.5 ELSE least(0.5 + abs(d) * 0.1, 0.9) END AS DOUBLE) AS confidence FROM s""")
 def default_lexicon_sentiment(spark, folder):
-    docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return rounded(score_sentiment(docs, "text").drop("text"), "confidence")
 
 
@@ -191,5 +190,5 @@ def _load_word_model():
 WITH b AS (SELECT doc_id, length(text) - length(replace(text, ' ', '')) AS n FROM documents)
 SELECT doc_id, ['Positive', 'Negative', 'Neutral'][n % 3 + 1] AS predicted_sentiment, CAST(0.5 + 0.1 * (n % 5) AS DOUBLE) AS confidence FROM b""")
 def model_inference(spark, folder):
-    docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return rounded(score_with_model(docs, "text", _load_word_model).drop("text"), "confidence")
