@@ -20,10 +20,7 @@ def test_same_as_sql(spark, data, db, name):
     assert state == "ok", note
 
 
-SLOW = ("svm", "logistic", "batch_analysis", "tuned", "combined_analysis")
-
-
-@pytest.mark.parametrize("name", [n for n in FITTED if not any(s in n for s in SLOW)])
+@pytest.mark.parametrize("name", FITTED)
 def test_fitted_queries_give_rows(spark, data, name):
     assert QUERIES[name].run(spark, data).count() > 0
 
