@@ -52,7 +52,10 @@ def sum_over_tasks(data: DataFrame, work: Callable[[Iterator[np.ndarray]], np.nd
         yield pd.DataFrame({"row": np.arange(len(matrix), dtype="int32"), "part": list(matrix)})
 
     parts = data.mapInPandas(run, "row int, part array<double>")
-    summed = parts.groupBy("row").agg(Summarizer.sum(array_to_vector("part")).alias("total"))
+    # few rows and many tasks: partial sums of groups of tasks first, then of the groups
+    vector = parts.withColumn("some", F.spark_partition_id() % 64).withColumn("part", array_to_vector("part"))
+    partial = vector.groupBy("row", "some").agg(Summarizer.sum(F.col("part")).alias("part"))
+    summed = partial.groupBy("row").agg(Summarizer.sum(F.col("part")).alias("total"))
     rows = summed.select("row", vector_to_array("total").alias("total")).orderBy("row").collect()
     return np.array([row["total"] for row in rows])
 

@@ -127,7 +127,14 @@ def tuned_model(spark, folder):
     return spark.createDataFrame([(str(k), float(v), score) for k, v in best.items()], "parameter string, value double, f1 double")
 
 
-@query("score_new_feedback", "M10")
+@query("score_new_feedback", "M10", f"""WITH {NB},
+pri AS (SELECT lang AS category, ln(count(*) / (SELECT count(*) FROM documents)) AS p FROM documents GROUP BY lang),
+said AS (SELECT conv_id * 100000 + turn AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM conversations),
+newgram AS (SELECT id, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM said),
+newtf AS (SELECT id, term, count(*) AS n FROM newgram WHERE term IN (SELECT term FROM vocab) GROUP BY ALL),
+sc AS (SELECT s.id, pri.category, p + coalesce(sum(n * log_likelihood), 0) AS s FROM said s CROSS JOIN pri
+  LEFT JOIN newtf ON newtf.id = s.id LEFT JOIN ll ON ll.category = pri.category AND ll.term = newtf.term GROUP BY s.id, pri.category, p)
+SELECT id, arg_max(category, s) AS predicted_category FROM sc GROUP BY id""")
 def score_new_feedback(spark, folder):
     scorer = classify.Scorer(_vocabulary(spark, folder, "count"), {"category": _bayes(spark, folder)})
     talk = table(spark, folder, "conversations")
