@@ -27,7 +27,7 @@ STEM = 5  # bytes
 SAMPLE_ROWS = 12_000  # rated rows the model is fitted on
 PENALTY, RATE = 1.0, 0.3
 STEPS = 96_000  # rows looked at in whole passes over the sample
-EVIDENCE = 4.5  # standard errors; below that a feature is noise
+EVIDENCE = 4.0  # standard errors; below that a feature is noise
 SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,'-")
 
 
