@@ -6,8 +6,9 @@
    values cost 64 evaluations. Two permutations with both their ends make one of 32 bands.
 3. Classes that share a band are one bucket. In each bucket every member is compared with the
    bucket's first member: links grow with the members, not with their pairs.
-4. Members of a bucket that are still in different components afterwards are compared with each
-   other in blocks: sets meet in tasks of bounded size and only links leave them.
+4. Members of a bucket that are still in different components afterwards are compared in blocks:
+   sets meet in tasks of bounded size and only links leave them. Members of the bucket's largest
+   component meet the others, not each other.
 
 At a similarity of 0.8 a pair shares no band with a probability below 1e-7.
 """
@@ -193,24 +194,53 @@ def _links_with_first(buckets: DataFrame, sets: DataFrame, percent: int) -> Data
     return both.where(similar(common, F.size("a"), F.size("b"), percent)).select("u", "v")
 
 
+def _blocks(n: str, name: str):
+    return F.expr(f"int(({n} + {BLOCK - 1}) div {BLOCK})").alias(name)
+
+
 def _links_between(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a bucket that are in different components, found block by block."""
-    sizes = rest.groupBy("bucket").agg(F.count("*").alias("m")).select("bucket", F.expr(f"int((m + {BLOCK - 1}) div {BLOCK})").alias("blocks"))
-    placed = rest.join(materialize(sizes, "blocks"), "bucket").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    met = placed.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-        "bucket", "v", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
+    """Links between members of a bucket that are in different components, found block by block.
+
+    Members of a bucket's largest component need not meet each other. They meet the others once per
+    component, not once per bucket; the others meet within their bucket.
+    """
+    each = rest.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    large = materialize(each.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("large")), "large")
+    tagged = materialize(rest.join(large, "bucket").withColumn("inside", F.col("component") == F.col("large")), "tagged")
+
+    apart = tagged.select(F.col("large").alias("key"), "v", "component", "inside").distinct()
+    sizes = apart.groupBy("key").agg(F.count_if("inside").alias("m"), F.count_if(~F.col("inside")).alias("n"))
+    apart = apart.join(materialize(sizes.select("key", _blocks("m", "i_blocks"), _blocks("n", "j_blocks")), "blocks"), "key")
+    place = F.xxhash64("v")
+    first = apart.where("inside").select(
+        F.lit(0).alias("kind"), "key", F.pmod(place, F.col("i_blocks")).cast("int").alias("i"),
+        F.explode(F.expr("sequence(0, j_blocks - 1)")).alias("j"), F.lit(0).alias("side"), "v", "component",
+    )
+    second = apart.where("not inside").select(
+        F.lit(0).alias("kind"), "key", F.explode(F.expr("sequence(0, i_blocks - 1)")).alias("i"),
+        F.pmod(place, F.col("j_blocks")).cast("int").alias("j"), F.lit(1).alias("side"), "v", "component",
+    )
+
+    others = tagged.where("not inside").select(F.col("bucket").alias("key"), "v", "component")
+    sizes = others.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    others = others.join(materialize(sizes.where("lo < hi").select("key", _blocks("n", "blocks")), "blocks"), "key")
+    others = others.withColumn("own", F.pmod(place, F.col("blocks")).cast("int"))
+    within = others.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
+        F.lit(1).alias("kind"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "v", "component",
     )
-    full = met.join(sets, met["v"] == sets["id"]).select("bucket", "i", "j", "side", "v", "component", "shingles")
+    met = first.unionByName(second).unionByName(within)
+    full = met.join(sets, met["v"] == sets["id"]).select("kind", "key", "i", "j", "side", "v", "component", "shingles")
 
     def meet(table: pa.Table) -> pa.Table:
-        own = [np.asarray(s.values.to_numpy(zero_copy_only=False)).view(U64) for s in table["shingles"]]
-        links = block_links(
-            table["v"].to_numpy(), table["component"].to_numpy(), table["side"].to_numpy(), own, percent
-        ) if table["i"][0] == table["j"][0] or len(set(table["side"].to_pylist())) == 2 else []
+        sides = set(table["side"].to_pylist())
+        links: list[tuple[int, int]] = []
+        if len(sides) == 2 or table["kind"][0].as_py() == 1 and table["i"][0] == table["j"][0]:
+            own = [np.asarray(s.values.to_numpy(zero_copy_only=False)).view(U64) for s in table["shingles"]]
+            links = block_links(table["v"].to_numpy(), table["component"].to_numpy(), table["side"].to_numpy(), own, percent)
         return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
-    return full.groupBy("bucket", "i", "j").applyInArrow(meet, "u bigint, v bigint")
+    return full.groupBy("kind", "key", "i", "j").applyInArrow(meet, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -267,4 +297,5 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
 def keep_one(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """The documents without those that another document of their group stands for."""
     gone = near_duplicates(docs, id=id, **options).where(~F.col("kept")).select(id).distinct()
-    return docs.join(gone, id, "left_anti").select(*docs.columns)
+    # written, so that the planner knows its size; a document with a null id stays
+    return docs.join(materialize(gone, "gone"), id, "left_anti").select(*docs.columns)
