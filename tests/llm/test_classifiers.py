@@ -181,3 +181,43 @@ def test_labels_of_held_out_rows_are_not_read(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     other = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
     assert langid.learn(docs) == langid.learn(other)
+
+
+def test_every_label_is_learned(spark):
+    """More labels than one group holds, the rarest with one text of many letters."""
+    rng, rows, n = random.Random(7), [], 70
+    told = {}
+    for k in range(n):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+        text = lambda m: " ".join(rng.choice(words) for _ in range(m))  # noqa: B023, E731
+        ids = [i for i in range(k * 100, k * 100 + 100) if not langid.is_held_out(i)][: 1 if k > 64 else 2]
+        rows += [(i, text(300), f"l{k:02}") for i in ids]
+        told[k * 100 + 99_000] = f"l{k:02}"
+        rows.append((k * 100 + 99_000, text(30), None))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    samples = langid.learn(df)
+    assert len(samples) == n > langid.GROUP
+    got = langid.predict_language(df, samples)
+    assert got.columns == [*df.columns, "language"]
+    right = {r["doc_id"]: r["language"]["lang_pred"] for r in got.where("lang is null").collect()}
+    assert right == told
+    # as all languages at once would
+    made = Languages(samples)
+    for r in got.where("lang is null").limit(10).collect():
+        row = sorted(made.phrases([letters_of(r["text"].encode())])[0].tolist())
+        assert r["language"]["score"] == 1 - row[0] / row[1]
+
+
+def test_more_labels_do_not_shorten_the_samples():
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefghij") for _ in range(2_000)).encode()
+    few, many = Languages([("a", [text])]), Languages([(f"l{k:03}", [text]) for k in range(100)])
+    probe = [letters_of(text)]
+    assert set(many.phrases(probe)[0].tolist()) == set(few.phrases(probe)[0].tolist())
+
+
+def test_sparse_table_is_the_full_one():
+    rng = random.Random(6)
+    symbols = [rng.randint(0, 40) for _ in range(3000)]
+    full, some = Automaton(symbols, 41).table, Automaton(symbols, 41, 0).table
+    assert (some[np.arange(len(full))] == full).all() and not full[::41].any()

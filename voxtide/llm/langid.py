@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import batch_udf, kept, small_batches, struct_rows, utf8
+from voxtide.llm.common import U64, batch_udf, kept, mixed, small_batches, struct_rows, utf8
+from voxtide.session import materialize
 
-SAMPLE_LETTERS = 160_000  # labelled letters of all languages together
+LANGUAGE_LETTERS = 40_000  # labelled letters of each language
 SAMPLE_TEXTS = 150  # texts per language, each with at most LETTERS_PER_TEXT letters
 LETTERS_PER_TEXT = 2_000
-LANGUAGES = 64  # the most frequent labels
+GROUP = 32  # languages that a worker holds at once; more are looked at in several passes
+DENSE = 16_000_000  # entries of full tables that a worker holds; above, only the entries in use
 SEGMENT = 400  # letters parsed in one go; a phrase ends where a segment ends
 ALPHABET = 255  # the most frequent letters of the sample; others match nowhere
 UNKNOWN = "und"
@@ -55,10 +57,49 @@ def letters_of(text: bytes) -> np.ndarray:
     return out[:-1] if len(out) and out[-1] == 32 else out
 
 
+class Sparse:
+    """The entries of a table that are not 0, by open addressing; half of the slots at least are free."""
+
+    dtype = np.int64
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        n = 1 << max(4, (2 * len(keys)).bit_length())
+        self.last, self.keys, self.values = U64(n - 1), np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        slots = self._slots(keys)
+        while len(keys):
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[free]  # of several keys the last one stays
+            stays = self.keys[slots] == keys
+            self.values[slots[stays]] = values[stays]
+            keys, values, slots = keys[~stays], values[~stays], slots[~stays] + U64(1) & self.last
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return mixed(keys.astype(U64)) & self.last
+
+    def __getitem__(self, entries: np.ndarray) -> np.ndarray:
+        entries = np.asarray(entries, np.int64)
+        slots = self._slots(entries)
+        held = self.keys[slots]
+        out = np.where(held == entries, self.values[slots], 0)
+        rest = np.flatnonzero((held != entries) & (held >= 0))
+        slots = slots[rest]
+        while len(rest):
+            slots = slots + U64(1) & self.last
+            held, wanted = self.keys[slots], entries[rest]
+            same = held == wanted
+            out[rest[same]] = self.values[slots[same]]
+            on = ~same & (held >= 0)
+            rest, slots = rest[on], slots[on]
+        return out
+
+
 class Automaton:
-    """Suffix automaton as a table of next states; state 0 is the root and 0 also means no match."""
+    """Suffix automaton as a table of next states; state 0 is the root and 0 also means no match.
+
+    Symbol 0 matches nothing. Where a full table is too large, only the entries in use are held.
+    """
 
-    def __init__(self, symbols: list[int], size: int):
+    def __init__(self, symbols: list[int], size: int, dense: int = DENSE):
         follow: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in symbols:
@@ -84,11 +125,17 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        self.table = np.zeros(len(follow) * size, np.int32)  # entry state * size + symbol holds next state * size
-        self.size = size
         rows = np.repeat(np.arange(len(follow)), [len(f) for f in follow])
         columns = np.fromiter((c for f in follow for c in f), np.int64, len(rows))
-        self.table[rows * size + columns] = np.fromiter((s for f in follow for s in f.values()), np.int64, len(rows)) * size
+        values = np.fromiter((s for f in follow for s in f.values()), np.int64, len(rows)) * size
+        # entry state * size + symbol holds next state * size
+        keys, values = (rows * size + columns)[columns > 0], values[columns > 0]
+        if len(follow) * size <= dense:
+            self.table = np.zeros(len(follow) * size, np.int32)
+            self.table[keys] = values
+        else:
+            self.table = Sparse(keys, values)
+        self.size = size
 
 
 class Languages:
@@ -96,7 +143,6 @@ class Languages:
 
     def __init__(self, samples: list[tuple[str, list[bytes]]]):
         texts = [(lang, [letters_of(t) for t in own]) for lang, own in samples]
-        per_language = SAMPLE_LETTERS // max(1, len(texts))
         codes, counts = np.unique(np.concatenate([t for _, own in texts for t in own] or [np.zeros(0, np.int32)]), return_counts=True)
         chosen = codes[np.lexsort((codes, -counts))[:ALPHABET]]
         self.number = np.zeros(0x110000, np.uint8)
@@ -107,9 +153,7 @@ class Languages:
             symbols: list[int] = []
             for t in own:
                 symbols += self.number[t[:LETTERS_PER_TEXT]].tolist() + [0]
-            self.automata.append(Automaton(symbols[:per_language], len(chosen) + 1))
-            # the separator, as any symbol 0, matches nothing
-            self.automata[-1].table[:: len(chosen) + 1] = 0
+            self.automata.append(Automaton(symbols[:LANGUAGE_LETTERS], len(chosen) + 1, DENSE // len(texts)))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each text (rows) needs in each language (columns)."""
@@ -130,7 +174,7 @@ class Languages:
         width = np.searchsorted(-sizes, -np.arange(SEGMENT), "left")  # segments with a letter at each step
         for k, automaton in enumerate(self.automata):
             table = automaton.table
-            state = np.zeros(len(pieces), np.int32)
+            state = np.zeros(len(pieces), table.dtype)
             ended = np.zeros(len(pieces), np.int32)
             for step in range(int(sizes[0])):
                 n = width[step]
@@ -148,20 +192,22 @@ class Languages:
             out[:, k] = np.bincount(owner, ended, len(texts)).astype(np.int64)
         return out
 
-    def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
+    def nearest(self, texts: list[bytes | None]) -> tuple[list[str | None], list[int | None], list[int | None]]:
+        """The best language, its phrases and those of the second; nulls where there is none."""
         found = [letters_of(t or b"") for t in texts]
         needed = self.phrases(found)
-        names, scores = [], []
+        names, firsts, seconds = [], [], []
         for letters, row in zip(found, needed.tolist(), strict=True):
             if not len(letters) or not row:
-                names.append(UNKNOWN)
-                scores.append(0.0)
+                names.append(None)
+                firsts.append(None)
+                seconds.append(None)
                 continue
             best = min(range(len(row)), key=lambda k: (row[k], self.names[k]))
-            others = [r for k, r in enumerate(row) if k != best]
             names.append(self.names[best])
-            scores.append(1 - row[best] / min(others) if others else 1.0)
-        return names, scores
+            firsts.append(row[best])
+            seconds.append(min((r for k, r in enumerate(row) if k != best), default=None))
+        return names, firsts, seconds
 
 
 def held_out(id: Column, folds: int = 5) -> Column:
@@ -170,28 +216,40 @@ def held_out(id: Column, folds: int = 5) -> Column:
 
 
 def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, list[bytes]]]:
-    """Labelled texts per language: the SAMPLE_TEXTS whose ids hash lowest, of LANGUAGES labels at most.
+    """Labelled texts of every language: the first of the SAMPLE_TEXTS whose ids hash lowest, up to LANGUAGE_LETTERS.
 
     Rows with a null id, text or label and held-out rows are left out, as are texts without a letter.
-    What the driver holds is bounded by LANGUAGES * SAMPLE_TEXTS * LETTERS_PER_TEXT letters, whatever
-    the table. Only the sample is cut; predictions look at whole texts.
+    What the driver holds is bounded by LANGUAGE_LETTERS + LETTERS_PER_TEXT letters per label, whatever
+    the rows. Only the sample is cut; predictions look at whole texts.
     """
     train = docs.where(~held_out(F.col(id)) & F.col(id).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull())
     # characters, not letters, are cut here: a text gives at most twice as many
     rows = train.select(
         F.col(lang).alias("lang"), F.xxhash64(id).alias("h"), F.col(id).alias("id"), F.substring(F.col(text), 1, 2 * LETTERS_PER_TEXT).alias("body")
     ).where(F.col("body").rlike(r"\p{L}"))
-    frequent = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    ranked = rows.where(F.col("lang").isin(frequent)).select(
-        "lang", "h", "id", "body", F.row_number().over(W.partitionBy("lang").orderBy("h", "id", "body")).alias("r")
-    )
+    by_hash = W.partitionBy("lang").orderBy("h", "id", "body")
+    ranked = rows.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SAMPLE_TEXTS)
+    letters = F.least(F.lit(LETTERS_PER_TEXT), F.length(F.regexp_replace("body", r"\P{L}", "")))
+    before = F.coalesce(F.sum(letters).over(by_hash.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranked.withColumn("before", before).where(F.col("before") < LANGUAGE_LETTERS)
     sample: dict[str, list[bytes]] = {}
-    for r in ranked.where(F.col("r") <= SAMPLE_TEXTS).orderBy("lang", "r").select("lang", utf8("body").alias("body")).collect():
+    for r in ranked.orderBy("lang", "r").select("lang", utf8("body").alias("body")).collect():
         sample.setdefault(r["lang"], []).append(bytes(r["body"]))
     return sorted(sample.items())
 
 
-FIELDS = [("lang_pred", pa.string()), ("score", pa.float64())]
+FIELDS = [("lang", pa.string()), ("first", pa.int64()), ("second", pa.int64())]
+
+
+def _nearest(docs: DataFrame, samples: list[tuple[str, list[bytes]]], text: str) -> Column:
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    key = f"languages {uuid.uuid4().hex}"
+
+    def work(values: list) -> pa.Array:
+        languages = kept(key, lambda: Languages(shared.value))
+        return struct_rows(FIELDS, languages.nearest(values))
+
+    return batch_udf(work, "struct<lang:string,first:bigint,second:bigint>")(utf8(text))
 
 
 def predict_language(docs: DataFrame, samples: list[tuple[str, list[bytes]]], text: str = "text", column: str = "language") -> DataFrame:
@@ -200,19 +258,23 @@ def predict_language(docs: DataFrame, samples: list[tuple[str, list[bytes]]], te
     lang_pred is a label of the samples, or `und` for null texts, texts without a letter, or without
     any sample; ties go to the first label. score is 1 - phrases of the best / phrases of the second
     language, so 0 to 1. All columns are kept; `column` must be a name of its own. Nothing is shuffled.
+    With more than GROUP languages the documents are read once for every GROUP, and written between.
     """
     if column in docs.columns:
         raise ValueError(f"column {column} exists already")
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(samples)
-    key = f"languages {uuid.uuid4().hex}"
-
-    def work(values: list) -> pa.Array:
-        languages = kept(key, lambda: Languages(shared.value))
-        return struct_rows(FIELDS, languages.predict(values))
-
-    return docs.withColumn(column, batch_udf(work, "struct<lang_pred:string,score:double>")(utf8(text)))
+    small_batches(docs.sparkSession)
+    samples = sorted(samples)
+    new, out = f"{column} of group", docs.withColumn(column, _nearest(docs, samples[:GROUP], text))
+    for at in range(GROUP, len(samples), GROUP):
+        out = materialize(out, "languages").withColumn(new, _nearest(docs, samples[at : at + GROUP], text))
+        a, b = F.col(f"`{column}`"), F.col(f"`{new}`")
+        # earlier groups hold the smaller labels, so they win ties
+        merged = F.when(b["first"] < a["first"], F.struct(b["lang"].alias("lang"), b["first"].alias("first"), F.least(b["second"], a["first"]).alias("second")))
+        merged = merged.otherwise(F.struct(a["lang"].alias("lang"), a["first"].alias("first"), F.least(a["second"], b["first"]).alias("second")))
+        out = out.withColumn(column, merged).drop(new)
+    best = F.col(f"`{column}`")
+    score = F.when(best["lang"].isNull(), 0.0).when(best["second"].isNull(), 1.0).otherwise(1 - best["first"] / best["second"])
+    return out.withColumn(column, F.struct(F.coalesce(best["lang"], F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score")))
 
 
 def is_held_out(id: object, folds: int = 5) -> bool:
