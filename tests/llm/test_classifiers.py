@@ -221,3 +221,13 @@ def test_sparse_table_is_the_full_one():
     symbols = [rng.randint(0, 40) for _ in range(3000)]
     full, some = Automaton(symbols, 41).table, Automaton(symbols, 41, 0).table
     assert (some[np.arange(len(full))] == full).all() and not full[::41].any()
+
+
+def test_no_letter_of_a_sample_is_left_out():
+    """A language of thousands of letters beside a small one in a script of its own."""
+    rng = random.Random(5)
+    han = "".join(chr(0x4E00 + i % 3000) for i in rng.sample(range(9000), 9000))
+    thai = "กขคงจฉชซฌญ ดตถทธนบปผฝ"
+    made = Languages([("ja", [han[i : i + 1500].encode() for i in range(0, 9000, 1500)]), ("th", [thai.encode()]), ("zz", [b"plain words"])])
+    names, firsts, seconds = made.nearest(["ดตถทธ".encode(), han[700:760].encode(), "日本".encode(), b"words"])
+    assert names == ["th", "ja", "ja", "zz"] and firsts[0] == firsts[1] == firsts[3] == 1 and seconds[:2] == [5, 60]

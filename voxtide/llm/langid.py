@@ -27,7 +27,6 @@ LETTERS_PER_TEXT = 2_000
 GROUP = 32  # languages that a worker holds at once; more are looked at in several passes
 DENSE = 16_000_000  # entries of full tables that a worker holds; above, only the entries in use
 SEGMENT = 400  # letters parsed in one go; a phrase ends where a segment ends
-ALPHABET = 255  # the most frequent letters of the sample; others match nowhere
 UNKNOWN = "und"
 
 
@@ -139,21 +138,26 @@ class Automaton:
 
 
 class Languages:
-    """Automata over one alphabet; symbol 0 is every letter outside it."""
+    """Automata, each over all letters of its own sample; symbol 0 is every letter outside it."""
 
     def __init__(self, samples: list[tuple[str, list[bytes]]]):
-        texts = [(lang, [letters_of(t) for t in own]) for lang, own in samples]
-        codes, counts = np.unique(np.concatenate([t for _, own in texts for t in own] or [np.zeros(0, np.int32)]), return_counts=True)
-        chosen = codes[np.lexsort((codes, -counts))[:ALPHABET]]
-        self.number = np.zeros(0x110000, np.uint8)
-        self.number[chosen] = np.arange(1, len(chosen) + 1)
+        texts = []
+        for lang, own in samples:
+            cut = [part for t in own for part in (letters_of(t)[:LETTERS_PER_TEXT], [-1])]
+            texts.append((lang, np.concatenate(cut or [[]]).astype(np.int64)[:LANGUAGE_LETTERS]))
+        codes = np.unique(np.concatenate([t for _, t in texts] or [np.zeros(0, np.int64)]))
+        codes = codes[codes >= 0]
+        self.number = np.zeros(0x110000, np.int32)  # of a letter among those of all samples
+        self.number[codes] = np.arange(1, len(codes) + 1)
         self.names = [lang for lang, _ in texts]
-        self.automata = []
-        for _, own in texts:
-            symbols: list[int] = []
-            for t in own:
-                symbols += self.number[t[:LETTERS_PER_TEXT]].tolist() + [0]
-            self.automata.append(Automaton(symbols[:LANGUAGE_LETTERS], len(chosen) + 1, DENSE // len(texts)))
+        self.automata, self.symbols = [], []  # and by language, the symbols of those numbers
+        for _, t in texts:
+            own = np.unique(t[t >= 0])
+            symbol = np.zeros(len(codes) + 1, np.uint16)  # LANGUAGE_LETTERS letters fit
+            symbol[self.number[own]] = np.arange(1, len(own) + 1)
+            numbers = np.where(t >= 0, self.number[t], 0)  # 0 between texts
+            self.symbols.append(symbol)
+            self.automata.append(Automaton(symbol[numbers].tolist(), len(own) + 1, DENSE // len(texts)))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each text (rows) needs in each language (columns)."""
@@ -168,17 +172,17 @@ class Languages:
         sizes = np.array([len(p) for p in pieces])
         order = np.argsort(-sizes, kind="stable")
         owner, sizes = np.array(owner)[order], sizes[order]
-        grid = np.zeros((SEGMENT, len(pieces)), np.uint8)
+        grid = np.zeros((SEGMENT, len(pieces)), np.int32)
         for column, i in enumerate(order.tolist()):
             grid[: len(pieces[i]), column] = self.number[pieces[i]]
         width = np.searchsorted(-sizes, -np.arange(SEGMENT), "left")  # segments with a letter at each step
-        for k, automaton in enumerate(self.automata):
+        for k, (automaton, symbols) in enumerate(zip(self.automata, self.symbols, strict=True)):
             table = automaton.table
             state = np.zeros(len(pieces), table.dtype)
             ended = np.zeros(len(pieces), np.int32)
             for step in range(int(sizes[0])):
                 n = width[step]
-                symbol = grid[step, :n]
+                symbol = symbols[grid[step, :n]]
                 old = state[:n]
                 new = table[old + symbol]
                 miss = new == 0
