@@ -141,3 +141,75 @@ def test_long_chain_of_replies(spark):
 def test_no_python_in_the_plan(spark, data):
     plan = link_quotations(spark.read.parquet(f"{data}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def link_parts(spark, rows):
+    df = spark.createDataFrame([(*r, 0, "x", 1) for r in rows], SCHEMA)
+    out = link_quotations(df, every_part=True).select("conv_id", "turn", "text", "n_quotes", "n_linked", "sources", "parent", "thread", "depth")
+    return sorted((tuple(r) for r in out.collect()), key=str)
+
+
+def test_every_part_of_a_passage(spark):
+    rows = [
+        (1, 0, "u", "First words."), (1, 1, "a", "Second words.\nMore of them."), (1, 2, "u", "Third words."),
+        # paragraphs of two messages, lines of two messages, and a line inside a linked paragraph
+        (1, 3, "b", "> First words.\n>\n> Third words.\nBoth."), (1, 4, "b", "> More of them.\n> First words.\nOk."),
+        (1, 5, "b", "> Second words.\n> More of them.\n>\n> Unknown.\nFine."), (2, 0, "u", "Second words.\nMore of them."),
+        # the paragraph is said elsewhere, one line of it here
+        (3, 0, "u", "More of them."), (3, 1, "a", "> Second words.\n> More of them.\nHm."),
+    ]
+    got = {r[:2]: r[4:7] for r in link_parts(spark, rows)}
+    assert got[1, 3] == (1, ["1:0", "1:2"], 2)
+    assert got[1, 4] == (1, ["1:0", "1:1"], 1)
+    assert got[1, 5] == (1, ["1:1"], 1)
+    assert got[3, 1] == (1, ["1:1", "3:0"], 0)
+    assert link_parts(spark, []) == []
+
+
+def brute_parts(rows):
+    """Sources, number of linked passages and parent by message, looking for the links of all parts."""
+    parsed = {(c, t): parse(x) for c, t, _, x in rows}
+    says: dict = {}
+    for key, (said, _) in parsed.items():
+        for h in units(said):
+            says.setdefault(h, []).append(key)
+
+    def source(body, c, t):
+        for h, size in units(body).items():
+            if size == len(re.sub(r"\s+", " ", body.lower()).strip()):
+                here = min((k for k in says.get(h, []) if k[0] == c and k[1] < t), default=None)
+                return (1, here) if here else (0, min(k for k in says[h] if k[0] != c)) if any(k[0] != c for k in says.get(h, [])) else None
+        return None
+
+    out = {}
+    for (c, t), (_, quoted) in parsed.items():
+        links, linked, replies = set(), 0, []
+        for level, body in quoted:
+            found = set()
+            def walk(parts, outer):
+                for part, below in parts:
+                    s = source(part, c, t)
+                    if s and s[0] > outer:
+                        found.add(s)  # noqa: B023
+                    walk(below, max(outer, s[0] if s else -1))
+            walk([(body, [(p, [(x, []) for x in p.split("\n")]) for p in re.split(r"\n[ \t]*\n", body)])], -1)
+            linked += bool(found)
+            links |= {f"{a}:{b}" for _, (a, b) in found}
+            replies += [(level, -k[1]) for same, k in found if same]
+        out[c, t] = (linked, sorted(links), -min(replies)[1] if replies else None)
+    return out
+
+
+def test_every_part_as_a_plain_parser_finds_it(spark):
+    rng = random.Random(11)
+    rows, said = [], ["Alpha beta.", "Gamma", "zeta\n\neta theta", "one\ntwo", "two"]
+    for c in range(4):
+        for t in range(25):
+            lines = []
+            for _ in range(rng.randrange(1, 6)):
+                level, body = rng.randrange(3), "\n\n".join(rng.sample(said, rng.choice([1, 1, 2])))
+                lines += ["> " * level + line for line in body.split("\n")]
+            rows.append((c, t, "u", "\n".join(lines)))
+            said.append(f"word{rng.randrange(60)} says {t}")
+    got = {r[:2]: r[4:7] for r in link_parts(spark, rows)}
+    assert got == brute_parts(rows)

@@ -37,7 +37,7 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_quotation_links(spark: SparkSession, folder: str) -> DataFrame:
-    linked = quotes.link_quotations(_table(spark, folder, "conversations"))
+    linked = quotes.link_quotations(_table(spark, folder, "conversations"), every_part=True)
     return linked.select(
         "conv_id", "turn", "role", "n_quotes", "n_linked", F.array_join("sources", ",").alias("sources"), "parent", "thread", "depth",
         F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"),

@@ -9,6 +9,7 @@ conversation that its outermost linked quote comes from. Everything runs on Data
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtide.session import materialize
@@ -60,6 +61,31 @@ def _units(text: Column) -> Column:
     return F.transform(units, lambda u: F.struct(F.length(u).alias("size"), F.md5(u).alias("hash")))
 
 
+def _placed_units(text: Column) -> Column:
+    """The same units, each with its rank (0 the text, 1 a paragraph, 2 a line) and its paragraph's place."""
+    paragraphs = F.split(text, r"\n[ \t]*\n", -1)
+    placed = lambda body, rank, at: F.struct(normalised(body).alias("body"), F.lit(rank).alias("rank"), at.alias("paragraph"))
+    units = F.concat(
+        F.array(placed(text, 0, F.lit(-1))), F.transform(paragraphs, lambda p, i: placed(p, 1, i)),
+        F.flatten(F.transform(paragraphs, lambda p, i: F.transform(F.split(p, r"\n", -1), lambda line: placed(line, 2, i)))),
+    )
+    units = F.array_distinct(F.filter(units, lambda u: u["body"].rlike(r"[\p{L}\p{N}]")))
+    return F.transform(units, lambda u: F.struct(F.length(u["body"]).alias("size"), F.md5(u["body"]).alias("hash"), u["rank"].alias("rank"), u["paragraph"].alias("paragraph")))
+
+
+def _outermost(hit: DataFrame) -> DataFrame:
+    """The linked units that lie in no longer linked unit of their passage.
+
+    A unit said in this conversation gives way to one said in this conversation only.
+    """
+    passage = ["conv", "turn", "place", "passage"]
+    hit = hit.distinct()  # rows that repeat a message
+    best = lambda rank, by: F.max(F.when(F.col("rank") == rank, F.col("same").cast("int"))).over(W.partitionBy(*by))
+    hit = hit.withColumn("_text", best(0, passage)).withColumn("_paragraph", best(1, [*passage, "paragraph"]))
+    around = F.greatest(F.when(F.col("rank") > 0, F.col("_text")), F.when(F.col("rank") > 1, F.col("_paragraph")))
+    return hit.where(around.isNull() | (F.col("same").cast("int") > around)).drop("_text", "_paragraph")
+
+
 def _depths(links: DataFrame) -> DataFrame:
     """(conv, turn, thread, depth) for messages with a parent, by doubling the reach of their pointers."""
     state = materialize(links.select("conv", "turn", F.col("parent").alias("up"), F.lit(1).alias("depth")), "reach")
@@ -75,7 +101,8 @@ def _depths(links: DataFrame) -> DataFrame:
 
 
 def link_quotations(
-    messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", keep: tuple[str, ...] = ("role",)
+    messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", keep: tuple[str, ...] = ("role",),
+    every_part: bool = False,
 ) -> DataFrame:
     """(conv, turn, *keep, text, n_quotes, n_linked, sources, parent, thread, depth) for every message.
 
@@ -83,9 +110,11 @@ def link_quotations(
     a quote, trimmed. n_quotes counts its quoted passages, n_linked those whose source is known;
     sources lists them as sorted, distinct `conv:turn`. A passage's source is the first message of
     the same conversation, before this one, that says the passage, else the longest part of it; if
-    there is none, the first message of any other conversation that does. parent is the turn replied
-    to: the source, in this conversation, of the quote of lowest level (the later one if there are
-    several). thread and depth lead to the first message of the chain. In reply order a conversation
+    there is none, the first message of any other conversation that does. With every_part, a passage
+    has the sources of all its parts (the passage, paragraphs, lines) that lie in no longer linked
+    part; a part said in this conversation gives way only to a longer one said there, too. parent is
+    the turn replied to: the source, in this conversation, of the quote of lowest level (the later
+    one if there are several). thread and depth lead to the first message of the chain. In reply order a conversation
     is sorted by (thread, depth, turn).
 
     Null and empty texts say and quote nothing. Messages whose conversation or turn is null are
@@ -109,8 +138,8 @@ def link_quotations(
     known = parsed.where(F.col("conv").isNotNull() & F.col("turn").isNotNull())
 
     asked = known.where(F.size("quotes") > 0).select("conv", "turn", F.posexplode("quotes").alias("place", "quote"))
-    asked = asked.select("conv", "turn", "place", F.col("quote.level").alias("level"), F.explode(_units(F.col("quote.body"))).alias("unit"))
-    asked = materialize(asked.select("conv", "turn", "place", "level", "unit.size", "unit.hash"), "quotes")
+    asked = asked.select("conv", "turn", "place", F.col("quote.level").alias("level"), F.md5("quote.body").alias("passage"), F.explode(_placed_units(F.col("quote.body"))).alias("unit"))
+    asked = materialize(asked.select("conv", "turn", "place", "level", "passage", "unit.*"), "quotes")
     # hashes nobody quotes need no first message
     quoted = asked.select("hash").distinct()
     says = known.select("conv", "turn", F.explode(_units(F.col("said"))).alias("unit")).select("conv", "turn", "unit.hash")
@@ -127,13 +156,16 @@ def link_quotations(
     away = F.when(F.col("one.own") != F.col("conv"), F.col("one")).otherwise(F.col("two"))
     found = found.withColumn("away", F.when(F.col("first").isNull(), away))
     hit = found.where(F.col("first").isNotNull() | F.col("away").isNotNull())
-    # in the same conversation first, then the longest part
-    best = hit.groupBy("conv", "turn", "place").agg(F.max(F.struct(
-        F.col("first").isNotNull().alias("same"), "size", F.col("hash"),
+    hit = hit.select(
+        "conv", "turn", "place", "passage", "rank", "paragraph", F.col("first").isNotNull().alias("same"), "size", "hash",
         F.coalesce("first", F.col("away.first")).alias("source"), F.coalesce(F.when(F.col("first").isNotNull(), F.col("conv")), F.col("away.own")).alias("from"), "level",
-    )).alias("b")).select("conv", "turn", "place", "b.*")
+    )
+    if every_part:
+        best = _outermost(hit)
+    else:  # in the same conversation first, then the longest part
+        best = hit.groupBy("conv", "turn", "place").agg(F.max(F.struct("same", "size", "hash", "source", "from", "level")).alias("b")).select("conv", "turn", "place", "b.*")
     links = best.groupBy("conv", "turn").agg(
-        F.count("*").alias("n_linked"),
+        F.size(F.collect_set("place")).alias("n_linked"),
         F.array_sort(F.collect_set(F.concat_ws(":", "from", "source"))).alias("sources"),
         F.min(F.when(F.col("same"), F.struct(F.col("level"), (-F.col("source")).alias("back")))).alias("p"),
     ).select("conv", "turn", "n_linked", "sources", (-F.col("p.back")).alias("parent"))
