@@ -231,3 +231,19 @@ def test_no_letter_of_a_sample_is_left_out():
     made = Languages([("ja", [han[i : i + 1500].encode() for i in range(0, 9000, 1500)]), ("th", [thai.encode()]), ("zz", [b"plain words"])])
     names, firsts, seconds = made.nearest(["ดตถทธ".encode(), han[700:760].encode(), "日本".encode(), b"words"])
     assert names == ["th", "ja", "ja", "zz"] and firsts[0] == firsts[1] == firsts[3] == 1 and seconds[:2] == [5, 60]
+
+
+def test_long_texts_are_learned_from_any_place(spark):
+    """Texts with one opening, longer than what is learned of a text, and texts that begin without a letter."""
+    rng = random.Random(10)
+    word = lambda s: "".join(rng.choice(s) for _ in range(rng.randint(2, 7)))
+    opening = " ".join(word("klmnop") for _ in range(900))
+    own = {k: [word("abcdefgh") for _ in range(50)] for k in ("aa", "bb")}
+    text = lambda k, n: " ".join(rng.choice(own[k]) for _ in range(n))
+    rows = [(i, f"{opening} {text(k, 4000)}", k) for i, k in enumerate(["aa", "bb"] * 20)]
+    rows += [(1000 + i, "1 2 " * 2000 + "жук лес дом река", "cc") for i in range(20)]
+    told = {2000 + i: k for i, k in enumerate(["aa", "bb"] * 5)} | {3000: "cc"}
+    rows += [(i, text(k, 40) if k != "cc" else "лес река дом", None) for i, k in told.items()]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.predict_language(df, langid.learn(df)).where("lang is null").collect()
+    assert {r["doc_id"]: r["language"]["lang_pred"] for r in got} == told

@@ -223,18 +223,19 @@ def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     """Labelled texts of every language: the first of the SAMPLE_TEXTS whose ids hash lowest, up to LANGUAGE_LETTERS.
 
     Rows with a null id, text or label and held-out rows are left out, as are texts without a letter.
+    A text of more than LETTERS_PER_TEXT letters gives so many from a place chosen by its id's hash.
     What the driver holds is bounded by LANGUAGE_LETTERS + LETTERS_PER_TEXT letters per label, whatever
     the rows. Only the sample is cut; predictions look at whole texts.
     """
     train = docs.where(~held_out(F.col(id)) & F.col(id).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    # characters, not letters, are cut here: a text gives at most twice as many
-    rows = train.select(
-        F.col(lang).alias("lang"), F.xxhash64(id).alias("h"), F.col(id).alias("id"), F.substring(F.col(text), 1, 2 * LETTERS_PER_TEXT).alias("body")
-    ).where(F.col("body").rlike(r"\p{L}"))
+    # words of letters with one blank between; of a long text, the letters from a place that the id's hash names
+    words = F.trim(F.regexp_replace(F.col(text), r"\P{L}+", " "))
+    rows = train.select(F.col(lang).alias("lang"), F.xxhash64(id).alias("h"), F.col(id).alias("id"), words.alias("words")).where("words <> ''")
+    begin = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.length("words") - LETTERS_PER_TEXT + 1)).cast("int") + 1
+    rows = rows.select("lang", "h", "id", F.substr("words", begin, F.lit(LETTERS_PER_TEXT)).alias("body"))
     by_hash = W.partitionBy("lang").orderBy("h", "id", "body")
     ranked = rows.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SAMPLE_TEXTS)
-    letters = F.least(F.lit(LETTERS_PER_TEXT), F.length(F.regexp_replace("body", r"\P{L}", "")))
-    before = F.coalesce(F.sum(letters).over(by_hash.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.length("body")).over(by_hash.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = ranked.withColumn("before", before).where(F.col("before") < LANGUAGE_LETTERS)
     sample: dict[str, list[bytes]] = {}
     for r in ranked.orderBy("lang", "r").select("lang", utf8("body").alias("body")).collect():
