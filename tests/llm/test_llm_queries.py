@@ -78,3 +78,12 @@ def test_stages_on_odd_tables(spark, data):
     for own in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, own, data).count() <= own.count()
+
+
+def test_classifier_stage_removes_toxic_documents(spark):
+    """The stage itself, on a table with thousands of ratings."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    good = corpus_pipeline.classifier(spark, docs, folder)
+    count = lambda df: df.join(labels.where("toxic = 1"), "doc_id").count()
+    assert count(docs) > 100 and count(good) <= 0.3 * count(docs)
