@@ -38,6 +38,20 @@ def test_classifiers(spark, model, point):
     assert 0 <= score.first()["accuracy"] <= 1 and report.count() == 5
 
 
+@pytest.mark.parametrize("model", ["logistic_regression", "svm"])
+def test_two_classes_after_an_import(spark, tmp_path, model):
+    """An import leaves nothing in the session that keeps two-class models from being sent out."""
+    from voxtide.operators.store import Store
+
+    feedback = Store(spark, str(tmp_path))
+    feedback.create_tables()
+    assert feedback.import_feedback(spark.createDataFrame([("a",), ("b",)], "feedback_text string"), ["feedback_text"], "2024-01-01") == 2
+    assert feedback.import_feedback(spark.createDataFrame([("c",)], "feedback_text string"), ["feedback_text"], "2024-01-01") == 1
+    df = random_rows(spark).where("sentiment <> 'Neutral'")
+    out = classify.predict(classify.train(df, "sentiment", model, C=0.05), df, "sentiment")
+    assert out.select("predicted_sentiment").distinct().count() == 2
+
+
 def test_unknown_model(spark):
     with pytest.raises(ValueError):
         classify.train(random_rows(spark, 9, 3), "sentiment", "perceptron")

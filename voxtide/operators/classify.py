@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
 )
@@ -12,12 +12,13 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.operators.features import Vocabulary, term_table, vectorize
 from voxtide.operators.metrics import full_report, scores
 from voxtide.operators.numbering import modulo, rank_in_groups
+from voxtide.session import scratch_path
 
 MODELS = ("logistic_regression", "naive_bayes", "random_forest", "svm")
 
@@ -86,6 +87,17 @@ def make_estimator(model: str, rows: int, classes: int, seed: int = 42, **point)
     raise ValueError(f"unknown model type: {model}")
 
 
+def without_summary(spark: SparkSession, model: Model) -> Model:
+    """The model as read back from disk: without its training summary.
+
+    A summary refers to the session and the training rows, and is sent along with the model. What
+    the session holds (an observation, for one) may not be serialisable.
+    """
+    path = scratch_path(spark, "model")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def train(df: DataFrame, label: str, model: str = "logistic_regression", seed: int = 42, **point) -> PipelineModel:
     """Fit a classifier on rows with a `features` vector and a text label.
 
@@ -100,7 +112,7 @@ def train(df: DataFrame, label: str, model: str = "logistic_regression", seed: i
         n = rows.count()
         estimator = make_estimator(model, n, len(indexer.labels), seed, **point)
         indexed = indexer.transform(rows)
-        fitted = estimator.fit(indexed)
+        fitted = without_summary(df.sparkSession, estimator.fit(indexed))
         if model == "naive_bayes":
             fitted.setThresholds(_plain_priors(indexed, fitted.getSmoothing()))
     finally:

@@ -78,8 +78,9 @@ def label_share(df: DataFrame, column: str, label: str, name: str = "percent") -
     return df.agg(F.coalesce(F.try_divide(hit * 100.0, F.count(F.lit(1))), F.lit(0.0)).alias(name))
 
 
-def distinct_count(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
-    count = F.approx_count_distinct(column) if approximate else F.count_distinct(column)
+def distinct_count(df: DataFrame, column: str, approximate: bool = False, deviation: float = 0.01) -> DataFrame:
+    """Distinct values; approximate counts have a relative standard deviation of `deviation`."""
+    count = F.approx_count_distinct(column, deviation) if approximate else F.count_distinct(column)
     return df.agg(count.alias("distinct_values"))
 
 

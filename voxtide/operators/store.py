@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.operators.numbering import number_rows
@@ -188,7 +188,12 @@ class Store:
         return (self.table(name).agg(F.max("id")).first()[0] or 0) + 1
 
     def append(self, name: str, rows: DataFrame, order_by: Sequence[str] = ()) -> int:
-        """Append rows (numbered unless they bring ids); returns how many."""
+        """Append rows (numbered unless they bring ids); returns how many.
+
+        Rows are counted before and after in the file footers. An observation of the write would
+        stay in the session, and fitted two-class models, which hold the session, could no longer be
+        sent to executors.
+        """
         if "id" not in rows.columns:
             rows = number_rows(rows, list(order_by), self.next_id(name))
         schema = STORE[name]
@@ -199,9 +204,9 @@ class Store:
                 for f in schema.fields
             ]
         )
-        seen = Observation()
-        full.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(self.path(name))
-        return seen.get["n"]
+        before = self.table(name).count()
+        full.write.mode("append").parquet(self.path(name))
+        return self.table(name).count() - before
 
     def import_feedback(self, df: DataFrame, order_by: Sequence[str], today: str) -> int:
         return self.append("feedback", import_feedback(df, order_by, today, self.next_id("feedback")))
