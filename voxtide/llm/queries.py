@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.llm import decontaminate, langid, licenses, nbest, near_dup, orc_ids, quality, quotes, token_count, topk
+from voxtide.llm import (
+    decontaminate, langid, licenses, nbest, near_dup, orc_ids, quality, quotes, token_count, topk, vector_codes,
+)
 from voxtide.session import apply_settings, scratch_path
 
 KEEP_TAIL = 0.5  # least probability of the best grade for a document to stay
@@ -77,10 +79,14 @@ def op10_nbest(spark: SparkSession, folder: str) -> DataFrame:
     return nbest.encode_n_best(_table(spark, folder, "documents"), model, with_ids=False).drop("ids")
 
 
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress_with_errors(_table(spark, folder, "embeddings"), n_parts=16, n_entries=64, rounds=2, scale=256.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_topk, op2_license_scan, op3_decontaminate, op4_near_dedup, op5_quotation_links, op6_token_count,
-        op7_token_ids_orc, op8_quality, op9_language, op10_nbest,
+        op7_token_ids_orc, op8_quality, op9_language, op10_nbest, op12_vector_codes,
     )
 }
 
@@ -174,4 +180,33 @@ SQL = {
             w.doc_id <= coalesce(b, w.doc_id) AS kept
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN lowest ON a = w.doc_id
     """,
+    "op12_vector_codes": """
+        WITH v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS MATERIALIZED (
+            SELECT vec_id, label, part, e[4 * part + 1] AS x0, e[4 * part + 2] AS x1, e[4 * part + 3] AS x2, e[4 * part + 4] AS x3
+            FROM v, range(16) t(part)
+        ), c0 AS MATERIALIZED (
+            SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x0, x1, x2, x3 FROM p
+            QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 64
+        ), """ + ", ".join(f"""
+        a{r} AS MATERIALIZED (
+            SELECT p.vec_id, p.label, part, p.x0, p.x1, p.x2, p.x3,
+                min(64 * ((p.x0 - c.x0) ** 2 + (p.x1 - c.x1) ** 2 + (p.x2 - c.x2) ** 2 + (p.x3 - c.x3) ** 2)::BIGINT + entry) AS best
+            FROM p JOIN c{r} c USING (part) GROUP BY ALL
+        )""" + (f""", s{r} AS (
+            SELECT part, best % 64 AS entry, sum(x0) AS s0, sum(x1) AS s1, sum(x2) AS s2, sum(x3) AS s3, count(*) AS n FROM a{r} GROUP BY ALL
+        ), c{r + 1} AS MATERIALIZED (
+            SELECT part, entry, coalesce(floor(s0 / n)::BIGINT, x0) AS x0, coalesce(floor(s1 / n)::BIGINT, x1) AS x1,
+                coalesce(floor(s2 / n)::BIGINT, x2) AS x2, coalesce(floor(s3 / n)::BIGINT, x3) AS x3
+            FROM c{r} LEFT JOIN s{r} USING (part, entry)
+        )""" if r < 2 else "") for r in range(3)) + """,
+        o AS (
+            SELECT vec_id, label, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error
+            FROM a2 GROUP BY vec_id, label
+        ), l AS (SELECT label, sum(error)::BIGINT AS label_error FROM o GROUP BY label),
+        h AS (SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+        SELECT vec_id, code, error, label_error, codebooks_sha256 FROM o JOIN l ON o.label IS NOT DISTINCT FROM l.label, h
+    """,
 }
