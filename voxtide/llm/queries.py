@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.llm import (
-    decontaminate, langid, licenses, nbest, near_dup, orc_ids, quality, quotes, token_count, topk, vector_codes,
+    decontaminate, langid, licenses, nbest, near_dup, orc_ids, quality, quotes, spelling, token_count,
+    topk, vector_codes,
 )
 from voxtide.session import apply_settings, scratch_path
 
@@ -79,6 +80,10 @@ def op10_nbest(spark: SparkSession, folder: str) -> DataFrame:
     return nbest.encode_n_best(_table(spark, folder, "documents"), model, with_ids=False).drop("ids")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, folder, "documents"), min_letters=6, min_count=5, times=5, slips=199)
+
+
 def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes.compress_with_errors(_table(spark, folder, "embeddings"), n_parts=16, n_entries=64, rounds=2, scale=256.0)
 
@@ -86,7 +91,8 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_topk, op2_license_scan, op3_decontaminate, op4_near_dedup, op5_quotation_links, op6_token_count,
-        op7_token_ids_orc, op8_quality, op9_language, op10_nbest, op12_vector_codes,
+        op7_token_ids_orc, op8_quality, op9_language, op10_nbest, op11_spelling_variants,
+        op12_vector_codes,
     )
 }
 
@@ -180,6 +186,42 @@ SQL = {
             w.doc_id <= coalesce(b, w.doc_id) AS kept
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN lowest ON a = w.doc_id
     """,
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE r AS (
+            SELECT id, run, count(*) AS n
+            FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+            WHERE length(run) >= 6 GROUP BY ALL
+        ), b AS (
+            SELECT id, run, n, flatten(list_transform(range(length(id || ':' || run)), lambda i: CASE
+                WHEN ord((id || ':' || run)[i + 1]) < 128 THEN [ord((id || ':' || run)[i + 1])::BIGINT, 0, 0, 0, 0, 0, 0, 0]
+                ELSE [192 + (ord((id || ':' || run)[i + 1]) >> 6)::BIGINT, 0, 0, 0, 0, 0, 0, 0,
+                    128 + (ord((id || ':' || run)[i + 1]) & 63)::BIGINT, 0, 0, 0, 0, 0, 0, 0] END)) AS bytes
+            FROM r
+        ), h AS (
+            SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes),
+                lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295::BIGINT) AS h
+            FROM b
+        ), w AS MATERIALIZED (
+            SELECT word, sum(n)::BIGINT AS n
+            FROM (SELECT CASE WHEN h % 199 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM h)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+        ), k AS (
+            SELECT word, n, i, word[: i - 1] AS a, word[i + 1 :] AS z
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+        ), d AS (SELECT DISTINCT k.word AS longer, k.n AS longer_n, w.word AS shorter, w.n AS shorter_n FROM k JOIN w ON a || z = w.word),
+        p AS (
+            SELECT x.word, x.n, y.word AS other, y.n AS other_n
+            FROM k x JOIN k y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+            UNION ALL SELECT longer, longer_n, shorter, shorter_n FROM d UNION ALL SELECT shorter, shorter_n, longer, longer_n FROM d
+        ), f AS MATERIALIZED (
+            SELECT w.word, w.n, count(other)::BIGINT AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n
+            FROM w LEFT JOIN p ON p.word = w.word GROUP BY w.word, w.n
+        ), g AS (SELECT word, n, n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM f),
+        e AS (
+            SELECT word, word AS root FROM g UNION ALL SELECT e.word, g.form FROM e JOIN g ON g.word = e.root WHERE g.form IS NOT NULL
+        ), l AS (SELECT e.word, e.root FROM e JOIN g ON g.word = e.root WHERE g.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM g JOIN l USING (word)
+    """,
     "op12_vector_codes": """
         WITH v AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
