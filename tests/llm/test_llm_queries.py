@@ -29,7 +29,15 @@ def test_one_row_per_input_row(spark, data, name):
     assert queries.QUERIES[name](spark, data).count() == spark.read.parquet(f"{data}/{table}.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["op2_license_scan", "op3_decontaminate", "op6_token_count", "op8_quality", "op9_language", "op10_nbest"])
+def test_empty_tables(spark, tmp_path, data):
+    """The operators of words, vectors and spans on tables without rows."""
+    for name in ("documents", "embeddings"):
+        spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("op11_spelling_variants", "op12_vector_codes", "op13_personal_data"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_license_scan", "op3_decontaminate", "op6_token_count", "op8_quality", "op9_language", "op10_nbest", "op13_personal_data"])
 def test_scans_do_not_shuffle(spark, data, name):
     plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1

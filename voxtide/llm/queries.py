@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.llm import (
-    decontaminate, langid, licenses, nbest, near_dup, orc_ids, quality, quotes, spelling, token_count,
+    decontaminate, langid, licenses, nbest, near_dup, orc_ids, personal, quality, quotes, spelling, token_count,
     topk, vector_codes,
 )
 from voxtide.session import apply_settings, scratch_path
@@ -88,11 +88,19 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes.compress_with_errors(_table(spark, folder, "embeddings"), n_parts=16, n_entries=64, rounds=2, scale=256.0)
 
 
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = personal.find_personal_data(docs, personal.train(docs)).select("doc_id", "personal.base", "personal.spans")
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in personal.KINDS]
+    digest = F.sha2(personal.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, personal.span_list(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_topk, op2_license_scan, op3_decontaminate, op4_near_dedup, op5_quotation_links, op6_token_count,
         op7_token_ids_orc, op8_quality, op9_language, op10_nbest, op11_spelling_variants,
-        op12_vector_codes,
+        op12_vector_codes, op13_personal_data,
     )
 }
 
