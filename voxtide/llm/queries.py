@@ -91,7 +91,7 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
 def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     found = personal.find_personal_data(docs, personal.train(docs)).select("doc_id", "personal.base", "personal.spans")
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in personal.KINDS]
+    counts = [personal.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in personal.KINDS]
     digest = F.sha2(personal.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, personal.span_list(F.col("spans")).alias("spans"))
 
