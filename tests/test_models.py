@@ -61,7 +61,7 @@ def test_unknown_model(spark):
 
 def test_tuning(spark):
     best, score, model = classify.tune(random_rows(spark, 60, 8), "sentiment", "id", "naive_bayes", {"alpha": [0.5, 1.0]}, folds=3)
-    assert best["smoothing"] in (0.5, 1.0) and 0 <= score <= 1
+    assert best["alpha"] in (0.5, 1.0) and 0 <= score <= 1
     assert "predicted_sentiment" in model.transform(random_rows(spark, 5, 8)).columns
 
 

@@ -5,16 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import (
-    LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
-)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtide.operators import linear, search
 from voxtide.operators.features import Vocabulary, term_table, vectorize
 from voxtide.operators.metrics import full_report, scores
 from voxtide.operators.numbering import modulo, rank_in_groups
@@ -22,15 +19,7 @@ from voxtide.session import scratch_path
 
 MODELS = ("logistic_regression", "naive_bayes", "random_forest", "svm")
 
-# The default search grids. Solver and loss have no counterpart here;
-# unlimited depth is Spark's deepest tree, 30.
-GRIDS = {
-    "logistic_regression": {"C": [0.1, 1.0, 10.0]},
-    "naive_bayes": {"alpha": [0.1, 0.5, 1.0, 2.0]},
-    "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [None, 10, 20]},
-    "svm": {"C": [0.1, 1.0, 10.0]},
-}
-DEEPEST = 30
+DEEPEST = 30  # unlimited depth is Spark's deepest tree
 TOLERANCE = 1e-4
 
 
@@ -78,12 +67,6 @@ def make_estimator(model: str, rows: int, classes: int, seed: int = 42, **point)
             labelCol="label", weightCol="weight", seed=seed, featureSubsetStrategy="sqrt",
             **_params(model, {"n_estimators": 100, "max_depth": None, **point}, rows),
         )
-    if model == "svm":
-        svm = LinearSVC(
-            labelCol="label", weightCol="weight", maxIter=1000, tol=TOLERANCE, standardization=False,
-            **_params(model, {"C": 1.0, **point}, rows),
-        )
-        return svm if classes <= 2 else OneVsRest(classifier=svm, labelCol="label", weightCol="weight", parallelism=4)
     raise ValueError(f"unknown model type: {model}")
 
 
@@ -98,11 +81,16 @@ def without_summary(spark: SparkSession, model: Model) -> Model:
     return type(model).load(path)
 
 
-def train(df: DataFrame, label: str, model: str = "logistic_regression", seed: int = 42, **point) -> PipelineModel:
+def train(
+    df: DataFrame, label: str, model: str = "logistic_regression", seed: int = 42, **point
+) -> PipelineModel | linear.LinearModel:
     """Fit a classifier on rows with a `features` vector and a text label.
 
-    The result maps vectors to `predicted_<label>`; rows without a label are not used.
+    The result maps vectors to `predicted_<label>`; rows without a label are not used. Support vector
+    machines take a `loss`: squared_hinge (unless said otherwise) or hinge.
     """
+    if model == "svm":
+        return linear.train(df, label, point.get("loss", "squared_hinge"), point.get("C", 1.0))
     rows = with_weights(df.where(F.col(label).isNotNull()), label).select("features", label, "weight")
     rows = rows.withColumn(label, F.col(label).cast("string")).cache()
     try:
@@ -128,7 +116,7 @@ def _plain_priors(indexed: DataFrame, smoothing: float) -> list[float]:
     return [((c + smoothing) / (n + k * smoothing)) / (c / n) for c in counts]
 
 
-def predict(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
+def predict(model: PipelineModel | linear.LinearModel, df: DataFrame, label: str) -> DataFrame:
     """Add `predicted_<label>` and, where the model has one, the winning probability."""
     scored = model.transform(df)
     if "probability" in scored.columns:
@@ -137,7 +125,7 @@ def predict(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
     return scored.drop("rawPrediction", "probability", "prediction")
 
 
-def evaluate(model: PipelineModel, df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+def evaluate(model: PipelineModel | linear.LinearModel, df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Score row and per-class report on labelled rows."""
     scored = predict(model, df.where(F.col(label).isNotNull()), label)
     scored = scored.select(F.col(label).cast("string").alias("truth"), f"predicted_{label}")
@@ -152,36 +140,26 @@ def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed:
 
 def tune(
     df: DataFrame, label: str, key: str, model: str = "logistic_regression",
-    grid: dict[str, Sequence] | None = None, folds: int = 5, seed: int = 42, parallelism: int = 2,
-) -> tuple[dict, float, PipelineModel]:
-    """Grid search by weighted F1 over stratified folds; the best point is refitted on all rows."""
+    grid: dict[str, Sequence] | None = None, folds: int = 5, seed: int = 42,
+) -> tuple[dict, float, PipelineModel | linear.LinearModel]:
+    """Grid search by weighted F1 over stratified folds; the best setting is fitted on all rows.
+
+    Returns the setting, its mean score and the fitted model. All settings share their passes over the
+    rows (see `search`); the default grids are those of `search.GRIDS`.
+    """
     if model not in MODELS:
         raise ValueError(f"unknown model type: {model}")
-    grid = GRIDS[model] if grid is None else grid
-    rows = stratified_folds(df.where(F.col(label).isNotNull()), label, key, folds, seed)
-    rows = with_weights(rows, label).withColumn(label, F.col(label).cast("string")).cache()
-    try:
-        indexer = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-        n = rows.count()
-        indexed = indexer.transform(rows)
-        base = make_estimator(model, n, len(indexer.labels), seed)
-        tuned = base.getClassifier() if isinstance(base, OneVsRest) else base
-        builder = ParamGridBuilder()
-        for name, values in grid.items():
-            spark_values = [_params(model, {name: v}, n) for v in values]
-            (spark_name,) = spark_values[0]
-            builder = builder.addGrid(getattr(tuned, spark_name), [p[spark_name] for p in spark_values])
-        points = builder.build()
-        search = CrossValidator(
-            estimator=base, estimatorParamMaps=points, foldCol="fold", numFolds=folds, parallelism=parallelism,
-            evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="f1"),
-        ).fit(indexed)
-        best = max(range(len(points)), key=lambda i: search.avgMetrics[i])
-    finally:
-        rows.unpersist()
-    chosen = {param.name: value for param, value in points[best].items()}
-    names = IndexToString(inputCol="prediction", outputCol=f"predicted_{label}", labels=indexer.labels)
-    return chosen, float(search.avgMetrics[best]), PipelineModel([search.bestModel, names])
+    trials = search.search(df, label, key, [model], None if grid is None else {model: grid}, folds, seed)
+    (best,) = search.best_trials(trials)
+    return best.point, best.f1, fit_point(df, label, model, best.point, seed)
+
+
+def fit_point(df: DataFrame, label: str, model: str, point: dict, seed: int = 42) -> PipelineModel | linear.LinearModel:
+    """Fit one setting of a search grid on all rows."""
+    if model in ("svm", "logistic_regression"):
+        classes = df.where(F.col(label).isNotNull()).select(label).distinct().count()
+        return linear.train(df, label, search.loss_of(model, point, classes), float(point.get("C", 1.0)))
+    return train(df, label, model, seed, **point)
 
 
 def naive_bayes_likelihoods(df: DataFrame, label: str, model: PipelineModel, vocabulary: Vocabulary,

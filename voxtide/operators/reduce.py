@@ -47,8 +47,14 @@ def sum_over_tasks(data: DataFrame, work: Callable[[Iterator[np.ndarray]], np.nd
     Only the matrix leaves a task; matrices are added on the executors.
     """
 
+    return sum_of_matrices(data, lambda batches: work(dense_blocks(batches, width)))
+
+
+def sum_of_matrices(data: DataFrame, work: Callable[[Iterator[pd.DataFrame]], np.ndarray]) -> np.ndarray:
+    """As `sum_over_tasks`, for work on the batches themselves."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix = work(dense_blocks(batches, width))
+        matrix = work(batches)
         yield pd.DataFrame({"row": np.arange(len(matrix), dtype="int32"), "part": list(matrix)})
 
     parts = data.mapInPandas(run, "row int, part array<double>")
@@ -56,8 +62,9 @@ def sum_over_tasks(data: DataFrame, work: Callable[[Iterator[np.ndarray]], np.nd
     vector = parts.withColumn("some", F.spark_partition_id() % 64).withColumn("part", array_to_vector("part"))
     partial = vector.groupBy("row", "some").agg(Summarizer.sum(F.col("part")).alias("part"))
     summed = partial.groupBy("row").agg(Summarizer.sum(F.col("part")).alias("total"))
-    rows = summed.select("row", vector_to_array("total").alias("total")).orderBy("row").collect()
-    return np.array([row["total"] for row in rows])
+    table = summed.select("row", vector_to_array("total").alias("total")).toArrow()
+    order = np.argsort(table["row"].to_numpy())
+    return np.array(table["total"].combine_chunks().flatten()).reshape(len(order), -1)[order]
 
 
 def svd_basis(df: DataFrame, width: int, features: str = "features", k: int = 50, oversample: int = 10,

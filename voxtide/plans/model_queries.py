@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.functions import text as tx
-from voxtide.operators import classify, clusters, features, nmf, reduce as reduction, rows, stats, store, topics
+from voxtide.operators import classify, clusters, features, nmf, reduce as reduction, rows, search, stats, store, topics
 from voxtide.plans.registry import query, rounded
 from voxtide.plans.rows_queries import _h
 from voxtide.plans.text_queries import gram_sql
@@ -121,10 +121,78 @@ def stratified_folds(spark, folder):
     return classify.stratified_folds(table(spark, folder, "labels").select("doc_id", "quality"), "quality", "doc_id")
 
 
+def _trials(spark, folder):
+    """All settings of all kinds of model: naive Bayes and forests on counts, linear models on TF-IDF."""
+
+    def make():
+        linear_ = search.search(_vectors(spark, folder), "category", "doc_id", ("logistic_regression", "svm"))
+        return linear_ + search.search(_vectors(spark, folder, "count"), "category", "doc_id", ("naive_bayes", "random_forest"))
+
+    return fitted(spark, folder, "trials", make)
+
+
+def _trial_rows(spark, trials):
+    rows_ = [(t.model, ", ".join(f"{k}={v}" for k, v in t.point.items()), t.f1) for t in trials]
+    return spark.createDataFrame(rows_, "model string, parameters string, f1 double")
+
+
+@query("model_search", "M8 M9")
+def model_search(spark, folder):
+    return _trial_rows(spark, _trials(spark, folder))
+
+
 @query("tuned_model", "M8 M9")
 def tuned_model(spark, folder):
-    best, score, _ = classify.tune(_vectors(spark, folder, "count"), "category", "doc_id", "naive_bayes", parallelism=4)
-    return spark.createDataFrame([(str(k), float(v), score) for k, v in best.items()], "parameter string, value double, f1 double")
+    """The best setting of each of the four kinds of model."""
+    return _trial_rows(spark, search.best_trials(_trials(spark, folder)))
+
+
+@query("naive_bayes_search", "M8 M9", f"""WITH {gram_sql(TERMS)}, v AS (SELECT count(*) AS size FROM vocab),
+fo AS (SELECT doc_id, lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY {_h('doc_id', '', 'slice42')}, doc_id) - 1) % 5 AS INTEGER) AS fold
+  FROM documents WHERE lang IS NOT NULL),
+ct AS (SELECT fold, lang, term, sum(n) AS n FROM tf JOIN fo USING (doc_id) GROUP BY ALL),
+tr AS MATERIALIZED (SELECT f.fold, lang, term, sum(n) AS n FROM ct JOIN range(5) f(fold) ON ct.fold <> f.fold GROUP BY ALL),
+tot AS (SELECT fold, lang, sum(n) AS n FROM tr GROUP BY ALL),
+pri AS (SELECT f.fold, lang, ln(count(*) / sum(count(*)) OVER (PARTITION BY f.fold)) AS p FROM fo JOIN range(5) f(fold) ON fo.fold <> f.fold GROUP BY f.fold, lang),
+al AS (SELECT unnest([0.1, 0.5, 1.0, 2.0]) AS alpha),
+sc AS (SELECT fo.doc_id, fo.fold, fo.lang AS truth, alpha, pri.lang AS guess,
+    p + coalesce(sum(tf.n * (ln(coalesce(tr.n, 0) + alpha) - ln(tot.n + alpha * v.size))), 0) AS s
+  FROM fo JOIN pri USING (fold) JOIN tot ON tot.fold = pri.fold AND tot.lang = pri.lang CROSS JOIN al CROSS JOIN v
+  LEFT JOIN tf ON tf.doc_id = fo.doc_id LEFT JOIN tr ON tr.fold = fo.fold AND tr.lang = pri.lang AND tr.term = tf.term
+  GROUP BY fo.doc_id, fo.fold, fo.lang, alpha, pri.lang, p),
+ch AS (SELECT doc_id, fold, truth, alpha, arg_max(guess, s) AS guess FROM sc GROUP BY ALL),
+pc AS (SELECT alpha, fold, lang, count_if(truth = lang) AS support, count_if(guess = lang) AS chosen, count_if(truth = lang AND guess = lang) AS hit
+  FROM ch JOIN (SELECT DISTINCT lang FROM fo) l ON truth = lang OR guess = lang GROUP BY alpha, fold, lang),
+pf AS (SELECT alpha, fold, sum(support * 2.0 * hit / (support + chosen)) / sum(support) AS f1 FROM pc GROUP BY alpha, fold)
+SELECT alpha::DOUBLE AS alpha, round(avg(f1), 6) AS f1 FROM pf GROUP BY alpha""")
+def naive_bayes_search(spark, folder):
+    trials = search.search(_vectors(spark, folder, "count"), "category", "doc_id", ("naive_bayes",))
+    return rounded(spark.createDataFrame([(float(t.point["alpha"]), t.f1) for t in trials], "alpha double, f1 double"), "f1")
+
+
+@query("svm_is_optimal", "M4", "SELECT DISTINCT lang AS category, true AS optimal FROM documents WHERE lang IS NOT NULL")
+def svm_is_optimal(spark, folder):
+    """Where the squared hinge has its minimum, each weight is the summed pull of the rows inside the margin.
+
+    The gradient is computed again from the long form of the vectors and compared with the one at 0.
+    """
+    vectors = _vectors(spark, folder).where("category is not null").select("doc_id", "category", "features")
+    model = fitted(spark, folder, "svm", lambda: classify.train(vectors, "category", "svm"))
+    weights = model.table(vectors).withColumnRenamed("class", "side")
+    bias = F.broadcast(weights.where("index < 0").select("side", F.col("weight").alias("bias")))  # one row per class
+    entries = classify.with_weights(vectors, "category").transform(lambda df: features.entries("features", "doc_id", df)).cache()
+    rows_ = classify.with_weights(vectors, "category").select("doc_id", "category", F.col("weight").alias("row_weight"))
+    products = entries.join(F.broadcast(weights), "index").groupBy("doc_id", "side").agg(F.sum(F.col("value") * F.col("weight")).alias("product"))
+    sign = F.when(F.col("category") == F.col("side"), 1.0).otherwise(-1.0)
+    scored = rows_.join(bias, F.lit(True)).join(products, ["doc_id", "side"], "left").withColumn("sign", sign)
+    margin = F.col("sign") * (F.coalesce("product", F.lit(0.0)) + F.col("bias"))
+    pull = scored.select("doc_id", "side", (2 * F.col("sign") * F.col("row_weight") * F.greatest(F.lit(0.0), 1 - margin)).alias("pull"),
+                         (2 * F.col("sign") * F.col("row_weight")).alias("first"))
+    sums = entries.join(pull, "doc_id").groupBy("side", "index").agg(F.sum(F.col("value") * F.col("pull")).alias("pull"), F.sum(F.col("value") * F.col("first")).alias("first"))
+    sums = sums.join(weights, ["side", "index"], "left").select("side", (F.coalesce("weight", F.lit(0.0)) - F.col("pull")).alias("slope"), "first")
+    tilt = pull.groupBy("side").agg(F.sum("pull").alias("slope"), F.sum("first").alias("first")).select("side", "slope", "first")
+    both = sums.unionByName(tilt).groupBy("side").agg(F.sqrt(F.sum(F.col("slope") ** 2)).alias("slope"), F.sqrt(F.sum(F.col("first") ** 2)).alias("first"))
+    return both.select(F.col("side").alias("category"), (F.col("slope") <= 0.02 * F.col("first")).alias("optimal"))
 
 
 @query("score_new_feedback", "M10", f"""WITH {NB},
