@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from voxtide.operators import clusters, nmf, reduce as reduction, topics
+from voxtide.operators import clusters, nmf, reduce as reduction, topics, ward
 from voxtide.plans.model_queries import K, TERMS, _clustered, _lda, _nmf, _points, _reduced, _vectors
 from voxtide.plans.registry import query
 from voxtide.plans.text_queries import gram_sql
-from voxtide.sources.tables import feedback_from_orders
+from voxtide.sources.tables import feedback_from_orders, table
 
 
 @query("topic_shares_sum_to_one", "C3 C15", f"""WITH {gram_sql(TERMS, 1)}
@@ -51,6 +51,18 @@ def hierarchical_clusters_cover_all(spark, folder):
     )
 
 
+@query("ward_heights_hold_the_variance", "C10", """
+WITH x AS (SELECT unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+s AS (SELECT i, sum(v * v) - sum(v) * sum(v) / count(*) AS part, count(*) AS n FROM x GROUP BY i)
+SELECT max(n)::BIGINT AS n_rows, round(sum(part), 3) AS variance FROM s""")
+def ward_heights_hold_the_variance(spark, folder):
+    """Each merge adds half its squared height to the variance inside clusters; after the last one that is all there is."""
+    points = table(spark, folder, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"))
+    model = ward.fit_ward(points, "v")
+    total = model.spread + sum(h * h / 2 for _, _, h, _ in model.merges)
+    return spark.createDataFrame([(int(model.n.sum()), round(total, 3))], "n_rows bigint, variance double")
+
+
 def _axes(df, vector: str, k: int):
     """(i, j, cosine) of the columns of the reduced rows, i < j."""
     x = F.col(vector)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.functions import text as tx
-from voxtide.operators import classify, clusters, features, nmf, reduce as reduction, rows, search, stats, store, topics
+from voxtide.operators import classify, clusters, features, nmf, reduce as reduction, rows, search, stats, store, topics, ward
 from voxtide.plans.registry import query, rounded
 from voxtide.plans.rows_queries import _h
 from voxtide.plans.text_queries import gram_sql
@@ -306,6 +306,13 @@ def hierarchical_clusters(spark, folder):
     return clusters.cluster(_points(spark, folder), "vec_id", "hierarchical", K)
 
 
+@query("ward_merges", "C10")
+def ward_merges(spark, folder):
+    """The merges of Ward's linkage over the embeddings, lowest first."""
+    points = table(spark, folder, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"))
+    return ward.fit_ward(points, "v").merge_table(points)
+
+
 @query("svd_reduction", "C13")
 def svd_reduction(spark, folder):
     return reduction.truncated_svd(_vectors(spark, folder), len(_vocabulary(spark, folder).terms), k=50)
