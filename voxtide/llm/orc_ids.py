@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import Recent, kept, small_batches, utf8
+from voxtide.llm.common import kept, small_batches, utf8
 
 END_ID = 0
 ROW_GROUP = 1024  # rows per entry of the row index
 STRIPE_BYTES = 64 * 1024 * 1024
 JOINED = 256  # chunks encoded in one call
+KNOWN = 300_000  # chunks whose ids a worker keeps
+AS_IS = b"\xff"  # never part of UTF-8
 
 SPACE_RUN = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -47,77 +49,112 @@ class Encoder:
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         names = {i: name for name, i in self.library.get_vocab().items()}
         self.width = np.array([len(names.get(i, "")) for i in range(max(names) + 1)], np.int64)
-        self.words, self.others = Recent(150_000), Recent(20_000)  # after a blank or line end; as they stand
+        self.forget()
 
-    def whole(self, text: bytes) -> bytes:
-        ids = self.library.encode(text.decode(), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}  # number of each chunk that is known
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of its ids in `ids`
+        self.ids = np.zeros(0, np.uint32)
+        self.uses = np.zeros(0, np.int64)
 
-    def split(self, text: bytes) -> tuple[list[bytes], list[bytes], list[int]] | None:
-        """Chunks after a blank or line end, other chunks, and the places of those; None: not to be cut."""
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+
+    def split(self, text: bytes) -> list[bytes] | None:
+        """Chunks of a text; None: not to be cut. Chunks after a blank stand without it, those that are
+        neither after a blank nor a line end have AS_IS before them."""
         if not self.cuts or any(s in text for s in self.special) or WIDE_SPACE.search(text):
             return None
         if not text:
-            return [], [], []
+            return []
         plain = not (b"\n\n" in text or b"\n " in text or b"\t" in text or b"\r" in text or b"\x0b" in text or b"\x0c" in text)
         if plain and b"  " not in text and b" \n" not in text:
             parts = text.replace(b"\n", b" \n").split(b" ")
-            return parts[1:], parts[:1], [0]
-        words, others, places = [], [], []
-        for i, chunk in enumerate(SPACE_RUN.findall(text)):
-            if chunk[:1] == b"\n":
-                words.append(chunk)
-            elif chunk[:1] == b" " and chunk[1:2] != b"\n":
-                words.append(chunk[1:])
-            else:
-                others.append(chunk)
-                places.append(i)
-        return words, others, places
-
-    def learn(self, words: list[bytes], others: list[bytes]) -> None:
-        for chunk in self.others.missing(others):
-            self.others.now[chunk] = self.whole(chunk)
-        joined, size = [], 0
-        new = self.words.missing(words)
-        literal = [w if w[:1] == b"\n" else b" " + w for w in new]
-        for key, chunk in zip(new, literal, strict=True):
-            if chunk[-1:].isspace():  # a following chunk could join its white space
-                self.words.now[key] = self.whole(chunk)
+            parts[0] = AS_IS + parts[0]
+            return parts
+        return [
+            chunk if chunk[:1] == b"\n" else chunk[1:] if chunk[:1] == b" " and chunk[1:2] != b"\n" else AS_IS + chunk
+            for chunk in SPACE_RUN.findall(text)
+        ]
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Add the ids of chunks that are not known."""
+        alone, joined, literal = [], [], []
+        for key in chunks:
+            if key[:1] == AS_IS or key[-1:].isspace() or not key:  # a following chunk could join its white space
+                alone.append(key)
             else:
-                joined.append((key, chunk))
-        blocks = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
-        found = self.library.encode_batch_fast([b"".join(c for _, c in b).decode() for b in blocks], add_special_tokens=False)
-        for block, encoded in zip(blocks, found, strict=True):
-            ids = np.array(encoded.ids, "<u4")
-            ends = np.cumsum([len(c) for _, c in block])
-            reached = np.cumsum(self.width[ids])
-            at = np.searchsorted(reached, ends) + 1
-            if (reached[at - 1] != ends).any():
-                raise ValueError("a token crosses white space")
-            raw, begin = ids.tobytes(), 0
-            for (key, _), end in zip(block, (at * 4).tolist(), strict=True):
-                self.words.now[key] = raw[begin:end]
-                begin = end
-
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        """Ids of each text and `end`, as little-endian 32-bit integers."""
+                joined.append(key)
+                literal.append(key if key[:1] == b"\n" else b" " + key)
+        blocks = [b"".join(literal[i : i + JOINED]).decode() for i in range(0, len(literal), JOINED)]
+        found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(blocks, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        ends = np.cumsum(np.fromiter(map(len, literal), np.int64, len(literal)))
+        reached = np.cumsum(self.width[ids])
+        at = np.searchsorted(reached, ends) + 1
+        if len(ends) and (reached[at - 1] != ends).any():
+            raise ValueError("a token crosses white space")
+        single = [self.whole(self._literal(key)) for key in alone]
+        sizes = np.concatenate([np.diff(at, prepend=0), np.fromiter(map(len, single), np.int64, len(single))]).astype(np.int64)
+        self._add(joined + alone, sizes, [ids, *single])
+
+    @staticmethod
+    def _literal(key: bytes) -> bytes:
+        return key[1:] if key[:1] == AS_IS else key if key[:1] == b"\n" else b" " + key
+
+    def _add(self, keys: list[bytes], sizes: np.ndarray, ids: list[np.ndarray]) -> None:
+        known = len(self.begin)
+        begin = len(self.ids) + np.cumsum(sizes) - sizes
+        self.place.update(zip(keys, range(known, known + len(keys)), strict=True))
+        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
+
+    def turn(self) -> None:
+        """Beyond KNOWN chunks, those used most stay. Ids depend on the chunk alone, so nothing else changes."""
+        if len(self.place) <= KNOWN:
+            return
+        keys, uses = list(self.place), self.uses
+        kept_ = np.sort(np.argsort(-uses, kind="stable")[: KNOWN // 2])
+        size = self.size[kept_]
+        ids = self._gather(kept_)
+        self.forget()
+        self._add([keys[i] for i in kept_.tolist()], size, [ids])
+        self.uses = uses[kept_] // 2  # what was used long ago counts for less
+
+    def _gather(self, chunks: np.ndarray) -> np.ndarray:
+        """The ids of all chunks in a row."""
+        size = self.size[chunks]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.begin[chunks] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def encode_flat(self, texts: list[bytes], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, `end` after each, and how many each text has."""
         texts = [t if _valid(t) else t.decode("utf-8", "replace").encode() for t in texts]
         parts = [self.split(t) for t in texts]
-        cut = [p for p in parts if p is not None]
-        self.learn(list(chain.from_iterable(p[0] for p in cut)), list(chain.from_iterable(p[1] for p in cut)))
-        get, other, out = self.words.now.__getitem__, self.others.now.__getitem__, []
+        chunks = list(chain.from_iterable(p for p in parts if p is not None))
+        self.learn(list(set(chunks).difference(self.place)))
+        number = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        self.uses += np.bincount(number, minlength=len(self.uses))
+        flat = self._gather(number)
+        cuts = np.concatenate([[0], np.cumsum(self.size[number])])
+        out, sizes, at = [], [], 0
+        tail = np.array(end, np.uint32)
         for text, p in zip(texts, parts, strict=True):
             if p is None:
-                out.append(self.whole(text) + end)
-                continue
-            ids = list(map(get, p[0]))
-            for place, chunk in zip(p[2], p[1], strict=True):
-                ids.insert(place, other(chunk))
-            ids.append(end)
-            out.append(b"".join(ids))
-        self.words.turn()
-        self.others.turn()
-        return out
+                own = self.whole(text)
+            else:
+                own = flat[cuts[at] : cuts[at + len(p)]]
+                at += len(p)
+            out += [own, tail]
+            sizes.append(len(own) + len(tail))
+        self.turn()
+        return np.concatenate([np.zeros(0, np.uint32), *out]), np.array(sizes, np.int64)
+
+    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
+        """Ids of each text and `end`, as little-endian 32-bit integers."""
+        flat, sizes = self.encode_flat(texts, np.frombuffer(end, "<u4").tolist())
+        return [row.astype("<u4").tobytes() for row in np.split(flat, np.cumsum(sizes)[:-1])] if len(sizes) else []
 
 
 def _valid(text: bytes) -> bool:
@@ -141,19 +178,15 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_i
     library does by default. Other columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         before = 0
         for batch in batches:
-            rows = encoder.encode([t or b"" for t in batch["body"].to_pylist()], end)
-            sizes = np.array([len(r) // 4 for r in rows], np.int64)
+            flat, sizes = encoder.encode_flat([t or b"" for t in batch["body"].to_pylist()], [end_id])
             ends = np.cumsum(sizes)
             starts = before + ends - sizes
             before += int(sizes.sum())
-            ids = pa.array(np.frombuffer(b"".join(rows), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), ids)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["part"], pa.array(starts), pa.array(sizes), lists], ["doc_id", "part", "start", "n_tokens", "ids"]
             )
