@@ -48,14 +48,18 @@ def table_shape(df: DataFrame) -> DataFrame:
     )
 
 
-def update_rows(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+def update_rows(base: DataFrame, updates: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Apply a table of updates; fields unknown to the base are ignored.
 
-    Of several updates of one key the last one wins, in the order the table is read.
+    Of several updates of one key the one with the largest `order` wins (nulls are oldest, ties go by a
+    hash of the values), whatever files the updates lie in. Without such a column it is the last one in
+    the order the table is read, which holds for a single file only. `order` itself is not a field.
     """
-    fields = [c for c in updates.columns if c != key and c in base.columns]
+    fields = [c for c in updates.columns if c not in (key, order) and c in base.columns]
     last = F.max_by(F.struct(*[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_hit")), "_place")
-    changes = updates.withColumn("_place", F.monotonically_increasing_id()).groupBy(F.col(key).alias("_key")).agg(last.alias("_last"))
+    place = F.monotonically_increasing_id() if order is None else F.struct(
+        F.col(order).isNotNull().alias("known"), F.col(order).alias("order"), F.xxhash64(*[F.col(c) for c in fields] or [F.lit(0)]).alias("tie"))
+    changes = updates.withColumn("_place", place).groupBy(F.col(key).alias("_key")).agg(last.alias("_last"))
     changes = changes.select("_key", "_last.*")
     joined = base.join(changes, base[key] == changes["_key"], "left")
     return joined.select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.operators import rows
+from voxtide.operators.edits import KeptTable
 from voxtide.operators.store import Store, import_feedback
 from voxtide.plans.registry import query, rounded, sql_list
 from voxtide.schemas import COLLECTED, require_columns
@@ -243,6 +244,35 @@ def bulk_delete(spark, folder):
     return rows.delete_rows(docs, table(spark, folder, "labels"), "doc_id")
 
 
+KEPT = """WITH e AS (SELECT event_id, user_id, event_type, value FROM events), u AS (
+  SELECT user_id AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id)"""
+
+
+@query("edits_are_kept", "P10 P11", f"""{KEPT}
+SELECT e.event_id, e.user_id, coalesce(u.event_type, e.event_type) AS event_type, e.value
+FROM e LEFT JOIN u ON u.event_id = e.event_id WHERE e.event_id NOT IN (SELECT c_custkey * 7 FROM customer)""")
+def edits_are_kept(spark, folder):
+    """Events are stored, changed by each user's last event, some deleted, and read back by another handle."""
+    events = table(spark, folder, "events")
+    path = scratch_path(spark, "kept")
+    kept = KeptTable(spark, path)
+    kept.replace(events.select("event_id", "user_id", "event_type", "value"))
+    last = F.struct("ts", "event_id")
+    newest = events.select(F.col("user_id").alias("event_id"), "event_type", last.alias("told"))
+    kept.update(newest, "event_id", "told")
+    kept.delete(table(spark, folder, "customer").select((F.col("c_custkey") * 7).alias("event_id")), "event_id")
+    return KeptTable(spark, path).table()
+
+
+@query("series_round_trip", "S2b T3", """
+SELECT CAST(date_trunc('day', ts) AS DATE) AS period, count(*) AS count FROM events GROUP BY 1""")
+def series_round_trip(spark, folder):
+    path = scratch_path(spark, "series")
+    days = table(spark, folder, "events").groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).cast("date").alias("period")).count()
+    files.write_series(days, path)
+    return spark.read.schema("period date, count bigint").csv(path, header=True)
+
+
 @query("preview", "P12", WITH_FB + " SELECT id, rating, sentiment, category FROM fb ORDER BY id LIMIT 5")
 def preview(spark, folder):
     return feedback_from_orders(spark, folder).select("id", "rating", "sentiment", "category").orderBy("id").limit(5)

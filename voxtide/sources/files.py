@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from voxtide.functions.hashing import hash_pick
 from voxtide.functions.text import course_code
 from voxtide.schemas import COLLECTED, FEEDBACK
+from voxtide.sources.csv_ranges import read_quoted_csv
 
 # Fixed values of generated feedback.
 SUBJECTS = ["Mathematics", "Computer Science", "Physics", "Chemistry", "Biology", "History", "Literature",
@@ -47,8 +48,11 @@ DAYS_BACK = 365
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = FEEDBACK) -> DataFrame:
-    """Feedback from CSV files with a header; texts may hold quotes and line breaks."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', dateFormat="yyyy-MM-dd")
+    """Feedback from CSV files with a header; texts may hold quotes and line breaks.
+
+    Files are read by ranges, so that a large file is the work of many tasks.
+    """
+    return read_quoted_csv(spark, path, schema)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -59,6 +63,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def write_series(series: DataFrame, path: str, period: str = "period") -> None:
+    """A period series as CSV, its period in the first column (as a date), rows in order of time within files."""
+    ordered = series.select(F.col(period).cast("date").alias(period), *[c for c in series.columns if c != period])
+    write_csv(ordered.repartitionByRange(period).sortWithinPartitions(period), path)
+
+
 def ensure_collection(spark: SparkSession, path: str) -> DataFrame:
     """The collected feedback, created empty with its columns if it does not exist."""
     spark.createDataFrame([], COLLECTED).write.mode("ignore").parquet(path)
