@@ -55,3 +55,19 @@ def test_model_failures_are_neutral(spark):
     df = spark.createDataFrame([(1, "good"), (2, "boom"), (3, "so so"), (4, None)], "id int, text string").coalesce(1)
     out = {r["id"]: (r["predicted_sentiment"], r["confidence"]) for r in score_with_model(df, "text", load).collect()}
     assert out == {1: ("Positive", 0.75), 2: ("Neutral", 0.0), 3: ("Neutral", 0.75), 4: ("Neutral", 0.75)}
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark):
+    """The same batch, written a second time, replaces itself; later rows come in a batch of their own."""
+    folder, progress = scratch_path(spark, "rows"), scratch_path(spark, "progress")
+    source = scratch_path(spark, "arrivals")
+    spark.createDataFrame([(1, at(1), "s", 1.0, "a"), (2, at(1), "s", 2.0, "b")], SCHEMA).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    double = lambda df: df.select("id", (F.col("value") * 2).alias("value"))
+    ingest.write_batches(stream, double, folder, progress)
+    again = scratch_path(spark, "progress")  # progress was lost: the first batch runs again
+    ingest.write_batches(stream, double, folder, again)
+    assert sorted((r["id"], r["value"]) for r in spark.read.parquet(folder).collect()) == [(1, 2.0), (2, 4.0)]
+    spark.createDataFrame([(3, at(2), "s", 5.0, "c")], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    ingest.write_batches(spark.readStream.schema(SCHEMA).parquet(source), double, folder, again)
+    assert sorted((r["id"], r["value"]) for r in spark.read.parquet(folder).collect()) == [(1, 2.0), (2, 4.0), (3, 10.0)]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxtide.functions.lexicon import score_sentiment
-from voxtide.plans.registry import query, rounded
+from voxtide.operators.classify import Scorer
+from voxtide.plans.model_queries import _bayes, _vocabulary
+from voxtide.plans.registry import QUERIES, query, rounded
 from voxtide.plans.store_queries import LEXICON, NEGATIVE, POSITIVE
 from voxtide.sources.tables import table
 from voxtide.streaming import ingest
@@ -40,3 +42,11 @@ def stream_scoring(spark, folder):
     docs = _stream(spark, folder, "documents").select("doc_id", "text")
     scored = ingest.score_stream(docs, lambda df: score_sentiment(df, "text", POSITIVE, NEGATIVE).drop("text"))
     return rounded(ingest.run_available(scored, "scored"), "confidence")
+
+
+@query("stream_scoring_fitted", "ST3 M10", QUERIES["score_new_feedback"].sql)
+def stream_scoring_fitted(spark, folder):
+    """Submissions scored on arrival with the fitted vocabulary and model: the same as in a batch."""
+    scorer = Scorer(_vocabulary(spark, folder, "count"), {"category": _bayes(spark, folder)})
+    talk = _stream(spark, folder, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text")
+    return ingest.score_new(talk, lambda rows: scorer(rows, "id", "text"), "categories")

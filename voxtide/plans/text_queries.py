@@ -8,7 +8,7 @@ from voxtide.functions import stemming, text as tx
 from voxtide.functions.text import STOP_WORDS
 from voxtide.operators import features
 from voxtide.operators.topics import dominant_topic, pair_npmi, window_counts
-from voxtide.operators.stats import word_counts
+from voxtide.operators.stats import word_counts, word_counts_by
 from voxtide.plans.registry import query, rounded, sql_list
 from voxtide.plans.stats_queries import KEPT_WORDS_SQL, WORDS_SQL
 from voxtide.sources.tables import table
@@ -184,10 +184,12 @@ def documents_per_topic(spark, folder):
     return dominant(spark, folder).groupBy("dominant_topic").count()
 
 
-N_WORDS = 12
+TOPIC_WORDS = 20  # of each topic; the topic of a document is its language here, so that SQL knows it as well
 WINDOW_SQL = f"""toks AS (SELECT doc_id, {TOPIC_TOKENS_SQL} AS t FROM documents),
 occ AS (SELECT doc_id, len(t) AS n, unnest(t) AS word, unnest(range(0, len(t))) AS p FROM toks),
-top AS (SELECT word FROM occ GROUP BY word ORDER BY count(*) DESC, word LIMIT {N_WORDS}),
+ranked AS (SELECT word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r
+  FROM occ JOIN documents USING (doc_id) GROUP BY lang, word),
+top AS (SELECT DISTINCT word FROM ranked WHERE r <= {TOPIC_WORDS}),
 hit AS (SELECT doc_id, word, greatest(p - 109, 0) AS lo, least(p, greatest(n - 110, 0)) AS hi FROM occ WHERE word IN (SELECT word FROM top)),
 win AS (SELECT DISTINCT doc_id, word, unnest(range(lo, hi + 1)) AS s FROM hit),
 counts AS (SELECT a.word AS word_a, b.word AS word_b, count(*) AS windows FROM win a JOIN win b
@@ -196,10 +198,11 @@ total AS (SELECT CAST(sum(greatest(len(t) - 109, 1)) AS BIGINT) AS n FROM toks W
 
 
 def _window_counts(spark, folder):
-    docs = _docs(spark, folder)
+    """Windows with the top words of all topics."""
+    docs = _docs(spark, folder, "lang")
     tokens = tx.topic_tokens(F.col("text"))
-    words = [row["word"] for row in word_counts(docs, tokens, N_WORDS).collect()]
-    return window_counts(docs, tokens, words)
+    words = word_counts_by(docs, "lang", tokens, TOPIC_WORDS).select("word").distinct().orderBy("word").collect()
+    return window_counts(docs, tokens, [row["word"] for row in words])
 
 
 @query("window_pair_counts", "C6", f"WITH {WINDOW_SQL} SELECT word_a, word_b, windows FROM counts UNION ALL SELECT NULL, NULL, n FROM total")

@@ -50,3 +50,24 @@ def run_available(df: DataFrame, label: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
+
+
+def write_batches(df: DataFrame, work: Callable[[DataFrame], DataFrame], folder: str, progress: str) -> None:
+    """Process what has arrived so far batch by batch; each batch has a folder of its own.
+
+    `work` is any batch job (a fitted scorer, say) from the rows of a batch to result rows. A batch that
+    is run again after a failure replaces its own folder, so that no row is there twice or missing.
+    """
+
+    def store(rows: DataFrame, batch: int) -> None:
+        work(rows).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    df.writeStream.foreachBatch(store).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+
+def score_new(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], label: str = "scored") -> DataFrame:
+    """Score what has arrived with a fitted scorer and return the stored rows."""
+    spark = df.sparkSession
+    folder, progress = scratch_path(spark, f"{label}-rows"), scratch_path(spark, f"{label}-progress")
+    write_batches(df, scorer, folder, progress)
+    return spark.read.parquet(folder).drop("batch")
