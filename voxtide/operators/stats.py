@@ -84,6 +84,25 @@ def distinct_count(df: DataFrame, column: str, approximate: bool = False, deviat
     return df.agg(count.alias("distinct_values"))
 
 
+SKETCH_BITS = 14  # the standard error of an estimate is at most 1.04 / sqrt(2 ** SKETCH_BITS)
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_sketches(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """A sketch of the distinct values per group, to be stored: (by..., sketch).
+
+    Sketches add up: the distinct values of any set of groups come from the union of theirs, without
+    the rows (see `distinct_from_sketches`). They are built before the shuffle, so a hot group is one
+    sketch per task.
+    """
+    return df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.hll_sketch_agg(column, SKETCH_BITS).alias("sketch"))
+
+
+def distinct_from_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Estimated distinct values per (coarser) group: (by..., distinct_values)."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"))
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row per column; nulls and NaN are no values."""
     clean = [F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from voxtide.operators import clusters, nmf, reduce as reduction, topics, ward
-from voxtide.plans.model_queries import K, TERMS, _clustered, _lda, _nmf, _points, _reduced, _vectors
+from voxtide.operators import classify, clusters, nmf, reduce as reduction, search, stats, topics, ward
+from voxtide.operators.features import dense_vector
+from voxtide.plans.model_queries import K, TERMS, _clustered, _lda, _nmf, _points, _reduced, _vectors, _vocabulary
 from voxtide.plans.registry import query
 from voxtide.plans.text_queries import gram_sql
+from voxtide.session import materialize
 from voxtide.sources.tables import feedback_from_orders, table
 
 
@@ -98,3 +105,48 @@ def approximate_count_is_close(spark, folder):
     fb = feedback_from_orders(spark, folder)
     both = fb.agg(F.count_distinct("student").alias("exact"), F.approx_count_distinct("student", 0.01).alias("near"))
     return both.select("exact", (F.abs(F.col("near") - F.col("exact")) <= 0.03 * F.col("exact")).alias("within_three_deviations"))
+
+
+@query("distinct_per_quarter_from_sketches", "A6", """
+SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, count(DISTINCT o_custkey) AS exact, true AS within_three_errors
+FROM orders GROUP BY 1""")
+def distinct_per_quarter_from_sketches(spark, folder):
+    """Daily sketches, stored and read back, give the distinct customers of each quarter within three standard errors."""
+    orders = table(spark, folder, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    daily = materialize(stats.distinct_sketches(orders, "o_custkey", ["day"]), "sketches")
+    quarter = F.date_trunc("quarter", "day").cast("date").alias("quarter")
+    near = stats.distinct_from_sketches(daily.select(quarter, "sketch"), ["quarter"])
+    exact = orders.groupBy(quarter).agg(F.count_distinct("o_custkey").alias("exact"))
+    gap = F.abs(F.col("distinct_values") - F.col("exact"))
+    return exact.join(near, "quarter").select("quarter", "exact", (gap <= 3 * stats.SKETCH_ERROR * F.col("exact") + 1).alias("within_three_errors"))
+
+
+@query("forest_is_its_trees", "M3 L6", "SELECT vec_id, true AS votes_add_up, true AS shares_add_up FROM embeddings WHERE label IS NOT NULL")
+def forest_is_its_trees(spark, folder):
+    """The votes of a forest are the summed class shares of its trees, walked here node by node; importances add up to 1."""
+    points = table(spark, folder, "embeddings").where("label is not null").select(
+        "vec_id", F.col("label").cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("v"), dense_vector("embedding").alias("features"))
+    model = RandomForestClassifier(numTrees=10, maxDepth=8, seed=42, featureSubsetStrategy="sqrt").fit(points.select("features", "label"))
+    model = classify.without_summary(spark, model)
+    found = search.Forest.of(spark, model)
+    sent = spark.sparkContext.broadcast((found.feature, found.threshold, found.left, found.right, found.shares, found.roots))
+
+    def votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forest = search.Forest(*sent.value)
+        for v in batches:
+            yield pd.Series(list(forest.votes(np.vstack(v.to_numpy()), [10], [8])[0, 0])) if len(v) else pd.Series([], dtype=object)
+
+    scored = model.transform(points).withColumn("walked", F.pandas_udf(votes, "array<double>")("v"))
+    gaps = F.zip_with(vector_to_array("rawPrediction"), F.col("walked"), lambda a, b: F.abs(a - b))
+    total = float(sum(model.featureImportances.toArray()))
+    return scored.select("vec_id", (F.array_max(gaps) < 1e-6).alias("votes_add_up"), F.lit(abs(total - 1) < 1e-9).alias("shares_add_up"))
+
+
+@query("topics_are_distributions", "C1 E10", f"SELECT t::INTEGER AS topic, true AS within_vocabulary, true AS adds_up, true AS positive FROM range({K}) r(t)")
+def topics_are_distributions(spark, folder):
+    """Each topic's term weights, made to shares, are positive and add up to 1, and none is missing."""
+    weights = topics.topic_terms(spark, _lda(spark, folder), _vocabulary(spark, folder, "count", (1, 1)))
+    total = weights.groupBy("topic").agg(F.sum("weight").alias("total"))
+    shares = weights.join(F.broadcast(total), "topic").withColumn("share", F.col("weight") / F.col("total"))  # one row per topic
+    return shares.groupBy(F.col("topic").cast("int").alias("topic")).agg(
+        (F.count(F.lit(1)) <= TERMS).alias("within_vocabulary"), (F.abs(F.sum("share") - 1) < 1e-9).alias("adds_up"), F.min(F.col("share") > 0).alias("positive"))
