@@ -27,7 +27,7 @@ from voxtide.session import materialize
 
 LOSSES = ("log", "squared_hinge", "hinge", "softmax")
 SMOOTH = 0.1
-NEWTON_STEPS, CG_STEPS, HALVINGS = 50, 25, 12
+NEWTON_STEPS, CG_STEPS, HALVINGS = 50, 12, 12
 
 
 @dataclass(frozen=True)

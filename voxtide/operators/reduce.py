@@ -60,7 +60,9 @@ def sum_of_matrices(data: DataFrame, work: Callable[[Iterator[pd.DataFrame]], np
     parts = data.mapInPandas(run, "row int, part array<double>")
     # few rows and many tasks: partial sums of groups of tasks first, then of the groups
     vector = parts.withColumn("some", F.spark_partition_id() % 64).withColumn("part", array_to_vector("part"))
-    partial = vector.groupBy("row", "some").agg(Summarizer.sum(F.col("part")).alias("part"))
+    partial = vector
+    if data.rdd.getNumPartitions() > 64:
+        partial = vector.groupBy("row", "some").agg(Summarizer.sum(F.col("part")).alias("part"))
     summed = partial.groupBy("row").agg(Summarizer.sum(F.col("part")).alias("total"))
     table = summed.select("row", vector_to_array("total").alias("total")).toArrow()
     order = np.argsort(table["row"].to_numpy())
