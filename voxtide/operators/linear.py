@@ -27,7 +27,7 @@ from voxtide.session import materialize
 
 LOSSES = ("log", "squared_hinge", "hinge", "softmax")
 SMOOTH = 0.1
-NEWTON_STEPS, CG_STEPS, HALVINGS = 50, 12, 12
+NEWTON_STEPS, CG_STEPS, HALVINGS = 150, 12, 12
 
 
 @dataclass(frozen=True)
@@ -182,13 +182,14 @@ class _Rows:
 
 def fit(
     rows: DataFrame, width: int, n_classes: int, problems: Sequence[Problem], weights: dict[int, np.ndarray] | None = None,
-    tolerance: float = 1e-4,
+    tolerance: float = 1e-4, least_gain: float = 0.0,
 ) -> list[np.ndarray]:
     """Weights of all problems, (width + 1) × columns each, the intercept last.
 
     `rows` come from `labelled_rows`; cache or write them before. A problem is done when its gradient
-    has fallen below `tolerance` times the first one, or a step gains less than a hundredth of that. Each Newton step solves its equations roughly by
-    conjugate gradients (scaled by the diagonal) and halves the step until the objective falls.
+    has fallen below `tolerance` times the first one, or a step lowers its objective by no more than the
+    share `least_gain`. Each Newton step solves its equations roughly by conjugate gradients (scaled by
+    the diagonal) and halves the step until the objective falls.
     """
     for p in problems:
         if p.loss not in LOSSES:
@@ -220,7 +221,7 @@ def fit(
                 fall = (slope[:, c] * step[:, c]).sum()
                 if new_value[j] <= value[i] + 1e-4 * length[i] * fall + 1e-12 * abs(value[i]):
                     w[:, c], slope[:, c], curve[:, c] = tried[:, inner[j]], new_slope[:, inner[j]], new_curve[:, inner[j]]
-                    if value[i] - new_value[j] <= 1e-2 * tolerance * abs(value[i]):
+                    if value[i] - new_value[j] <= least_gain * abs(value[i]):
                         first[i] = np.inf  # nothing to be gained any more
                     value[i] = new_value[j]
                     waiting.discard(i)
