@@ -115,17 +115,48 @@ def parse(text, sample):
     return phrases
 
 
-def test_phrases_are_the_longest(monkeypatch):
-    monkeypatch.setattr(langid, "SEGMENT", 50)
+@pytest.mark.parametrize("stride", [1, 2, 7, 50, 400])
+@pytest.mark.parametrize("dense", [langid.DENSE, 0])
+def test_phrases_are_those_of_one_parse(monkeypatch, stride, dense):
+    """Whole texts, wherever they are cut into pieces; some hold runs of the samples, so that parses fall into step late."""
+    monkeypatch.setattr(langid, "STRIDE", stride)
+    monkeypatch.setattr(langid, "DENSE", dense)
     rng = random.Random(3)
     word = lambda s: "".join(rng.choice(s) for _ in range(rng.randint(1, 6)))
-    samples = {"a": " ".join(word("abcd") for _ in range(80)), "b": " ".join(word("cdef") for _ in range(80))}
+    samples = {"a": " ".join(word("abcd") for _ in range(80)), "b": " ".join(word("cdef") for _ in range(80)), "c": "abc " * 100}
     made = Languages([(k, [v.encode()]) for k, v in samples.items()])
-    texts = [" ".join(word("abcdefz") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    texts = [" ".join(word("abcdefz") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    texts += [samples["a"][20:260] + samples["b"][7:190], samples["c"][1:] * 3, "ab" * 150, "z" * 120, "abc " * 130 + "d", ""]
+    texts = [t.strip() for t in texts]
     got = made.phrases([letters_of(t.encode()) for t in texts])
     for text, row in zip(texts, got.tolist(), strict=True):
-        for own, n in zip(samples.values(), row, strict=True):
-            assert n == sum(parse(text[i : i + 50], own) for i in range(0, len(text), 50))
+        assert row == [parse(text, own.strip()) for own in samples.values()]
+
+
+def test_prediction_is_that_of_plain_parses(spark, data):
+    """Labels and scores of whole documents, with texts of more than one piece, against substring look-ups."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    samples = [(k, own[:3]) for k, own in langid.learn(docs)]
+    plain = {k: "\0".join("".join(map(chr, letters_of(t))) for t in own) for k, own in samples}
+    some = docs.where(F.length("text") > 1000).limit(6).unionByName(docs.where(F.length("text") < 400).limit(10))
+    some = spark.createDataFrame(some.collect(), docs.schema)
+    for r in langid.predict_language(some, samples).collect():
+        letters = "".join(map(chr, letters_of(r["text"].encode())))
+        (first, best), (second, _) = sorted((parse(letters, own), k) for k, own in plain.items())[:2]
+        assert (r["language"]["lang_pred"], r["language"]["score"]) == (best, 1 - first / second)
+
+
+def test_samples_are_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGE_LETTERS", 100)
+    ids = [i for i in range(400) if not langid.is_held_out(i)]
+    texts = {i: f"w{'x' * (10 + i % 40)} {i}" for i in ids[:60]} | {i: "y" * (101 + i) for i in ids[60:80]}
+    rows = [(i, t, "aa") for i, t in texts.items()] + [(i, texts[i], "bb") for i in ids[60:80]] + [(ids[0], texts[ids[0]], "aa")] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = dict(langid.learn(df))
+    assert got == dict(langid.learn(df.repartition(5)))
+    assert {t.decode() for t in got["aa"]} <= set(texts.values()) and 60 < sum(map(len, got["aa"])) <= 100
+    assert len(got["aa"]) == len(set(got["aa"]))
+    assert got["bb"] == [texts[ids[60]].encode()]
 
 
 def test_automaton_knows_every_substring():

@@ -2,8 +2,10 @@
 
 For every language a suffix automaton of some labelled text knows all its substrings. A text is
 parsed greedily into the longest phrases that occur in the labelled text; the language that needs
-the fewest phrases per letter wins. Texts are parsed in segments side by side: one step moves the
-automaton states of all segments of a batch by one letter.
+the fewest phrases per letter wins. Texts are parsed from many places side by side: one step moves
+the automaton states of all places of a batch by one letter. A parse goes on into the stretch of
+the next place until both begin a phrase at the same letter; from there on they are the same, so
+the phrases are those of one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -21,12 +23,11 @@ from pyspark.sql import functions as F
 from voxtide.llm.common import U64, batch_udf, kept, mixed, small_batches, struct_rows, utf8
 from voxtide.session import materialize
 
-LANGUAGE_LETTERS = 40_000  # labelled letters of each language
-SAMPLE_TEXTS = 150  # texts per language, each with at most LETTERS_PER_TEXT letters
-LETTERS_PER_TEXT = 2_000
+LANGUAGE_LETTERS = 40_000  # characters of the labelled texts of each language, which are taken whole
+SAMPLE_TEXTS = 150  # texts per language
 GROUP = 32  # languages that a worker holds at once; more are looked at in several passes
 DENSE = 16_000_000  # entries of full tables that a worker holds; above, only the entries in use
-SEGMENT = 400  # letters parsed in one go; a phrase ends where a segment ends
+STRIDE = 400  # letters between the places of a text from which it is parsed; changes no result
 UNKNOWN = "und"
 
 
@@ -137,14 +138,48 @@ class Automaton:
         self.size = size
 
 
+def _step(table, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a phrase begins at the letter, and the states behind it."""
+    new = table[state + symbol]
+    miss = new == 0  # the phrase ends before this letter, or the letter occurs nowhere and is one of its own
+    begins = miss | (state == 0)
+    again = np.flatnonzero(miss)
+    new[again] = table[symbol[again]]
+    return begins, new
+
+
+def _go_on(table, state, after, symbols, grid, begun, sizes) -> tuple[np.ndarray, np.ndarray]:
+    """Parses that go on into the next piece until they are in step with its own parse.
+
+    `state` is that before the first letter of the pieces `after`. Returns the phrases that begin
+    there less those that the own parse begins at these letters, and the places in `after` of the
+    pieces that end before both are in step.
+    """
+    extra = np.zeros(len(after), np.int64)
+    on = np.arange(len(after))
+    for step in range(len(grid)):
+        if not len(on):
+            break
+        inside = sizes[after[on]] > step
+        if not inside.all():
+            # the text ends here, so nothing follows
+            on, state = on[inside], state[inside]
+        own = begun[step, after[on]]
+        begins, new = _step(table, state, symbols[grid[step, after[on]]])
+        apart = ~(begins & own)
+        on, state = on[apart], new[apart]
+        extra[on] += begins[apart].astype(np.int64) - own[apart]
+    return extra, on
+
+
 class Languages:
     """Automata, each over all letters of its own sample; symbol 0 is every letter outside it."""
 
     def __init__(self, samples: list[tuple[str, list[bytes]]]):
         texts = []
         for lang, own in samples:
-            cut = [part for t in own for part in (letters_of(t)[:LETTERS_PER_TEXT], [-1])]
-            texts.append((lang, np.concatenate(cut or [[]]).astype(np.int64)[:LANGUAGE_LETTERS]))
+            parts = [part for t in own for part in (letters_of(t), [-1])]
+            texts.append((lang, np.concatenate(parts or [[]]).astype(np.int64)))
         codes = np.unique(np.concatenate([t for _, t in texts] or [np.zeros(0, np.int64)]))
         codes = codes[codes >= 0]
         self.number = np.zeros(0x110000, np.int32)  # of a letter among those of all samples
@@ -153,7 +188,7 @@ class Languages:
         self.automata, self.symbols = [], []  # and by language, the symbols of those numbers
         for _, t in texts:
             own = np.unique(t[t >= 0])
-            symbol = np.zeros(len(codes) + 1, np.uint16)  # LANGUAGE_LETTERS letters fit
+            symbol = np.zeros(len(codes) + 1, np.uint16 if len(own) < 1 << 16 else np.int32)
             symbol[self.number[own]] = np.arange(1, len(own) + 1)
             numbers = np.where(t >= 0, self.number[t], 0)  # 0 between texts
             self.symbols.append(symbol)
@@ -164,38 +199,68 @@ class Languages:
         out = np.zeros((len(texts), len(self.names)), np.int64)
         owner, pieces = [], []
         for i, t in enumerate(texts):
-            for a in range(0, len(t), SEGMENT):
+            for a in range(0, len(t), STRIDE):
                 owner.append(i)
-                pieces.append(t[a : a + SEGMENT])
+                pieces.append(t[a : a + STRIDE])
         if not pieces:
             return out
         sizes = np.array([len(p) for p in pieces])
         order = np.argsort(-sizes, kind="stable")
-        owner, sizes = np.array(owner)[order], sizes[order]
-        grid = np.zeros((SEGMENT, len(pieces)), np.int32)
-        for column, i in enumerate(order.tolist()):
-            grid[: len(pieces[i]), column] = self.number[pieces[i]]
-        width = np.searchsorted(-sizes, -np.arange(SEGMENT), "left")  # segments with a letter at each step
+        column = np.empty(len(pieces), np.int64)
+        column[order] = np.arange(len(pieces))
+        owner, sizes = np.array(owner), sizes[order]
+        grid = np.zeros((STRIDE, len(pieces)), np.int32)
+        for k, i in enumerate(order.tolist()):
+            grid[: len(pieces[i]), k] = self.number[pieces[i]]
+        width = np.searchsorted(-sizes, -np.arange(STRIDE), "left")  # pieces with a letter at each step
+        later = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # pieces that go on with the text of the piece before
+        before, after = column[later - 1], column[later]
         for k, (automaton, symbols) in enumerate(zip(self.automata, self.symbols, strict=True)):
             table = automaton.table
             state = np.zeros(len(pieces), table.dtype)
-            ended = np.zeros(len(pieces), np.int32)
+            begun = np.zeros(grid.shape, bool)  # whether a phrase begins at the letter
             for step in range(int(sizes[0])):
                 n = width[step]
                 symbol = symbols[grid[step, :n]]
-                old = state[:n]
-                new = table[old + symbol]
-                miss = new == 0
-                ended[:n] += miss & (old > 0)  # a phrase ends before this letter
-                again = np.flatnonzero(miss)
-                begin = table[symbol[again]]
-                new[again] = begin
-                ended[again] += begin == 0  # a letter that occurs nowhere is a phrase of its own
-                state[:n] = new
-            ended += state > 0
-            out[:, k] = np.bincount(owner, ended, len(texts)).astype(np.int64)
+                begun[step, :n], state[:n] = _step(table, state[:n], symbol)
+            count = begun.sum(0)
+            extra, open_ = _go_on(table, state[before], after, symbols, grid, begun, sizes)
+            if len(open_):
+                self._go_on_in_order(table, symbols, grid, begun, sizes, state, before, after, extra, open_)
+            count[after] += extra
+            out[:, k] = np.bincount(owner, count[column], len(texts)).astype(np.int64)
         return out
 
+    @staticmethod
+    def _go_on_in_order(table, symbols, grid, begun, sizes, state, before, after, extra, open_) -> None:
+        """Where a parse did not fall into step within a piece, the pieces behind it one after the other.
+
+        `before`, `after` and `extra` are in the order of the texts. Changes `extra` of these pieces.
+        """
+        look = table.item if isinstance(table, np.ndarray) else lambda entry: int(table[np.array([entry])][0])
+        stray, done = set(open_.tolist()), 0
+        for i in sorted(stray):
+            if i < done:
+                continue
+            now, at, more = int(state[before[i]]), i, True
+            while more:
+                place, n, own, met = int(after[at]), 0, 0, False
+                letters, starts = symbols[grid[: sizes[place], place]].tolist(), begun[: sizes[place], place].tolist()
+                for symbol, start in zip(letters, starts, strict=True):
+                    new = look(now + symbol)
+                    begins = now == 0 or new == 0
+                    if begins and start:
+                        met = True
+                        break
+                    n, own = n + begins, own + start
+                    now = new or look(symbol)
+                extra[at] = n - own
+                at += 1
+                more = at < len(after) and before[at] == place and (not met or at in stray)
+                if met:  # the piece ends as its own parse does
+                    now = int(state[place])
+            done = at
+
     def nearest(self, texts: list[bytes | None]) -> tuple[list[str | None], list[int | None], list[int | None]]:
         """The best language, its phrases and those of the second; nulls where there is none."""
         found = [letters_of(t or b"") for t in texts]
@@ -220,25 +285,28 @@ def held_out(id: Column, folds: int = 5) -> Column:
 
 
 def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, list[bytes]]]:
-    """Labelled texts of every language: the first of the SAMPLE_TEXTS whose ids hash lowest, up to LANGUAGE_LETTERS.
+    """Labelled texts of every language, whole: of the SAMPLE_TEXTS rows whose ids hash lowest, the first
+    that have LANGUAGE_LETTERS characters together.
 
     Rows with a null id, text or label and held-out rows are left out, as are texts without a letter.
-    A text of more than LETTERS_PER_TEXT letters gives so many from a place chosen by its id's hash.
-    What the driver holds is bounded by LANGUAGE_LETTERS + LETTERS_PER_TEXT letters per label, whatever
-    the rows. Only the sample is cut; predictions look at whole texts.
+    Texts of more than LANGUAGE_LETTERS characters are taken only where a label has no others, and then
+    the shortest. A repeated row counts as often as it occurs among the SAMPLE_TEXTS and is learned once.
+    So the driver holds LANGUAGE_LETTERS characters per label, or one text. Only rows are left out, no
+    text is cut. Rows are chosen on narrow columns; the texts of the chosen ones are fetched afterwards.
     """
     train = docs.where(~held_out(F.col(id)) & F.col(id).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    # words of letters with one blank between; of a long text, the letters from a place that the id's hash names
-    words = F.trim(F.regexp_replace(F.col(text), r"\P{L}+", " "))
-    rows = train.select(F.col(lang).alias("lang"), F.xxhash64(id).alias("h"), F.col(id).alias("id"), words.alias("words")).where("words <> ''")
-    begin = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.length("words") - LETTERS_PER_TEXT + 1)).cast("int") + 1
-    rows = rows.select("lang", "h", "id", F.substr("words", begin, F.lit(LETTERS_PER_TEXT)).alias("body"))
-    by_hash = W.partitionBy("lang").orderBy("h", "id", "body")
-    ranked = rows.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SAMPLE_TEXTS)
-    before = F.coalesce(F.sum(F.length("body")).over(by_hash.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = ranked.withColumn("before", before).where(F.col("before") < LANGUAGE_LETTERS)
+    rows = train.where(F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.xxhash64(id).alias("h"), F.col(id).alias("id"), F.xxhash64(text).alias("digest"), F.length(text).alias("n")
+    )
+    order = [F.greatest(F.col("n") - LANGUAGE_LETTERS, F.lit(0)), "h", "id", "digest"]
+    by_hash = W.partitionBy("lang").orderBy(*order)
+    ranked = rows.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SAMPLE_TEXTS).drop("r").distinct()
+    ranked = ranked.withColumn("r", F.row_number().over(by_hash)).withColumn("sum", F.sum("n").over(by_hash.rowsBetween(W.unboundedPreceding, 0)))
+    chosen = materialize(ranked.where((F.col("sum") <= LANGUAGE_LETTERS) | (F.col("r") == 1)).select("lang", "id", "digest", "r"), "sample")
+    texts = train.select(F.col(lang).alias("lang"), F.col(id).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("body"))
+    found = texts.join(chosen, ["lang", "id", "digest"]).groupBy("lang", "r").agg(F.min("body").alias("body"))
     sample: dict[str, list[bytes]] = {}
-    for r in ranked.orderBy("lang", "r").select("lang", utf8("body").alias("body")).collect():
+    for r in found.orderBy("lang", "r").select("lang", utf8("body").alias("body")).collect():
         sample.setdefault(r["lang"], []).append(bytes(r["body"]))
     return sorted(sample.items())
 
