@@ -67,3 +67,15 @@ def test_fewer_candidates_than_k_and_empty_table(spark):
     assert found(spark, [(0, [1.0]), (1, [2.0])]) == {(0, 1, 1, 64 * 128)}
     assert found(spark, []) == set()
     assert found(spark, [(0, None)]) == set()
+
+
+def test_buckets_out_of_reach_are_not_copied(spark):
+    """Long vectors and many short ones: no query needs the short ones, so they meet no block."""
+    rng = random.Random(9)
+    around = lambda r: (lambda v: [r * x / math.hypot(*v) for x in v])([rng.gauss(0, 1) for _ in range(4)])
+    rows = [(i, around(50 + i % 7)) for i in range(60)] + [(100 + i, around(0.5)) for i in range(300)]
+    assert found(spark, rows, **SMALL | {"seed_rows": 60}) == brute(rows, 4)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    plan = exact_top_k(df, F.col("vec_id") % 5 == 0, k=4, **SMALL | {"seed_rows": 60})
+    hits = [(r["query_id"], r["vec_id"]) for r in plan.collect()]
+    assert len(hits) == 4 * 72 and not [1 for _, v in hits if v >= 100]

@@ -7,12 +7,14 @@ would need a cosine over one. In the others it prunes either by coordinates (a v
 close in angle is close in the query's largest coordinates) or by length (a prefix of the bucket
 sorted by length), and the products of what is left are computed exactly.
 
-Queries and buckets meet in blocks of bounded size; only the k best of a block leave it.
+Queries and buckets meet in blocks of bounded size; only the k best of a block leave it. A block
+holds queries that reach the same buckets, and a bucket is sent to the blocks that reach it only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtide.llm.common import small_batches
+from voxtide.session import materialize
 
 BINS_PER_OCTAVE = 8  # buckets hold lengths within a factor of 2 ** (1/8)
 NO_BOUND = -(2.0**1000)
@@ -157,8 +160,9 @@ def exact_top_k(
     Vectors of different length meet as if filled with zeros; empty vectors score 0. A query with
     fewer than k candidates gets all. An empty table gives an empty result.
 
-    What the driver holds: one row per length bin (lengths of doubles fall into fewer than 17,000
-    bins) and the `seed_rows` longest vectors, which give the first bounds.
+    What the driver holds: two rows per length bin (lengths of doubles fall into fewer than 17,000
+    bins) and the `seed_rows` longest vectors, which give the first bounds. Other columns of the
+    table are not read, whatever their names.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -175,9 +179,8 @@ def exact_top_k(
     bin_ = F.when(square > 0, F.floor(F.log2(square) / 2 * BINS_PER_OCTAVE)).otherwise(-1).cast("int")
     binned = one.withColumn("n2", square).withColumn("bin", bin_)
 
-    sizes = binned.groupBy("bin").agg(F.count("*").alias("n"), F.sum(F.col("q").cast("int")).alias("q")).collect()
+    sizes = binned.groupBy("bin").agg(F.count("*").alias("n")).collect()
     parts = {r["bin"]: -(-r["n"] // bucket_rows) for r in sizes}
-    q_parts = max(1, -(-sum(r["q"] or 0 for r in sizes) // query_rows))
     top = binned.select("id", "v", "n2").orderBy(F.desc("n2"), "id").limit(seed_rows).toArrow()
     seeds = spark.sparkContext.broadcast((np.asarray(top["id"].to_numpy(), np.int64), _matrix(top["v"], scale)))
 
@@ -201,15 +204,26 @@ def exact_top_k(
         for b, n in sorted(parts.items())
     ]) if parts else F.array().cast("array<struct<bin:int,parts:int,most:double>>")
     in_reach = F.filter(bins, lambda b: (F.sqrt("n2") * b["most"] * (1 + SLACK) >= F.col("bound")) | (F.col("bound") <= 0))
-    block = F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int")
+    # buckets in reach are all from some length on; queries with the same shortest one share blocks
+    reach = asked.withColumn("reach", in_reach).withColumn("cut", F.array_min(F.transform("reach", lambda b: b["bin"]))).where("cut is not null")
+    reach = materialize(reach.select("id", "v", "bound", "cut"), "queries")
+    blocks = {r["cut"]: -(-r["n"] // query_rows) for r in reach.groupBy("cut").agg(F.count("*").alias("n")).collect()}
+    cuts = sorted(blocks)
+    first = dict(zip(cuts, accumulate((blocks[c] for c in cuts), initial=0), strict=False))  # blocks ascend with their cut
+    reached_by = {b: sum(blocks[c] for c in cuts if c <= b) for b in parts}  # so those that reach a bin are the first ones
+
+    def by_bin(values: dict[int, int], of: Column) -> Column:
+        return F.element_at(F.create_map(*[F.lit(y) for pair in sorted(values.items()) for y in pair]), of) if values else F.lit(1)
+
+    block = by_bin(first, F.col("cut")) + F.pmod(F.xxhash64("id"), by_bin(blocks, F.col("cut"))).cast("int")
     q_side = (
-        asked.withColumn("b", F.explode(in_reach))
+        reach.withColumn("b", F.explode(F.filter(bins, lambda b: b["bin"] >= F.col("cut"))))
         .select("id", "v", "bound", block.alias("qb"), F.col("b.bin").alias("bin"), F.explode(F.expr("sequence(0, b.parts - 1)")).alias("part"))
     )
-    n_parts = F.element_at(F.create_map(*[F.lit(y) for pair in parts.items() for y in pair]), F.col("bin")) if parts else F.lit(1)
-    p_side = binned.select(
-        "id", "v", "bin", F.pmod(F.xxhash64("id", F.lit(7)), n_parts).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("qb"),
+    n_blocks = by_bin(reached_by, F.col("bin"))
+    p_side = binned.withColumn("m", n_blocks).where("m > 0").select(
+        "id", "v", "bin", F.pmod(F.xxhash64("id", F.lit(7)), by_bin(parts, F.col("bin"))).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("qb"),
     )
 
     def meet(q: pa.Table, p: pa.Table) -> pa.Table:
