@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -91,3 +92,35 @@ def test_empty_tables(spark):
     assert judge(d.limit(0), b).count() == 0
     with pytest.raises(ValueError):
         find_passages(d, b, column="text")
+
+
+def test_equal_windows_of_many_items_are_kept_once():
+    text = " ".join(f"w{i}" for i in range(40))
+    items = [(str(i), text.encode()) for i in range(2000)] + [("other", b"x " + text.encode()), (None, text.encode())]
+    made = Windows(items)
+    hashes, _, begin, listed = made.lengths[13]
+    assert len(hashes) == 29 and len(listed) == 28 * 2002 + 1 and begin[-1] == len(listed)
+    spans, found = made.scan([b"foreign", *text.encode().split()] * 3)
+    assert len(spans) == 28 * 3 and found == {str(i) for i in range(2000)} | {"other"}
+
+
+def test_one_window_in_fifty_thousand_items():
+    """A text of 400 hits, one verification for each; the items are listed once."""
+    text = " ".join(f"w{i % 13}" for i in range(412))
+    made = Windows([(str(i), b" ".join(b"w%d" % j for j in range(13))) for i in range(50_000)])
+    assert [len(a) for a in made.lengths[13]] == [1, 1, 2, 50_000]
+    began = time.process_time()
+    spans, found = made.scan(text.encode().split())
+    assert len(spans) == 31 and spans[:2] == [(0, 13), (13, 26)] and len(found) == 50_000
+    assert time.process_time() - began < 1
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2, 3)], "doc_id bigint, text string, hits int, _hits_0 int, HITS_ int")
+    bench = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "x")], "item_id bigint, text string")
+    assert remove_documents(docs, bench).count() == 0 and remove_spans(docs, bench).columns == docs.columns
+    assert judge(docs, bench, keep=["doc_id", "hits"]).first()["n_items"] == 2
+    sliced = find_passages(docs, bench, column="found", slice_bytes=2)
+    assert sliced.columns == [*docs.columns, "found"] and sliced.first()["_hits_0"] == 2
+    with pytest.raises(ValueError):
+        judge(docs, bench, keep=["doc_id", "N_hit"])

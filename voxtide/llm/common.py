@@ -134,7 +134,24 @@ def batch_udf(work: Callable[[list], pa.Array], schema: str) -> Callable[..., Co
     return F.arrow_udf(run, schema).asNondeterministic()
 
 
-def with_result(df: DataFrame, column: Column, keep: list[str]) -> DataFrame:
-    """Columns `keep` and the fields of a struct column that is computed once per row."""
-    row = "_result"
+def free_name(taken: Iterable[str], name: str) -> str:
+    """The name, with underscores behind it until no column is called so in any case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def unclashing(keep: Iterable[str], results: Iterable[str]) -> list[str]:
+    """The columns to keep, if no result has the name of one of them."""
+    keep, taken = list(keep), {r.lower() for r in results}
+    if clash := [k for k in keep if k.lower() in taken]:
+        raise ValueError(f"columns {clash} have names of results")
+    return keep
+
+
+def with_result(df: DataFrame, column: Column, keep: Iterable[str], results: Iterable[str]) -> DataFrame:
+    """Columns `keep` and the fields `results` of a struct column that is computed once per row."""
+    keep = unclashing(keep, results)
+    row = free_name(keep, "_result")
     return df.select(*[F.col(k) for k in keep], column.alias(row)).select(*keep, f"{row}.*")

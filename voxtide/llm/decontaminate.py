@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import U64, WORD_BYTES, batch_udf, kept, mixed, plain_words, small_batches, struct_rows, utf8
+from voxtide.llm.common import U64, WORD_BYTES, batch_udf, free_name, kept, mixed, plain_words, small_batches, struct_rows, unclashing, utf8
 from voxtide.session import materialize
 
 WINDOW = 13
@@ -23,7 +23,7 @@ SLICE_BYTES = 16_000_000  # of benchmark text per broadcast: under 100 MB as arr
 
 
 class Windows:
-    """The windows of some benchmark items, as sorted hashes and their places in one array of words."""
+    """The distinct windows of some benchmark items: sorted hashes, a place in one array of words, and their items."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], size: int = WINDOW):
         self.numbers: dict[bytes, int] = {}  # benchmark words from 1; 0 is any other word
@@ -33,38 +33,62 @@ class Windows:
         self.words = np.concatenate([np.array(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
         begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         windows = np.minimum(sizes, size)
-        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # hashes, places, items
+        self.lengths: dict[int, tuple[np.ndarray, ...]] = {}  # hashes, places, begins in items, items
         for n in np.unique(windows[windows > 0]).tolist():
             own = np.flatnonzero(windows == n)
             count = sizes[own] - n + 1
             item = np.repeat(own, count)
             place = np.repeat(begins[own] - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
             hashes = _hashes([self.words[place + j] for j in range(n)])
-            order = np.argsort(hashes, kind="stable")
-            self.lengths[n] = hashes[order], place[order], item[order]
+            order = np.argsort(hashes, kind="stable")  # so the items of equal windows ascend
+            hashes, place, item = hashes[order], place[order], item[order]
+            new = np.ones(len(order), bool)  # equal hashes are not enough
+            new[1:] = (hashes[1:] != hashes[:-1]) | ~_same(self.words, place[1:], self.words, place[:-1], n)
+            listed = new.copy()
+            listed[1:] |= item[1:] != item[:-1]
+            firsts = np.flatnonzero(new)
+            begin = np.append(np.cumsum(listed)[firsts] - 1, listed.sum())
+            self.lengths[n] = hashes[firsts], place[firsts], begin, item[listed]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """(start, end) of every occurrence, ends excluded, and the items they belong to."""
         get = self.numbers.get
         ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        spans, items = [], set()
-        for n, (hashes, place, item) in self.lengths.items():
+        spans, found = [], None
+        for n, (hashes, place, begin, item) in self.lengths.items():
             if len(ids) < n:
                 continue
             starts = np.flatnonzero(known[n:] - known[:-n] == n)  # windows without foreign words
             if not len(starts):
                 continue
             own = _hashes([ids[starts + j] for j in range(n)])
-            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-            for k in np.flatnonzero(high > low).tolist():
-                i = int(starts[k])
-                at = place[low[k] : high[k]]
-                same = (self.words[at[:, None] + np.arange(n)] == ids[i : i + n]).all(1)  # equal hashes are not enough
-                if same.any():
-                    spans.append((i, i + n))
-                    items.update(self.owners[j] for j in np.unique(item[low[k] : high[k]][same]))
-        return spans, items - {None}
+            at = np.searchsorted(hashes, own, "left")
+            more = np.flatnonzero(at < len(hashes))
+            hit = np.zeros(len(starts), bool)
+            while len(more):  # different windows of one hash follow each other
+                more = more[hashes[at[more]] == own[more]]
+                same = _same(self.words, place[at[more]], ids, starts[more], n)
+                hit[more[same]] = True
+                more = more[~same]
+                at[more] += 1
+                more = more[at[more] < len(hashes)]
+            if not hit.any():
+                continue
+            spans.extend((i, i + n) for i in starts[hit].tolist())
+            if found is None:
+                found = np.zeros(len(self.owners), bool)
+            for w in np.unique(at[hit]).tolist():
+                found[item[begin[w] : begin[w + 1]]] = True
+        return spans, set() if found is None else {self.owners[j] for j in np.flatnonzero(found)} - {None}
+
+
+def _same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n entries of `a` from each place `at` are those of `b` from `bt`."""
+    out = np.ones(len(at), bool)
+    for j in range(n):
+        out &= a[at + j] == b[bt + j]
+    return out
 
 
 def _hashes(columns: list[np.ndarray]) -> np.ndarray:
@@ -141,7 +165,9 @@ def find_passages(
 
     if n_slices == 1:
         return docs.withColumn(column, scanner(0))
-    parts = [f"_{column}_{i}" for i in range(n_slices)]
+    parts: list[str] = []
+    for i in range(n_slices):
+        parts.append(free_name([*docs.columns, column, *parts], f"_{column}_{i}"))
     both = docs
     for i, name in enumerate(parts):
         both = materialize(both.withColumn(name, scanner(i)), "passages")
@@ -179,10 +205,14 @@ def contaminated(hits: Column) -> Column:
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, keep: Iterable[str] = ("doc_id",), **options) -> DataFrame:
-    """Columns `keep`, n_words, n_hit, n_items, items_sha256 (of the listed ids, comma-joined) and contaminated."""
-    found = find_passages(docs, benchmark, **options)
-    hits = F.col(options.get("column", "hits"))
-    return found.select(
+    """Columns `keep`, n_words, n_hit, n_items, items_sha256 (of the listed ids, comma-joined) and contaminated.
+
+    A name in `keep` that is one of the results' is an error.
+    """
+    keep = unclashing(keep, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    column = options.pop("column", None) or free_name(docs.columns, "hits")
+    hits = F.col(column)
+    return find_passages(docs, benchmark, column=column, **options).select(
         *keep, hits["n_words"].alias("n_words"), _n_hit(hits).alias("n_hit"), F.size(hits["items"]).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"), contaminated(hits).alias("contaminated"),
     )
@@ -190,8 +220,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: Iterable[str] = ("doc_id"
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, as they are."""
-    found = find_passages(docs, benchmark, **options)
-    return found.where(~contaminated(F.col(options.get("column", "hits")))).select(*docs.columns)
+    column = options.pop("column", None) or free_name(docs.columns, "hits")
+    found = find_passages(docs, benchmark, column=column, **options)
+    return found.where(~contaminated(F.col(column))).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -199,8 +230,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **op
 
     What stands before the first and after the last word of a span stays. Null texts stay null.
     """
-    found = find_passages(docs, benchmark, text=text, **options)
-    hits = F.col(options.get("column", "hits"))
+    column = options.pop("column", None) or free_name(docs.columns, "hits")
+    found, hits = find_passages(docs, benchmark, text=text, column=column, **options), F.col(column)
 
     def work(rows: list) -> pa.Array:
         return pa.array([None if r["t"] is None else _cut(r["t"], r["s"], r["e"]).decode() for r in rows], pa.string())

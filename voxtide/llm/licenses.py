@@ -164,4 +164,4 @@ def scan_licenses(
         rows = [row(v) for v in values]
         return struct_rows(FIELDS, zip(*rows, strict=True) if rows else [[]] * len(FIELDS))
 
-    return with_result(docs, batch_udf(work, SCHEMA)(utf8(text)), list(keep))
+    return with_result(docs, batch_udf(work, SCHEMA)(utf8(text)), keep, [name for name, _ in FIELDS])

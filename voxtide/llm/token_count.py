@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import Recent, batch_udf, kept, small_batches, struct_rows, utf8, with_result
+from voxtide.llm.common import Recent, batch_udf, kept, small_batches, struct_rows, unclashing, utf8, with_result
 from voxtide.llm.pieces import Vocabulary, chunks, symbols
 
 LONG = 192  # longer sequences are merged one by one with a heap, in n log n steps
@@ -162,5 +162,5 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", keep: Iterable
         cache.turn()
         return struct_rows(FIELDS, out)
 
-    counted = with_result(docs, batch_udf(work, "struct<n_bytes:bigint,n_tokens:bigint>")(utf8(text)), list(keep))
+    counted = with_result(docs, batch_udf(work, "struct<n_bytes:bigint,n_tokens:bigint>")(utf8(text)), unclashing(keep, ["over_limit"]), [name for name, _ in FIELDS])
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
