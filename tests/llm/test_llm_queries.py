@@ -1,5 +1,6 @@
 """The registered queries against SQL, and the pipeline stage by stage."""
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,28 @@ def test_stages_on_odd_tables(spark, data):
             assert stage(spark, own, data).count() <= own.count()
 
 
+def test_stages_with_columns_of_their_names(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(40)
+    for name in ("hits", "language", "grading", "_language", "rank", "kept"):
+        docs = docs.withColumn(name, F.lit(7))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns and out.where("hits <> 7 or language <> 7 or grading <> 7 or rank <> 7").count() == 0
+
+
+def test_kept_columns_that_are_results(spark):
+    from voxtide.llm import licenses, nbest, token_count
+
+    docs = spark.createDataFrame([(1, "a", 0.5, 3)], "doc_id bigint, text string, score double, n_tokens int")
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(docs, keep=("doc_id", "score"))
+    with pytest.raises(ValueError):
+        token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "n_tokens"))
+    with pytest.raises(ValueError):
+        nbest.encode_n_best(docs.withColumnRenamed("score", "N_pieces"), public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "N_pieces"))
+
+
 def test_classifier_stage_removes_toxic_documents(spark):
     """The stage itself, on a table with thousands of ratings."""
     folder = "/root/testdata/sf0.1"

@@ -84,6 +84,18 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
 
 
+def test_repeated_rows_stay_once(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, {"a": 1}, 5), (1, text, {"a": 2}, 6), (1, "quite another text with other words", None, 1), (2, text, None, 2),
+            (None, text, None, 3), (None, text, None, 3), (3, None, None, 4), (3, None, None, 4), (4, "", None, 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, m map<string,int>, rank int")
+    kept = keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert got == [(0, text), (0, text), (1, text), (1, rows[2][1]), (3, ""), (4, "")]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, keep_one(df.repartition(5)).collect()))
+
+
 def test_signatures_estimate_similarity():
     """Shared minima and maxima are as frequent as the similarity says."""
     rng = random.Random(6)

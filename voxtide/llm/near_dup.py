@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import U64, Recent, batch_udf, kept, mixed, small_batches, struct_rows, utf8
+from voxtide.llm.common import U64, Recent, batch_udf, free_name, kept, mixed, small_batches, struct_rows, utf8
 from voxtide.operators.components import connected_components
 from voxtide.session import materialize
 
@@ -294,8 +295,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     )
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that another document of their group stands for."""
-    gone = near_duplicates(docs, id=id, **options).where(~F.col("kept")).select(id).distinct()
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents without those that another document of their group stands for.
+
+    Of rows that repeat an id and a text one stays, that of the smallest hash over the columns that can
+    be hashed. Rows with a null id all stay.
+    """
+    gone = near_duplicates(docs, id=id, text=text, **options).where(~F.col("kept")).select(id).distinct()
     # written, so that the planner knows its size; a document with a null id stays
-    return docs.join(materialize(gone, "gone"), id, "left_anti").select(*docs.columns)
+    left = docs.join(materialize(gone, "gone"), id, "left_anti").select(*docs.columns)
+    ids = docs.select(F.col(id).alias("id")).where("id is not null").groupBy("id").agg(F.count("*").alias("n"))
+    again = materialize(ids.where("n > 1").select(F.col("id").alias(id)), "again")
+    if again.isEmpty():
+        return left
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rank = free_name(docs.columns, "rank")
+    first = W.partitionBy(id, text).orderBy(F.xxhash64(*hashed))
+    one = left.join(again, id, "left_semi").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    return left.join(again, id, "left_anti").select(*docs.columns).unionAll(one.select(*docs.columns))
