@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.llm import decontaminate, langid, nbest, near_dup, quality
+from voxtide.llm.common import free_name
 from voxtide.llm.queries import KEEP_TAIL, quality_model
 from voxtide.session import apply_settings, materialize
 
@@ -16,20 +17,22 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
     Null texts and texts without a letter go.
     """
-    found = langid.predict_language(docs, langid.learn(docs), column="_language")
-    told = found.where(F.col("_language.lang_pred") != langid.UNKNOWN)
-    return told.withColumn("lang", F.coalesce("lang", "_language.lang_pred")).select(*docs.columns)
+    name = free_name(docs.columns, "language")
+    predicted = F.col(name)["lang_pred"]
+    told = langid.predict_language(docs, langid.learn(docs), column=name).where(predicted != langid.UNKNOWN)
+    return told.withColumn("lang", F.coalesce("lang", predicted)).select(*docs.columns)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that are probably of the best grade; toxic ones and those of low quality go."""
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    graded = quality.grade_texts(docs, quality_model(docs, labels), column="_grading")
-    return graded.where(F.col("_grading.tail") >= KEEP_TAIL).select(*docs.columns)
+    name = free_name(docs.columns, "grading")
+    graded = quality.grade_texts(docs, quality_model(docs, labels), column=name)
+    return graded.where(F.col(name)["tail"] >= KEEP_TAIL).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, and one row of those that repeat an id and a text."""
     return near_dup.keep_one(docs)
 
 
