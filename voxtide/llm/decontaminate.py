@@ -68,6 +68,8 @@ class Windows:
             hit = np.zeros(len(starts), bool)
             while len(more):  # different windows of one hash follow each other
                 more = more[hashes[at[more]] == own[more]]
+                if not len(more):
+                    break
                 same = _same(self.words, place[at[more]], ids, starts[more], n)
                 hit[more[same]] = True
                 more = more[~same]
