@@ -106,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+FOUND = ", ".join(f"CASE WHEN regexp_matches(joined, '{licenses.pattern(t)}') THEN '{label}' END" for label, t in licenses.TEMPLATES)
 
 SQL = {
     "op1_exact_topk": """
@@ -133,16 +134,7 @@ SQL = {
                 CASE WHEN joined LIKE '% apache license version 2 %' THEN 'apache-2' END,
                 CASE WHEN joined LIKE '% cc by nc %' THEN 'cc-by-nc' END,
                 CASE WHEN joined LIKE '% under the mit license %' THEN 'mit' END], lambda x: x IS NOT NULL) AS base,
-            list_filter([
-                CASE WHEN regexp_matches(joined, ' licensed under (the )?(terms of the )?gnu affero general public license (version )?3 ') THEN 'agpl-3' END,
-                CASE WHEN regexp_matches(joined, ' licensed under the apache license (version )?2 0 ') THEN 'apache-2' END,
-                CASE WHEN joined LIKE '% redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met %' THEN 'bsd' END,
-                CASE WHEN regexp_matches(joined, ' licensed under (a )?(the )?creative commons attribution ([^ ]+ ){{0,3}}license ') THEN 'cc-by' END,
-                CASE WHEN regexp_matches(joined, ' licensed under (the )?(terms of the )?gnu general public license (version )?2 ') THEN 'gpl-2' END,
-                CASE WHEN regexp_matches(joined, ' licensed under (the )?(terms of the )?gnu general public license (version )?3 ') THEN 'gpl-3' END,
-                CASE WHEN regexp_matches(joined, ' permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted ') THEN 'isc' END,
-                CASE WHEN regexp_matches(joined, ' permission is hereby granted free of charge to any person obtaining a copy of this software (and associated documentation files )?([^ ]+ ){{0,3}}to deal in the software without restriction ') THEN 'mit' END,
-                CASE WHEN regexp_matches(joined, ' subject to the terms of the mozilla public license (v )?(version )?2 0 ') THEN 'mpl-2' END], lambda x: x IS NOT NULL) AS more
+            list_filter([{FOUND}], lambda x: x IS NOT NULL) AS more
             FROM j
         )
         SELECT doc_id, len(words)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word,
