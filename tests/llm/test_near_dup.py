@@ -11,13 +11,13 @@ from voxtide.llm.near_dup import block_links, keep_one, near_duplicates, shingle
 SCHEMA = "doc_id bigint, text string, id string, u int, v int, component_id int, n int"
 
 
-def shingle_set(text):
+def shingle_set(text, n=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def brute(rows):
-    sets = [(i, shingle_set(t)) for i, t in rows]
+def brute(rows, n=4):
+    sets = [(i, shingle_set(t, n)) for i, t in rows]
     up = {i: i for i, _ in rows if i is not None}
 
     def root(x):
@@ -35,9 +35,9 @@ def brute(rows):
     )
 
 
-def run(spark, rows):
+def run(spark, rows, **options):
     df = spark.createDataFrame([(i, t, "x", 1, 2, 3, 4) for i, t in rows], SCHEMA)
-    return sorted((tuple(r) for r in near_duplicates(df).collect()), key=str)
+    return sorted((tuple(r) for r in near_duplicates(df, **options).collect()), key=str)
 
 
 def family(rng, base, edits):
@@ -55,6 +55,9 @@ def test_same_as_all_pairs(spark):
         for _ in range(14):
             rows.append((len(rows), family(rng, base, rng.randrange(7))))
     assert run(spark, rows) == brute(rows)
+    rows += [(-1, "a b c d"), (-2, "A b c d "), (-3, "a b c d e")]  # four words are a whole text at five a shingle
+    five = run(spark, rows, shingle=5)
+    assert five == brute(rows, 5) and five != run(spark, rows)
 
 
 def test_members_that_only_other_members_link(spark):

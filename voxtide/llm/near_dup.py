@@ -1,6 +1,6 @@
 """Near-duplicate groups by min-max hashing, confirmed on whole shingle sets.
 
-1. Every text becomes the set of its four-word shingles (64-bit hashes). Texts with equal sets are
+1. Every text becomes the set of its four-word shingles (64-bit hashes; another number of words is an option). Texts with equal sets are
    one class from here on; what follows runs on one document of each class.
 2. Each of 64 permutations gives the smallest and the largest value of the set, so 128 signature
    values cost 64 evaluations. Two permutations with both their ends make one of 32 bands.
@@ -51,12 +51,12 @@ class WordHashes(Recent):
         return np.fromiter(map(self.now.__getitem__, words), U64, len(words))
 
 
-def shingle_sets(values: list[bytes | None]) -> list[np.ndarray]:
+def shingle_sets(values: list[bytes | None], n: int = SHINGLE) -> list[np.ndarray]:
     """The shingle set of each text."""
     cache = kept("words", WordHashes)
     texts = [(v or b"").lower().split() for v in values]
     cache.learn(texts)
-    out = [shingles(cache.of(words)) for words in texts]
+    out = [shingles(cache.of(words), n) for words in texts]
     cache.turn()
     return out
 
@@ -111,9 +111,9 @@ def _batched(sets: list[np.ndarray], values: int = 32_768) -> Iterable[list[np.n
 FIELDS = [("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))]
 
 
-def _sketch():
+def _sketch(n: int):
     def work(values: list) -> pa.Array:
-        sets = shingle_sets(values)
+        sets = shingle_sets(values, n)
         full = [s for s in sets if len(s)]
         keys = iter(np.concatenate([signatures(some) for some in _batched(full)]).view(np.int64)) if full else iter(())
         return struct_rows(FIELDS, (
@@ -125,9 +125,9 @@ def _sketch():
     return batch_udf(work, "struct<n:bigint,digest:binary,bands:array<bigint>>")
 
 
-def _sets():
+def _sets(n: int):
     def work(values: list) -> pa.Array:
-        return pa.array([s.view(np.int64) for s in shingle_sets(values)], pa.list_(pa.int64()))
+        return pa.array([s.view(np.int64) for s in shingle_sets(values, n)], pa.list_(pa.int64()))
 
     return batch_udf(work, "array<bigint>")
 
@@ -214,24 +214,29 @@ def _links_between(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     apart = apart.join(materialize(sizes.select("key", _blocks("m", "i_blocks"), _blocks("n", "j_blocks")), "blocks"), "key")
     place = F.xxhash64("v")
     first = apart.where("inside").select(
-        F.lit(0).alias("kind"), "key", F.pmod(place, F.col("i_blocks")).cast("int").alias("i"),
-        F.explode(F.expr("sequence(0, j_blocks - 1)")).alias("j"), F.lit(0).alias("side"), "v", "component",
+        F.lit(0).alias("kind"), "key", F.pmod(place, F.col("i_blocks")).cast("int").alias("own"), F.col("j_blocks").alias("blocks"),
+        F.lit(0).alias("side"), "v", "component",
     )
     second = apart.where("not inside").select(
-        F.lit(0).alias("kind"), "key", F.explode(F.expr("sequence(0, i_blocks - 1)")).alias("i"),
-        F.pmod(place, F.col("j_blocks")).cast("int").alias("j"), F.lit(1).alias("side"), "v", "component",
+        F.lit(0).alias("kind"), "key", F.pmod(place, F.col("j_blocks")).cast("int").alias("own"), F.col("i_blocks").alias("blocks"),
+        F.lit(1).alias("side"), "v", "component",
     )
 
     others = tagged.where("not inside").select(F.col("bucket").alias("key"), "v", "component")
     sizes = others.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     others = others.join(materialize(sizes.where("lo < hi").select("key", _blocks("n", "blocks")), "blocks"), "key")
-    others = others.withColumn("own", F.pmod(place, F.col("blocks")).cast("int"))
-    within = others.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-        F.lit(1).alias("kind"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "v", "component",
+    within = others.select(
+        F.lit(1).alias("kind"), "key", F.pmod(place, F.col("blocks")).cast("int").alias("own"), "blocks", F.lit(0).alias("side"), "v", "component",
     )
     met = first.unionByName(second).unionByName(within)
-    full = met.join(sets, met["v"] == sets["id"]).select("kind", "key", "i", "j", "side", "v", "component", "shingles")
+    # a member fetches its set once per key and is copied to the blocks it meets afterwards
+    full = met.join(sets, met["v"] == sets["id"]).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    bucket, lower, upper = F.col("kind") == 1, F.least("own", "other"), F.greatest("own", "other")
+    full = full.select(
+        "kind", "key", F.when(bucket, lower).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"),
+        F.when(bucket, upper).when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("j"),
+        F.when(bucket, (F.col("own") > F.col("other")).cast("int")).otherwise(F.col("side")).alias("side"), "v", "component", "shingles",
+    )
 
     def meet(table: pa.Table) -> pa.Table:
         sides = set(table["side"].to_pylist())
@@ -244,10 +249,12 @@ def _links_between(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.groupBy("kind", "key", "i", "j").applyInArrow(meet, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, shingle: int = SHINGLE
+) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
 
-    Two documents are linked when 100 * |A ∩ B| >= percent * |A ∪ B| for their sets of four-word
+    Two documents are linked when 100 * |A ∩ B| >= percent * |A ∪ B| for their sets of `shingle`-word
     shingles; words are runs without ASCII white space, with A-Z lowered. A text of fewer words is
     one shingle. Null, empty and blank texts have an empty set and are linked with nothing.
     component_id is the smallest id that links lead to; kept marks it. Rows with a null id get a
@@ -257,7 +264,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id).alias("id"), F.col(text).alias("body"))
-    sketch = materialize(base.select("id", _sketch()(utf8("body")).alias("s")).select("id", "s.*"), "sketches")
+    sketch = materialize(base.select("id", _sketch(shingle)(utf8("body")).alias("s")).select("id", "s.*"), "sketches")
     named = sketch.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
 
     classes = materialize(named.groupBy("digest").agg(F.min("id").alias("u"), F.first("bands").alias("bands")), "classes")
@@ -273,7 +280,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
 
     wanted = buckets.select(F.col("v").alias("id")).distinct()
     picked = base.where(F.col("id").isNotNull()).join(materialize(wanted, "wanted"), "id").dropDuplicates(["id", "body"])
-    sets = materialize(picked.select("id", _sets()(utf8("body")).alias("shingles")), "sets")
+    sets = materialize(picked.select("id", _sets(shingle)(utf8("body")).alias("shingles")), "sets")
 
     links = materialize(_links_with_first(buckets, sets, percent), "links")
     component = materialize(connected_components(links, "u", "v"), "components")
