@@ -11,6 +11,8 @@ from voxtide.llm.common import free_name
 from voxtide.llm.queries import KEEP_TAIL, quality_model
 from voxtide.session import apply_settings, materialize
 
+WORDS = 5  # in a shingle of the near-duplicate stage; op4's own contract says four
+
 
 def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language can be told; a missing `lang` is filled in.
@@ -32,8 +34,9 @@ def classifier(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near-duplicates, and one row of those that repeat an id and a text."""
-    return near_dup.keep_one(docs)
+    """One document of each group of near-duplicates (80 % of their five-word shingles), and one row of those
+    that repeat an id and a text."""
+    return near_dup.keep_one(docs, shingle=WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
