@@ -71,3 +71,41 @@ def test_a_batch_that_runs_again_changes_nothing(spark):
     spark.createDataFrame([(3, at(2), "s", 5.0, "c")], SCHEMA).coalesce(1).write.mode("append").parquet(source)
     ingest.write_batches(spark.readStream.schema(SCHEMA).parquet(source), double, folder, again)
     assert sorted((r["id"], r["value"]) for r in spark.read.parquet(folder).collect()) == [(1, 2.0), (2, 4.0), (3, 10.0)]
+
+
+def test_repeats_however_late_are_stored_once(spark):
+    """Repeats in a batch, in a later batch after a restart, from another source, and a batch that runs again."""
+    source, folder, progress = scratch_path(spark, "arrivals"), scratch_path(spark, "store"), scratch_path(spark, "progress")
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").parquet(source)
+
+    def kept():
+        return sorted((r["id"] or 0, r["value"], r["student_id"], r["course_id"]) for r in ingest.collected(spark, folder).collect())
+
+    def collect(name="form", progress=progress):
+        ingest.collect_once(spark.readStream.schema(SCHEMA).parquet(source), ["id"], "ts", folder, progress, name)
+
+    arrive((1, at(1, 5), "", 1.5, "later"), (1, at(1), "", 1.0, "a"), (2, at(1), "s", 2.0, "b"), (None, at(1), "s", 0.0, "n"), (None, at(1), "s", 0.0, "n"))
+    collect()
+    first = [(0, 0.0, "s", "unknown"), (0, 0.0, "s", "unknown"), (1, 1.0, "anonymous", "unknown"), (2, 2.0, "s", "unknown")]
+    assert kept() == first
+    arrive((1, at(11), "s", 9.0, "ten days later"), (3, at(11), "s", 3.0, "c"))
+    collect()
+    assert kept() == [*first, (3, 3.0, "s", "unknown")]
+    collect("other", scratch_path(spark, "progress"))  # the same files under another name: all but the nameless are known
+    assert kept() == [*first[:2], *first[:2], *first[2:], (3, 3.0, "s", "unknown")]
+
+
+def test_an_empty_arrival(spark):
+    folder = scratch_path(spark, "store")
+    ingest.collect_once(arrived(spark, []), ["id"], "ts", folder, scratch_path(spark, "progress"))
+    assert ingest.collected(spark, folder).count() == 0
+
+
+def test_a_batch_of_submissions_that_runs_again(spark):
+    folder, rows = scratch_path(spark, "store"), [(1, at(1), "s", 1.0, "a"), (2, at(2), "s", 2.0, "b"), (2, at(3), "s", 3.0, "c")]
+    stream = arrived(spark, rows)
+    for _ in range(2):  # progress was lost, the same batch runs again under its own name
+        ingest.collect_once(stream, ["id"], "ts", folder, scratch_path(spark, "progress"))
+        assert sorted((r["id"], r["value"]) for r in ingest.collected(spark, folder).collect()) == [(1, 1.0), (2, 2.0)]

@@ -9,6 +9,7 @@ from voxtide.operators.classify import Scorer
 from voxtide.plans.model_queries import _bayes, _vocabulary
 from voxtide.plans.registry import QUERIES, query, rounded
 from voxtide.plans.store_queries import LEXICON, NEGATIVE, POSITIVE
+from voxtide.session import scratch_path
 from voxtide.sources.tables import table
 from voxtide.streaming import ingest
 
@@ -28,6 +29,20 @@ def stream_collection(spark, folder):
     return stored.select("event_id", "student_id", "course_id", "subject", "value")
 
 
+@query("stream_late_repeats", "ST1", """
+SELECT event_id, 'S' || user_id AS student_id, event_type AS subject, value, CAST(ts AS DATE) AS date FROM events""")
+def stream_late_repeats(spark, folder):
+    """All events arrive, and ten days later all of them again: each is stored once, as it came first."""
+    events = _stream(spark, folder, "events").select(
+        "event_id", F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("student_id"), F.col("event_type").alias("subject"), "value", "ts",
+    )
+    late = events.withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 DAYS"))
+    kept = scratch_path(spark, "submissions")
+    for source, arriving in (("form", events), ("again", late)):
+        ingest.collect_once(arriving, ["event_id"], "ts", kept, scratch_path(spark, f"{source}-progress"), source)
+    return ingest.collected(spark, kept).select("event_id", "student_id", "subject", "value", F.col("ts").cast("date").alias("date"))
+
+
 @query("stream_volume", "ST2", """
 WITH d AS (SELECT CAST(ts AS DATE) AS period, event_type, count(*) AS count, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2)
 SELECT * FROM d WHERE period + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtide.operators.rows import fill_defaults
-from voxtide.session import scratch_path
+from voxtide.session import materialize, scratch_path
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
@@ -23,7 +23,10 @@ def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
 
 
 def collect_submissions(df: DataFrame, keys: Sequence[str], time: str, delay: str = "1 day") -> DataFrame:
-    """Submissions with defaults filled in; a repeated key within the delay is dropped."""
+    """Submissions with defaults filled in; a repeated key within the delay is dropped.
+
+    State is kept for the delay only. `collect_once` also drops what repeats later.
+    """
     return event_time(fill_defaults(df), time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -71,3 +74,43 @@ def score_new(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], label: st
     folder, progress = scratch_path(spark, f"{label}-rows"), scratch_path(spark, f"{label}-progress")
     write_batches(df, scorer, folder, progress)
     return spark.read.parquet(folder).drop("batch")
+
+
+ARRIVAL = "arrival"  # folder column of a store of submissions: source and batch
+
+
+def collect_once(df: DataFrame, keys: Sequence[str], time: str, folder: str, progress: str, source: str = "submissions") -> None:
+    """Add what has arrived to the store in `folder`, each key once, however late it repeats.
+
+    A batch keeps the first row of a key by time (ties: smallest hash of the row) and leaves out the keys that
+    other batches have stored, of this source or another one. Only the key columns of the store are read, and of
+    them only those of the batch are kept. Rows with a null in a key cannot repeat and are all stored. A batch that
+    runs again replaces its own rows. Where `progress` is lost, go on under another name of the source: what is stored
+    stays, and nothing is stored twice. Sources of one store run one after the other.
+    """
+    if ARRIVAL in df.columns:
+        raise ValueError(f"column {ARRIVAL} is the store's own")
+    spark, keys = df.sparkSession, list(keys)
+    schema = fill_defaults(df).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/{ARRIVAL}={source}-start")
+
+    def store(rows: DataFrame, batch: int) -> None:
+        own = f"{source}-{batch}"
+        named = F.lit(True)
+        for key in keys:
+            named = named & F.col(key).isNotNull()
+        rows = fill_defaults(rows)
+        row = F.struct(*[F.col(c) for c in schema.names])
+        firsts = rows.where(named).groupBy(*keys).agg(F.min_by(row, F.struct(F.col(time), F.xxhash64(*schema.names))).alias("row"))
+        firsts = materialize(firsts.select("row.*"), "arrived")  # the planner knows its size
+        stored = rows.sparkSession.read.schema(T.StructType([*schema.fields, T.StructField(ARRIVAL, T.StringType())])).parquet(folder)
+        known = stored.where(F.col(ARRIVAL) != own).select(*keys).join(firsts.select(*keys), keys, "left_semi")
+        fresh = firsts.join(materialize(known, "known"), keys, "left_anti").select(*schema.names)
+        fresh.unionByName(rows.where(~named)).write.mode("overwrite").parquet(f"{folder}/{ARRIVAL}={own}")
+
+    df.writeStream.foreachBatch(store).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+
+def collected(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of a store of submissions."""
+    return spark.read.parquet(folder).drop(ARRIVAL)
