@@ -99,6 +99,39 @@ def test_lda(spark):
     assert table.count() == 2 and best in (2, 3) and chosen.getK() == best
 
 
+def test_perplexity_of_new_texts(spark):
+    """Equal to a plain loop, and lower than with the shares of other texts."""
+    rng = np.random.default_rng(4)
+    topic_of = lambda n: [" ".join(f"w{t}x{rng.integers(12)}" for _ in range(40)) for t in range(3) for _ in range(n)]
+    known = spark.createDataFrame(list(enumerate(topic_of(30))), "doc_id long, text string")
+    new = [*topic_of(5), "unheard words only", "w0x1", None, "", "nothing w1x1 known w1x2"]
+    docs = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")
+    vocabulary = features.fit_vocabulary(known, "text", "count", 100, (1, 1))
+    model = topics.fit_lda(features.vectorize(known, "doc_id", "text", vocabulary), 3, passes=20)
+    done = topics.complete_texts(model, docs, "doc_id", "text", vocabulary)
+    got = {r["doc_id"]: (r["n_words"], r["log_likelihood"]) for r in done.collect()}
+
+    told = spark.createDataFrame([(i, " ".join((t or "").split()[::2])) for i, t in enumerate(new)], "doc_id long, text string")
+    found = topics.topic_distribution(model, features.vectorize(told, "doc_id", "text", vocabulary), "doc_id").collect()
+    shares = {r["doc_id"]: np.array(r["probabilities"]) if sum(r["probabilities"]) else np.full(3, 1 / 3) for r in found}
+    chances = model.topicsMatrix().toArray() / model.topicsMatrix().toArray().sum(axis=0)
+    place = {t: i for i, t in enumerate(vocabulary.terms)}
+
+    def loop(i, by):
+        rest = [w for w in (new[i] or "").split()[1::2] if w in place]
+        return len(rest), sum(np.log(chances[place[w]] @ shares[by]) for w in rest)
+
+    want = {i: loop(i, i) for i in range(len(new)) if loop(i, i)[0]}
+    assert set(got) == set(want) == {*range(15), 19}  # the last is scored with the prior's shares
+    assert all(got[i][0] == n and got[i][1] == pytest.approx(v) for i, (n, v) in want.items())
+    total = topics.perplexity(done).first()
+    n, value = sum(n for n, _ in want.values()), sum(v for _, v in want.values())
+    assert (total["n_texts"], total["n_words"], total["perplexity"]) == (16, n, pytest.approx(np.exp(-value / n)))
+    assert value > sum(loop(i, (i + 5) % 15)[1] for i in range(15)) + 50
+    none = topics.perplexity(done.where("doc_id < 0")).first()
+    assert tuple(none) == (0, 0, None)
+
+
 def test_nmf(spark):
     _, vocabulary, vectors = text_vectors(spark)
     width = len(vocabulary.terms)

@@ -121,13 +121,16 @@ def entries(vector: str, key: str, df: DataFrame) -> DataFrame:
     return df.select(key, F.inline(zipped))
 
 
-def _counted(docs: DataFrame, text: str, vocabulary: Vocabulary, output: str) -> DataFrame:
-    model = CountVectorizerModel.from_vocabulary(
-        vocabulary.terms, inputCol="_terms", outputCol=output, minTF=1.0
-    )
+def count_listed(df: DataFrame, terms: str, vocabulary: Vocabulary, output: str) -> DataFrame:
+    """A sparse vector with the count of every known term in an array column."""
+    model = CountVectorizerModel.from_vocabulary(vocabulary.terms, inputCol=terms, outputCol=output, minTF=1.0)
     model.setBinary(vocabulary.method == "binary")
+    return model.transform(df)
+
+
+def _counted(docs: DataFrame, text: str, vocabulary: Vocabulary, output: str) -> DataFrame:
     listed = docs.withColumn("_terms", terms_of(F.col(text), vocabulary.ngram_range))
-    return model.transform(listed).drop("_terms")
+    return count_listed(listed, "_terms", vocabulary, output).drop("_terms")
 
 
 def inverse_document_frequency(docs: DataFrame, text: str, vocabulary: Vocabulary) -> list[float]:

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.operators.features import Vocabulary
+from voxtide.operators.features import Vocabulary, count_listed, entries, terms_of
 from voxtide.operators.nmf import NmfModel
 from voxtide.operators.rows import first_per_group
 
@@ -157,6 +157,45 @@ def coherence(counts: DataFrame, topics: Sequence[Sequence[str]]) -> list[float]
     return out
 
 
+def complete_texts(model: LDAModel, docs: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> DataFrame:
+    """(key, n_words, log_likelihood): how well a text's topics, told from half of its words, predict the other half.
+
+    Words at even positions (from 0) give the topic shares, known words at odd positions are scored. A text
+    without a known word at an even position has the prior's shares. Texts without a scored word have no row; a
+    repeated key adds up. The model has not seen the scored words, so that their perplexity is that of new texts.
+    """
+    words = terms_of(F.col(text), (1, 1))
+    told, rest = F.filter(words, lambda w, i: i % 2 == 0), F.filter(words, lambda w, i: i % 2 == 1)
+    counted = docs.select(F.col(key).alias("id"), told.alias("told"), rest.alias("rest"))
+    for name, output in (("told", model.getFeaturesCol()), ("rest", "held_out")):
+        counted = count_listed(counted, name, vocabulary, output).drop(name)
+    prior = np.asarray(model.estimatedDocConcentration().toArray(), dtype=float)
+    prior = F.array(*[F.lit(float(a)) for a in np.broadcast_to(prior / prior.sum() if len(prior) > 1 else 1 / model.getK(), model.getK())])
+    found = vector_to_array(model.getTopicDistributionCol())
+    add = lambda a, b: a + b
+    mixed = model.transform(counted).select("id", "held_out", F.when(F.aggregate(found, F.lit(0.0), add) > 0, found).otherwise(prior).alias("shares"))
+    mixed = mixed.select(F.struct("id", "shares").alias("told"), "held_out")
+
+    topics = model.topicsMatrix().toArray()
+    topics = topics / topics.sum(axis=0)
+    frame = pd.DataFrame({"index": range(len(topics)), "topics": topics.tolist()})
+    table = docs.sparkSession.createDataFrame(frame, "index int, topics array<double>")
+    # at most max_features rows are broadcast
+    scored = entries("held_out", "told", mixed).join(F.broadcast(table), "index")
+    chance = F.aggregate(F.zip_with(F.col("told.shares"), F.col("topics"), lambda a, b: a * b), F.lit(0.0), add)
+    return scored.groupBy(F.col("told.id").alias(key)).agg(
+        F.sum("value").cast("bigint").alias("n_words"), F.sum(F.col("value") * F.log(chance)).alias("log_likelihood")
+    )
+
+
+def perplexity(completed: DataFrame) -> DataFrame:
+    """One row (n_texts, n_words, perplexity) of scored texts; the perplexity of none is null."""
+    return completed.agg(
+        F.count(F.lit(1)).alias("n_texts"), F.coalesce(F.sum("n_words"), F.lit(0)).cast("bigint").alias("n_words"),
+        F.exp(-F.sum("log_likelihood") / F.sum("n_words")).alias("perplexity"),
+    )
+
+
 def find_topic_count(
     features: DataFrame, docs: DataFrame, tokens: Column, vocabulary: Vocabulary, start: int = 2, limit: int = 10,
     step: int = 1, passes: int = 10, top: int = 20, seed: int = 42,

@@ -262,6 +262,28 @@ def topic_evaluation(spark, folder):
     return spark.createDataFrame(out, "topic int, top_words string, coherence double, log_perplexity double")
 
 
+def _completed(spark, folder):
+    talk = table(spark, folder, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text")
+    return topics.complete_texts(_lda(spark, folder), talk, "id", "text", _vocabulary(spark, folder, "count", (1, 1)))
+
+
+@query("perplexity_of_new_texts", "E11")
+def perplexity_of_new_texts(spark, folder):
+    """Topics of the documents on conversations, which the model has not seen."""
+    return topics.perplexity(_completed(spark, folder))
+
+
+@query("completed_texts", "E11", f"""
+WITH tok AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents),
+vocab AS (SELECT term FROM tok GROUP BY term ORDER BY count(*) DESC, term LIMIT {TERMS}),
+said AS (SELECT conv_id * 100000 + turn AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM conversations),
+odd AS (SELECT id, unnest(list_filter(t, lambda w, i: i % 2 = 0)) AS term FROM said)
+SELECT id, count(*)::BIGINT AS n_words, true AS is_probability FROM odd WHERE term IN (SELECT term FROM vocab) GROUP BY id""")
+def completed_texts(spark, folder):
+    """The words that are scored; every one has a chance below 1."""
+    return _completed(spark, folder).select("id", "n_words", (F.col("log_likelihood") < 0).alias("is_probability"))
+
+
 @query("best_topic_count", "C5 C6")
 def best_topic_count(spark, folder):
     vectors = _vectors(spark, folder, "count", (1, 1))
