@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +25,12 @@ END_ID = 0
 ROW_GROUP = 1024  # rows per entry of the row index
 STRIPE_BYTES = 64 * 1024 * 1024
 JOINED = 256  # chunks encoded in one call
-KNOWN = 300_000  # chunks whose ids a worker keeps
+KNOWN = 800_000  # chunks whose ids a worker keeps
 AS_IS = b"\xff"  # never part of UTF-8
 
 SPACE_RUN = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+OTHER_SPACE = re.compile(rb"[\t\r\x0b\x0c]")
+UNCUT, PLAIN, SPACED = range(3)
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
@@ -60,18 +63,23 @@ class Encoder:
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
 
-    def split(self, text: bytes) -> list[bytes] | None:
-        """Chunks of a text; None: not to be cut. Chunks after a blank stand without it, those that are
-        neither after a blank nor a line end have AS_IS before them."""
+    def form(self, text: bytes) -> int:
+        """Whether a text is not to be cut, has single blanks and line ends only, or other runs of white space."""
         if not self.cuts or any(s in text for s in self.special) or WIDE_SPACE.search(text):
-            return None
-        if not text:
-            return []
-        plain = not (b"\n\n" in text or b"\n " in text or b"\t" in text or b"\r" in text or b"\x0b" in text or b"\x0c" in text)
-        if plain and b"  " not in text and b" \n" not in text:
-            parts = text.replace(b"\n", b" \n").split(b" ")
-            parts[0] = AS_IS + parts[0]
-            return parts
+            return UNCUT
+        if not text or b"  " in text or b" \n" in text or b"\n\n" in text or b"\n " in text or OTHER_SPACE.search(text):
+            return SPACED
+        return PLAIN
+
+    @staticmethod
+    def _marked(text: bytes) -> bytes:
+        """A plain text whose chunks are what stands between blanks (see `split`)."""
+        return AS_IS + text.replace(b"\n", b" \n")
+
+    @staticmethod
+    def split(text: bytes) -> list[bytes]:
+        """Chunks of a text. Chunks after a blank stand without it, those that are neither after a
+        blank nor a line end have AS_IS before them."""
         return [
             chunk if chunk[:1] == b"\n" else chunk[1:] if chunk[:1] == b" " and chunk[1:2] != b"\n" else AS_IS + chunk
             for chunk in SPACE_RUN.findall(text)
@@ -131,21 +139,28 @@ class Encoder:
     def encode_flat(self, texts: list[bytes], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, `end` after each, and how many each text has."""
         texts = [t if _valid(t) else t.decode("utf-8", "replace").encode() for t in texts]
-        parts = [self.split(t) for t in texts]
-        chunks = list(chain.from_iterable(p for p in parts if p is not None))
-        self.learn(list(set(chunks).difference(self.place)))
-        number = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        forms = [self.form(t) for t in texts]
+        plain = pa.array([self._marked(t) for t, form in zip(texts, forms, strict=True) if form == PLAIN], pa.binary())
+        lists = pc.split_pattern(plain, b" ")
+        rest = [self.split(t) for t, form in zip(texts, forms, strict=True) if form == SPACED]
+        chunks = pa.concat_arrays([lists.flatten(), pa.array(chain.from_iterable(rest), pa.binary())]).dictionary_encode()
+        counts = {PLAIN: iter(lists.value_lengths().to_pylist()), SPACED: iter([len(p) for p in rest])}
+        at = {PLAIN: 0, SPACED: len(lists.values)}
+        distinct = chunks.dictionary.to_pylist()
+        self.learn([c for c in distinct if c not in self.place])
+        number = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
         self.uses += np.bincount(number, minlength=len(self.uses))
         flat = self._gather(number)
         cuts = np.concatenate([[0], np.cumsum(self.size[number])])
-        out, sizes, at = [], [], 0
+        out, sizes = [], []
         tail = np.array(end, np.uint32)
-        for text, p in zip(texts, parts, strict=True):
-            if p is None:
+        for text, form in zip(texts, forms, strict=True):
+            if form == UNCUT:
                 own = self.whole(text)
             else:
-                own = flat[cuts[at] : cuts[at + len(p)]]
-                at += len(p)
+                first = at[form]
+                at[form] += next(counts[form])
+                own = flat[cuts[first] : cuts[at[form]]]
             out += [own, tail]
             sizes.append(len(own) + len(tail))
         self.turn()
