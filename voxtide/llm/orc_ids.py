@@ -25,7 +25,8 @@ END_ID = 0
 ROW_GROUP = 1024  # rows per entry of the row index
 STRIPE_BYTES = 64 * 1024 * 1024
 JOINED = 256  # chunks encoded in one call
-KNOWN = 800_000  # chunks whose ids a worker keeps
+KNOWN = 600_000  # chunks whose ids a worker keeps
+GROUP_BYTES = 8 << 20  # of text encoded together
 AS_IS = b"\xff"  # never part of UTF-8
 
 SPACE_RUN = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
@@ -180,6 +181,19 @@ def _valid(text: bytes) -> bool:
     return True
 
 
+def _together(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of GROUP_BYTES or little more, as chunks that repeat in a batch are looked up once."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch[text].nbytes
+        if size >= GROUP_BYTES:
+            yield pa.concat_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
 WRITTEN = "doc_id bigint, part int, start bigint, n_tokens bigint, ids array<int>"
 
 
@@ -196,7 +210,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         before = 0
-        for batch in batches:
+        for batch in _together(batches, "body"):
             flat, sizes = encoder.encode_flat([t or b"" for t in batch["body"].to_pylist()], [end_id])
             ends = np.cumsum(sizes)
             starts = before + ends - sizes
