@@ -25,14 +25,16 @@ END_ID = 0
 ROW_GROUP = 1024  # rows per entry of the row index
 STRIPE_BYTES = 64 * 1024 * 1024
 JOINED = 256  # chunks encoded in one call
-KNOWN = 600_000  # chunks whose ids a worker keeps
-GROUP_BYTES = 8 << 20  # of text encoded together
+KNOWN = 550_000  # chunks whose ids a worker keeps
+GROUP_BYTES = 4 << 20  # of text encoded together
 AS_IS = b"\xff"  # never part of UTF-8
 
 SPACE_RUN = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-OTHER_SPACE = re.compile(rb"[\t\r\x0b\x0c]")
+OTHER_SPACE = (b"  ", b" \n", b"\n\n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+ODD_STARTS = (AS_IS, b"\n", b"")
 UNCUT, PLAIN, SPACED = range(3)
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+WIDE_STARTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")  # of WIDE_SPACE
 
 
 class Encoder:
@@ -66,9 +68,11 @@ class Encoder:
 
     def form(self, text: bytes) -> int:
         """Whether a text is not to be cut, has single blanks and line ends only, or other runs of white space."""
-        if not self.cuts or any(s in text for s in self.special) or WIDE_SPACE.search(text):
+        if not self.cuts or any(s in text for s in self.special):
             return UNCUT
-        if not text or b"  " in text or b" \n" in text or b"\n\n" in text or b"\n " in text or OTHER_SPACE.search(text):
+        if not text.isascii() and any(s in text for s in WIDE_STARTS) and WIDE_SPACE.search(text):
+            return UNCUT
+        if not text or any(s in text for s in OTHER_SPACE):
             return SPACED
         return PLAIN
 
@@ -88,24 +92,25 @@ class Encoder:
 
     def learn(self, chunks: list[bytes]) -> None:
         """Add the ids of chunks that are not known."""
-        alone, joined, literal = [], [], []
-        for key in chunks:
-            if key[:1] == AS_IS or key[-1:].isspace() or not key:  # a following chunk could join its white space
-                alone.append(key)
-            else:
-                joined.append(key)
-                literal.append(key if key[:1] == b"\n" else b" " + key)
-        blocks = [b"".join(literal[i : i + JOINED]).decode() for i in range(0, len(literal), JOINED)]
+        odd = [k for k in chunks if k[:1] in ODD_STARTS or k[-1:].isspace()]
+        lines = [k for k in odd if k[:1] == b"\n" and not k[-1:].isspace()]
+        known = set(odd)
+        words = [k for k in chunks if k not in known]
+        alone = list(known.difference(lines))  # at a text's start, or a following chunk could join its white space
+        blocks = [b" " + b" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        blocks = [b.decode() for b in (*blocks, *(b"".join(lines[i : i + JOINED]) for i in range(0, len(lines), JOINED)))]
+        lengths = np.fromiter(map(len, words + lines), np.int64, len(words) + len(lines))
+        lengths[: len(words)] += 1  # the blank before
         found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(blocks, add_special_tokens=False)]
         ids = np.concatenate([np.zeros(0, np.uint32), *found])
-        ends = np.cumsum(np.fromiter(map(len, literal), np.int64, len(literal)))
+        ends = np.cumsum(lengths)
         reached = np.cumsum(self.width[ids])
         at = np.searchsorted(reached, ends) + 1
         if len(ends) and (reached[at - 1] != ends).any():
             raise ValueError("a token crosses white space")
         single = [self.whole(self._literal(key)) for key in alone]
         sizes = np.concatenate([np.diff(at, prepend=0), np.fromiter(map(len, single), np.int64, len(single))]).astype(np.int64)
-        self._add(joined + alone, sizes, [ids, *single])
+        self._add(words + lines + alone, sizes, [ids, *single])
 
     @staticmethod
     def _literal(key: bytes) -> bytes:
