@@ -25,8 +25,8 @@ END_ID = 0
 ROW_GROUP = 1024  # rows per entry of the row index
 STRIPE_BYTES = 64 * 1024 * 1024
 JOINED = 256  # chunks encoded in one call
-KNOWN = 550_000  # chunks whose ids a worker keeps
-GROUP_BYTES = 4 << 20  # of text encoded together
+KNOWN = 350_000  # chunks whose ids a worker keeps
+GROUP_BYTES = 2 << 20  # of text encoded together
 AS_IS = b"\xff"  # never part of UTF-8
 
 SPACE_RUN = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
