@@ -109,3 +109,19 @@ def test_a_batch_of_submissions_that_runs_again(spark):
     for _ in range(2):  # progress was lost, the same batch runs again under its own name
         ingest.collect_once(stream, ["id"], "ts", folder, scratch_path(spark, "progress"))
         assert sorted((r["id"], r["value"]) for r in ingest.collected(spark, folder).collect()) == [(1, 1.0), (2, 2.0)]
+
+
+def test_table_that_is_a_folder(spark):
+    """A stream over a table finds its rows whether the table is one file or a folder of files."""
+    folder = scratch_path(spark, "tables")
+    rows = [(i, at(1), "s", 1.0, "great") for i in range(9)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{folder}/talk.parquet")
+    talk = ingest.stream_table(spark, folder, "talk", spark.read.parquet(f"{folder}/talk.parquet").schema)
+    scored = ingest.score_new(talk, lambda df: score_sentiment(df, "text"), "talk")
+    assert sorted(r["id"] for r in scored.collect()) == list(range(9))
+
+
+def test_nothing_has_arrived(spark):
+    empty = arrived(spark, [])
+    scored = ingest.score_new(empty, lambda df: score_sentiment(df, "text"), "none")
+    assert scored.count() == 0 and "predicted_sentiment" in scored.columns

@@ -13,8 +13,16 @@ from voxtide.session import materialize, scratch_path
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
-    """Files of one table as they arrive in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """Files of one table as they arrive: in the folder named {name}.parquet, or the one file of that name.
+
+    A glob filter is held against the names of files, so it finds nothing in a table that is a folder itself.
+    """
+    path = f"{folder}/{name}.parquet"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
@@ -72,6 +80,8 @@ def score_new(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], label: st
     """Score what has arrived with a fitted scorer and return the stored rows."""
     spark = df.sparkSession
     folder, progress = scratch_path(spark, f"{label}-rows"), scratch_path(spark, f"{label}-progress")
+    schema = scorer(spark.createDataFrame([], df.schema)).schema
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/batch=-1")  # where nothing has arrived yet
     write_batches(df, scorer, folder, progress)
     return spark.read.parquet(folder).drop("batch")
 
