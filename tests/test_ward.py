@@ -100,3 +100,15 @@ def test_silhouette_meets_few_clusters(spark, block_rows):
     assert got == pytest.approx(want, abs=1e-6)
     near, _ = clusters.near_clusters(df, "cluster", "v", ["id"])
     assert near.agg(F.avg(F.size("_targets"))).first()[0] < 10
+
+
+def test_leaves_do_not_collapse():
+    """Distances of many columns hardly differ; more rows than leaves must leave at least half of the leaves."""
+    points = np.random.default_rng(3).normal(size=(2_000, 48))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    leaves = ward.Leaves(100)
+    leaves.add(np.ones(len(points)), points, np.zeros(len(points)))
+    assert 50 <= len(leaves.n) <= 100 and leaves.n.sum() == len(points)
+    middle = points.mean(axis=0)
+    between = (leaves.n * ((leaves.centre - middle) ** 2).sum(axis=1)).sum()
+    assert leaves.spread.sum() + between == pytest.approx(((points - middle) ** 2).sum())

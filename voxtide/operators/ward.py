@@ -2,9 +2,10 @@
 
 Rows are summarised before they are merged: a leaf holds the number of its rows, their mean and
 their summed squared distance from it. Every task keeps at most LEAVES leaves; when there would be
-more, the radius within which a row joins a leaf grows and the leaves are merged under it. The leaves
-of tasks are merged in groups, again and again, until LEAVES are left. On these the driver runs
-the nearest-neighbour chain, which gives the same merges as comparing all pairs after every merge.
+more, neighbouring leaves are merged in pairs and the radius within which a row joins a leaf grows to
+theirs, so that no fewer than half stay. The leaves of tasks are merged in groups, again and again,
+until at most LEAVES are left. On these the driver runs the nearest-neighbour chain, which gives the
+same merges as comparing all pairs after every merge.
 
 While there are at most LEAVES different rows, each is its own leaf and the result is Ward's exactly.
 Rows beyond that join the tree at the height of their leaf. The variance is never lost: half the sum of
@@ -78,23 +79,30 @@ class Leaves:
         return gap <= self.radius**2
 
     def _coarsen(self) -> None:
-        """Widen the radius to the median distance of neighbouring leaves, and merge what is within it."""
+        """Merge neighbouring leaves in pairs, nearest first, down to three quarters; rows as near join from now on.
+
+        Distances of many columns hardly differ, so that merging all leaves within one radius could leave a
+        few; pairs leave at least half of them.
+        """
         gaps = _gaps(self.centre, self.centre)
         np.fill_diagonal(gaps, np.inf)
-        self.radius = max(float(np.sqrt(np.maximum(np.median(gaps.min(axis=1)), 0))), 1.5 * self.radius, 1e-12)
-        old = (self.n, self.centre, self.spread)
-        left = np.arange(len(old[0]))
-        self.n, self.centre, self.spread = np.zeros(0), np.zeros((0, old[1].shape[1])), np.zeros(0)
-        while len(left):  # the first leaf left takes in all near ones
-            gap = _gaps(old[1][left], old[1][left[:1]])[:, 0]
-            taken = gap <= self.radius**2
-            taken[0] = True
-            some = left[taken]
-            self.n = np.append(self.n, 0.0)
-            self.centre = np.concatenate([self.centre, old[1][some[:1]]])
-            self.spread = np.append(self.spread, 0.0)
-            self._join(*(c[some] for c in old), np.full(len(some), len(self.n) - 1))
-            left = left[~taken]
+        nearest = gaps.argmin(axis=1)
+        gap = gaps[np.arange(len(nearest)), nearest]
+        spare = max(len(nearest) - 3 * self.most // 4, 1)
+        free, into, gone = np.ones(len(nearest), bool), [], []
+        for i in np.argsort(gap, kind="stable"):
+            j = nearest[i]
+            if i != j and free[i] and free[j]:
+                free[i] = free[j] = False
+                into.append(min(i, j))
+                gone.append(max(i, j))
+                self.radius = max(self.radius, float(np.sqrt(gap[i])), 1e-12)
+                if len(gone) == spare:
+                    break
+        self._join(self.n[gone], self.centre[gone], self.spread[gone], np.asarray(into))
+        left = np.ones(len(nearest), bool)
+        left[gone] = False
+        self.n, self.centre, self.spread = self.n[left], self.centre[left], self.spread[left]
 
 
 def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
