@@ -285,3 +285,14 @@ def test_components(spark):
     out = {r["node"]: r["component"] for r in connected_components(edges, "a", "b").collect()}
     assert all(out[i] == 0 for i in range(41)) and all(out[100 + i] == 100 for i in range(30))
     assert out[200] == out[201] == 200 and len(out) == 41 + 30 + 2
+
+
+def test_dbscan_copies_points_once_per_region(spark):
+    """Blocks that all meet must not copy a point once per block."""
+    from voxtide.operators import dbscan as density
+
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    points_ = points(spark, x).select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    cut, regions, _ = density._blocks(points_, 100.0, 4, 1024)
+    assert regions == density.REGIONS and cut.select("block").distinct().count() > 100
+    assert density._meet(cut, regions).count() == 600 * regions

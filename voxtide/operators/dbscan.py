@@ -10,7 +10,7 @@ but no quadratic output.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,10 +24,16 @@ from voxtide.session import materialize
 
 SLACK = 1e-9  # keeps rounding from ruling out a pair of blocks that just touch
 NONE = np.iinfo(np.int64).max
+LARGEST = 65_536  # points of a region
+REGIONS = 16  # unless they would hold more points than that
 
 
-def _blocks(points: DataFrame, eps: float, block_rows: int, max_pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Points (id, v, block) and the table (lo, hi) of blocks that may hold neighbours."""
+def _blocks(points: DataFrame, eps: float, block_rows: int, max_pivots: int) -> tuple[DataFrame, int, Callable]:
+    """Points (id, v, block, region), the number of regions, and which pairs of blocks may hold neighbours.
+
+    A region is a range of blocks. Points travel to pairs of regions, of which there are few whatever the number of
+    blocks, so that a point is copied once per region; blocks are compared within the tasks.
+    """
     spark = points.sparkSession
     n = points.count()
     wanted = min(max(1, math.ceil(n / block_rows)), max_pivots)
@@ -54,35 +60,48 @@ def _blocks(points: DataFrame, eps: float, block_rows: int, max_pivots: int) ->
     for row in sorted(cells, key=lambda r: r["cell"]):
         first[row["cell"]], slices[row["cell"]] = blocks, math.ceil(row["n"] / block_rows)
         blocks += slices[row["cell"]]
+    cell_of = [c for c in first for _ in range(slices[c])]
+    sizes = [math.ceil(row["n"] / slices[row["cell"]]) for row in sorted(cells, key=lambda r: r["cell"]) for _ in range(slices[row["cell"]])]
+    regions = max(1, min(blocks, max(REGIONS, math.ceil(n / LARGEST))))
+    before = np.cumsum([0, *sizes])
+    region_of = [int(before[b] * regions // max(before[-1], 1)) for b in range(blocks)]
     rows = [(c, first[c], slices[c]) for c in first]
     plan = spark.createDataFrame(rows or [(0, 0, 1)], "cell int, first int, slices int")
+    owner = spark.createDataFrame(list(enumerate(region_of)) or [(0, 0)], "block int, region int")
     cut = located.join(F.broadcast(plan), "cell").select(  # one row per pivot
         "id", "v", (F.col("first") + F.pmod(hash_int(F.col("id"), "slice"), F.col("slices"))).cast("int").alias("block")
-    )
+    ).join(F.broadcast(owner), "block")  # one row per block
     radius = {row["cell"]: row["radius"] for row in cells}
+    shared = spark.sparkContext.broadcast((np.array(cell_of, int), np.array([radius.get(c, 0.0) for c in range(len(pivots))])))
 
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres = sent.value
-        for batch in batches:
-            out = []
-            for cell in batch["cell"]:
-                for other in first:
-                    gap = float(np.linalg.norm(centres[cell] - centres[other]))
-                    if gap <= radius[cell] + radius[other] + eps + SLACK:
-                        for lo in range(first[cell], first[cell] + slices[cell]):
-                            hi = [h for h in range(first[other], first[other] + slices[other]) if h >= lo]
-                            out += [(lo, h) for h in hi]
-            yield pd.DataFrame(out, columns=["lo", "hi"]).astype("int32")
+    def close(block: int, others: np.ndarray) -> np.ndarray:
+        """Which of the other blocks may hold neighbours of this one's points."""
+        cells_, radii = shared.value
+        own, other = cells_[block], cells_[others]
+        gap = np.linalg.norm(sent.value[other] - sent.value[own], axis=1)
+        return gap <= radii[own] + radii[other] + eps + SLACK
 
-    pairs = plan.select("cell").mapInPandas(close, "lo int, hi int").distinct()
-    return cut, pairs
+    return cut, regions, close
 
 
-def _meet(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every point once per pair of blocks it takes part in; `side` tells which block it is from."""
-    low = points.join(pairs, points["block"] == pairs["lo"]).withColumn("side", F.lit(0))
-    high = points.join(pairs.where("lo < hi"), points["block"] == F.col("hi")).withColumn("side", F.lit(1))
-    return low.unionByName(high).drop("block")
+def _meet(points: DataFrame, regions: int) -> DataFrame:
+    """Every point once per pair of regions (lo, hi) that its own one takes part in."""
+    other = F.explode(F.sequence(F.lit(0), F.lit(regions - 1))).alias("other")
+    return points.select("*", other).withColumns({"lo": F.least("region", "other"), "hi": F.greatest("region", "other")}).drop("other")
+
+
+def _pairs(group: pd.DataFrame, close: Callable) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+    """Pairs of blocks of a pair of regions that may hold neighbours, with the rows of each; every pair in one task only."""
+    block, region = group["block"].to_numpy(), group["region"].to_numpy()
+    low, high = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
+    order = np.argsort(block, kind="stable")
+    names, start = np.unique(block[order], return_index=True)
+    places = np.split(order, start[1:])
+    home = region[[p[0] for p in places]]
+    for a in np.flatnonzero(home == low):
+        others = np.flatnonzero((home == high) & (names >= names[a]))
+        for b in others[close(names[a], names[others])]:
+            yield names[a], places[a], names[b], places[b]
 
 
 def _near(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
@@ -96,12 +115,6 @@ def _near(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
     return near
 
 
-def _sides(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
-    low, high = group[group["side"] == 0], group[group["side"] == 1]
-    same = bool(group["lo"].iloc[0] == group["hi"].iloc[0])
-    return low, (low if same else high), same
-
-
 def _matrix(rows: pd.DataFrame) -> np.ndarray:
     return np.vstack(rows["v"].to_numpy())
 
@@ -121,58 +134,72 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
     goes to the cluster with the smallest number.
     """
     points = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    cut, pairs = _blocks(points, eps, block_rows, max_pivots)
+    cut, regions, close = _blocks(points, eps, block_rows, max_pivots)
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        a, b, same = _sides(group)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "n": []})
-        near = _near(_matrix(a), _matrix(b), eps)
-        out = [pd.DataFrame({"id": a["id"], "n": near.sum(axis=1)})]
-        if not same:
-            out.append(pd.DataFrame({"id": b["id"], "n": near.sum(axis=0)}))
-        return pd.concat(out)
-
-    meeting = _meet(cut, pairs)
-    neighbours = meeting.groupBy("lo", "hi").applyInPandas(count, "id bigint, n bigint")
+        v, n = _matrix(group), np.zeros(len(group), np.int64)
+        for low, a, high, b in _pairs(group, close):
+            near = _near(v[a], v[b], eps)
+            n[a] += near.sum(axis=1)
+            if low != high:
+                n[b] += near.sum(axis=0)
+        return pd.DataFrame({"id": group["id"], "n": n})
+
+    neighbours = _meet(cut, regions).groupBy("lo", "hi").applyInPandas(count, "id bigint, n bigint")
     flags = neighbours.groupBy("id").agg((F.sum("n") >= min_samples).alias("core"))
     flagged = materialize(cut.join(flags, "id"), "flagged")
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        """For each point the smallest core key it reaches within this pair of blocks."""
-        a, b, same = _sides(group)
-        empty = pd.DataFrame({"id": [], "root": [], "core": []})
-        if not len(a) or not len(b):
-            return empty
-        near = _near(_matrix(a), _matrix(b), eps)
-        core_a, core_b = a["core"].to_numpy(), b["core"].to_numpy()
-        inner = near[np.ix_(core_a, core_b)]
-        root_a, root_b = a["id"].to_numpy()[core_a].copy(), b["id"].to_numpy()[core_b].copy()
-        while True:
-            new_a = np.minimum(root_a, _lowest(inner, root_b))
-            new_b = np.minimum(root_b, _lowest(inner.T, new_a))
-            if same:
-                new_a = new_b = np.minimum(new_a, new_b)
-            if np.array_equal(new_a, root_a) and np.array_equal(new_b, root_b):
-                break
-            root_a, root_b = new_a, new_b
-        out = [pd.DataFrame({"id": a["id"].to_numpy()[core_a], "root": root_a, "core": True})]
-        if not same:
-            out.append(pd.DataFrame({"id": b["id"].to_numpy()[core_b], "root": root_b, "core": True}))
-
-        def borders(side: pd.DataFrame, plain: np.ndarray, reach: np.ndarray, roots: np.ndarray) -> None:
-            # One row per point and local component, not per neighbouring core point.
-            for name in np.unique(roots):
-                hit = reach[:, roots == name].any(axis=1)
-                if hit.any():
-                    out.append(pd.DataFrame({"id": side["id"].to_numpy()[plain][hit], "root": name, "core": False}))
-
-        borders(a, ~core_a, near[np.ix_(~core_a, core_b)], root_b)
-        if not same:
-            borders(b, ~core_b, near[np.ix_(core_a, ~core_b)].T, root_a)
-        return pd.concat(out)
-
-    links = _meet(flagged, pairs).groupBy("lo", "hi").applyInPandas(link, "id bigint, root bigint, core boolean")
+        """For each point the smallest core key it reaches within this pair of regions."""
+        group = group.sort_values("id", ignore_index=True)
+        v, ids, core = _matrix(group), group["id"].to_numpy(), group["core"].to_numpy(dtype=bool)
+        root = np.arange(len(group))  # of a core point: a row before it, or itself
+
+        def top(rows: np.ndarray) -> np.ndarray:
+            while True:
+                up = root[rows]
+                if np.array_equal(up, rows):
+                    return rows
+                rows = up
+
+        def join(old: np.ndarray, new: np.ndarray) -> None:
+            for x, y in np.unique(np.stack([old, new], axis=1)[old != new], axis=0):
+                x, y = top(np.array([x, y]))
+                root[max(x, y)] = min(x, y)
+
+        outer, inner_ = [], []  # border points and the core points they touch: fewer than min_samples each
+        for low, a, high, b in _pairs(group, close):
+            near = _near(v[a], v[b], eps)
+            core_a, core_b = a[core[a]], b[core[b]]
+            inner = near[np.ix_(core[a], core[b])]
+            old_a, old_b = root_a, root_b = top(core_a), top(core_b)
+            root[core_a], root[core_b] = old_a, old_b  # shorter ways next time
+            while inner.any():
+                new_a = np.minimum(root_a, _lowest(inner, root_b))
+                new_b = np.minimum(root_b, _lowest(inner.T, new_a))
+                if low == high:
+                    new_a = new_b = np.minimum(new_a, new_b)
+                if np.array_equal(new_a, root_a) and np.array_equal(new_b, root_b):
+                    break
+                root_a, root_b = new_a, new_b
+            join(old_a, root_a)
+            join(old_b, root_b)
+            i, j = np.nonzero(near & ~core[a][:, None] & core[b][None, :])
+            outer.append(a[i])
+            inner_.append(b[j])
+            if low != high:
+                i, j = np.nonzero(near & core[a][:, None] & ~core[b][None, :])
+                outer.append(b[j])
+                inner_.append(a[i])
+        cores = np.flatnonzero(core)
+        out = pd.DataFrame({"id": ids[cores], "root": ids[top(cores)], "core": True})
+        if not outer:
+            return out
+        border, touched = np.concatenate(outer), top(np.concatenate(inner_))
+        borders = pd.DataFrame({"id": ids[border], "root": ids[touched], "core": False})
+        return pd.concat([out, borders.drop_duplicates()])
+
+    links = _meet(flagged, regions).groupBy("lo", "hi").applyInPandas(link, "id bigint, root bigint, core boolean")
     links = materialize(links, "links")
     linked = connected_components(links.where("core"), "id", "root")
     cores = flagged.where("core").select(F.col("id").alias("node")).join(linked, "node", "left")
