@@ -296,3 +296,9 @@ def test_dbscan_copies_points_once_per_region(spark):
     cut, regions, _ = density._blocks(points_, 100.0, 4, 1024)
     assert regions == density.REGIONS and cut.select("block").distinct().count() > 100
     assert density._meet(cut, regions).count() == 600 * regions
+
+
+def test_silhouette_copies_stay_few():
+    """Rows of tasks grow before copies do: cuts stay few until a block would hold more than LARGEST rows."""
+    assert clusters._cuts(600_000, 200, clusters.ASKERS) == clusters.ASKERS
+    assert clusters._cuts(10 * clusters.LARGEST, 200, 2) == 10 and clusters._cuts(150, 200, 2) == 1 and clusters._cuts(0, 200, 2) == 1
