@@ -245,3 +245,12 @@ def test_three_class_metrics(spark):
     assert score["f1_weighted"] == pytest.approx((0.75 * 4 + 0.8 * 2) / 7)
     cells = {(r[0], r[1]): r[2] for r in metrics.confusion_matrix(df, "t", "p").collect()}
     assert len(cells) == 9 and cells["c", "a"] == 1 and cells["c", "c"] == 0
+
+
+def test_sketch_is_not_kept_per_student(spark, data):
+    """The exact and the approximate count are two aggregations: together, each student would have a sketch."""
+    from voxtide.plans.invariant_queries import approximate_count_is_close
+
+    plan = approximate_count_is_close(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    sketched = [line for line in plan.splitlines() if "approx_count_distinct" in line]
+    assert sketched and not any("count(distinct" in line or "gid" in line for line in sketched)
