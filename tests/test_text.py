@@ -132,3 +132,24 @@ def test_same_result_for_any_partitioning(spark, data):
         long = features.long_features(docs.repartition(n), "doc_id", "text", "tfidf", 300)
         results.append(sorted((r[0], r[1], round(r[2], 9)) for r in long.collect()))
     assert results[0] == results[1]
+
+
+def test_vectors_count_the_ngrams_of_each_text(spark):
+    """Terms of one to three words, some only the beginning of others, in texts that follow each other in a batch."""
+    texts = ["aa bb cc aa bb", "cc", None, "", "bb cc aa bb cc", "ab a aa  bb\u00e9 bb", "aa"]
+    terms = ["aa", "aa bb", "ab aa", "bb cc", "bb cc aa", "cc", "cc aa bb"]
+    docs = frame(spark, list(enumerate(texts))).coalesce(1)
+    for method in ("count", "binary"):
+        vocabulary = features.Vocabulary(terms, (1, 3), method)
+        for r in features.vectorize(docs, "id", "text", vocabulary).collect():
+            words = [w for w in (texts[r["id"]] or "").split() if len(w) > 1]
+            grams = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+            want = [float(grams.count(t)) for t in terms]
+            assert list(r["features"].toArray()) == (want if method == "count" else [min(v, 1.0) for v in want])
+
+
+def test_best_pairs_break_ties_by_term(spark):
+    texts = ["b\u00e9ta alpha beta", "alpha beta", "b\u00e9ta alpha", "beta gamma beta", "zeta zeta zeta"]
+    words = sorted({w for t in texts for w in t.split()})
+    found = features._best_grams(frame(spark, list(enumerate(texts))).repartition(3), "text", 2, words, 4)
+    assert found == [(-2, "alpha beta"), (-2, "b\u00e9ta alpha"), (-2, "zeta zeta"), (-1, "beta gamma")]
