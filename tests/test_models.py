@@ -302,3 +302,27 @@ def test_silhouette_copies_stay_few():
     """Rows of tasks grow before copies do: cuts stay few until a block would hold more than LARGEST rows."""
     assert clusters._cuts(600_000, 200, clusters.ASKERS) == clusters.ASKERS
     assert clusters._cuts(10 * clusters.LARGEST, 200, 2) == 10 and clusters._cuts(150, 200, 2) == 1 and clusters._cuts(0, 200, 2) == 1
+
+
+def test_runs_of_kmeans_share_their_passes(spark):
+    """As many jobs as the longest run has steps, and each run ends where it does in a plain loop."""
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(c, 1.0, (60, 3)) for c in (0, 2, 4)])
+    starts = [x[rng.choice(len(x), 3, replace=False)] for _ in range(4)]
+    df = points(spark, x).select("v").repartition(3)
+    group = "moves of centres"
+    spark.sparkContext.setJobGroup(group, group)
+    found = clusters._move(df, starts)
+    spark.sparkContext.setJobGroup("", "")
+    for (centres, summary), start in zip(found, starts, strict=True):
+        own, steps = start.copy(), 0
+        while True:
+            near = ((x[:, None] - own) ** 2).sum(axis=2)
+            new = np.array([x[near.argmin(axis=1) == j].mean(axis=0) for j in range(3)])
+            steps, gap, own = steps + 1, ((new - own) ** 2).sum(axis=1).max(), new
+            if gap <= 1e-8:
+                break
+        assert centres == pytest.approx(own) and summary.numIter == steps
+        assert summary.trainingCost == pytest.approx(near.min(axis=1).sum())
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    assert len(jobs) <= max(s.numIter for _, s in found) + 3
