@@ -326,3 +326,20 @@ def test_runs_of_kmeans_share_their_passes(spark):
         assert summary.trainingCost == pytest.approx(near.min(axis=1).sum())
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
     assert len(jobs) <= max(s.numIter for _, s in found) + 3
+
+
+@pytest.mark.parametrize("n", [2, 40])
+def test_sparse_products(spark, n):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((70, 11)) < 0.2, rng.normal(size=(70, 11)), 0.0)
+    x[:5] = 0.0
+    rows = spark.createDataFrame([(np.flatnonzero(r).tolist(), r[r != 0].tolist(), i) for i, r in enumerate(x)], "indices array<int>, values array<double>, y int")
+    w, s = rng.normal(size=(11, n)), rng.normal(size=(70, n))
+
+    def work(out, block, y):
+        out[:, :11] += block.summed(s[y])
+        out[:, 11:22] += block.summed(s[y], square=True)
+        out[:, 22:] += block.times(w).T @ s[y]
+
+    found = reduction.sum_of_packed(reduction.packed(rows.repartition(3), ["y"], rows=16), 11, work, (n, 22 + n))
+    assert found == pytest.approx(np.hstack([s.T @ x, s.T @ x**2, (x @ w).T @ s]))
