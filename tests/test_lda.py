@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 
 from voxtide.operators import lda, topics
+from voxtide.operators.reduce import packed, sparse_columns, sum_of_packed
 
 WIDTH = 30
 
@@ -65,6 +67,50 @@ def test_alike_topics_take_few_steps():
     assert found.sum(axis=1) == pytest.approx(counts.sum(axis=1) + alpha.sum())
 
 
+def some_words(seed, n=300, wide=80):
+    rng = np.random.default_rng(seed)
+    chance = np.exp(lda.expected_log(rng.gamma(1, 1, (4, 500))))
+    columns = np.array([rng.permutation(500)[:wide] for _ in range(n)])
+    return chance[:, columns].transpose(1, 0, 2).copy(), rng.geometric(0.3, columns.shape).astype(float), np.full(4, 0.25)
+
+
+def test_large_arrays_are_used_again():
+    words = lda._Words(*some_words(1))
+    want, _ = lda.document_shares(words)
+    lda.document_shares(lda._Words(*some_words(2)))  # others in between
+    tracemalloc.start()
+    found, _ = lda.document_shares(words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == want).all()
+    assert most < words.counts.nbytes
+
+
+def test_step_of_better_is_the_step_from_what_fits_better():
+    words = lda._Words(*some_words(3))
+    gamma = words.step(np.ones((300, 4)))
+    other = np.random.default_rng(4).permuted(gamma, axis=1)
+    other[::2] = words.step(words.step(gamma))[::2]
+    better = words.fit(other) > words.fit(gamma)
+    assert 0 < better.sum() < len(better)
+    assert words.step_of_better(gamma, other) == pytest.approx(words.step(np.where(better[:, None], other, gamma)), rel=1e-9)
+
+
+def test_packed_counts_are_narrow(spark):
+    """Counts and columns take few bytes between the passes, and come back as they were."""
+    rows = np.random.default_rng(6).integers(1, 9, (400, WIDTH)).astype(float)
+    rows[7, 3], rows[9, 4] = 300, 70_000
+    for value in (0, 0.5):
+        parts = packed(sparse_columns(vectors(spark, rows[:9] + value, 1), "features", []))
+        found = sum_of_packed(parts, WIDTH, lambda out, block: np.add(out, block.dense().sum(axis=0), out=out), (1, WIDTH))
+        assert (found[0] == (rows[:9] + value).sum(axis=0)).all()
+    parts = packed(sparse_columns(vectors(spark, rows, 1), "features", []))
+    found = sum_of_packed(parts, WIDTH, lambda out, block: np.add(out, block.dense().sum(axis=0), out=out), (1, WIDTH))
+    assert (found[0] == rows.sum(axis=0)).all()
+    small = packed(sparse_columns(vectors(spark, np.minimum(rows, 9), 1), "features", []))
+    assert sum(map(len, small.collect())) < 3 * rows.size
+
+
 @pytest.mark.parametrize("learn_alpha", [False, True])
 def test_fit_is_the_plain_loop(spark, learn_alpha):
     rows, k, passes = counted(), 3, 4
