@@ -78,6 +78,16 @@ def test_odd_tables(spark):
     assert ward.ward_clusters(vectors, "id", 2).select("cluster").distinct().count() == 2
 
 
+def test_partitions_without_rows(spark):
+    """Files are cut into ranges, and some hold no rows."""
+    points = np.random.default_rng(5).normal(size=(12, 2))
+    df = table(spark, points, 1).repartition(6, F.lit(1))
+    assert 0 in df.rdd.mapPartitions(lambda rows: [len(list(rows))]).collect()
+    model = ward.fit_ward(df, "v")
+    assert np.allclose([h for _, _, h, _ in model.merges], plain(points)[0])
+    assert groups(model.assign(df, "id", "v", 1)) == {0: set(range(12))}
+
+
 @pytest.mark.parametrize("block_rows", [16_384, 7])
 def test_silhouette_meets_few_clusters(spark, block_rows):
     """The values are those over all pairs, and rows ask for few of many clusters."""

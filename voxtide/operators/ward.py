@@ -122,7 +122,8 @@ def summarise(points: DataFrame, vector: str, most: int = LEAVES) -> pd.DataFram
             if len(batch):
                 part = int(batch["part"].iloc[0])
                 leaves.add(np.ones(len(batch)), np.vstack(batch["v"].to_numpy()), np.zeros(len(batch)))
-        yield frame(leaves, part)
+        if len(leaves.n):  # an empty table would have no lists to tell its types by
+            yield frame(leaves, part)
 
     def of_leaves(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         leaves = Leaves(most)
