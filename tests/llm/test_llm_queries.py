@@ -1,5 +1,8 @@
 """The registered queries against SQL, and the pipeline stage by stage."""
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 import corpus_pipeline
 from check import compare, database
-from voxtide.llm import queries
+from voxtide.llm import nbest, queries
 from voxtide.plans.registry import Query
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -44,6 +47,16 @@ def test_scans_do_not_shuffle(spark, data, name):
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
 
 
+def test_n_best_returns_its_pieces(spark, tmp_path):
+    """The pieces of the best segmentation are part of the result and give the text again."""
+    docs = spark.createDataFrame([(1, "a plain sentence, twice: a plain sentence"), (2, ""), (3, None), (4, "ü 漢字 \U0001f600")], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.QUERIES["op10_nbest"](spark, str(tmp_path))
+    assert all(len(r["ids"]) == r["n_pieces"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["crc32s"][0] for r in rows.collect())
+    back = nbest.decode_ids(rows, public_tokenizers.path("piece_bpe_32k.model"))
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+
 def test_all_are_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "classifier", "near_dedup", "decontamination", "segmentation"]
