@@ -53,6 +53,47 @@ def test_same_as_all_pairs(spark, seed):
     assert merges[-1]["size"] == 40 and all(r["left"] < r["right"] < 40 + r["step"] for r in merges)
 
 
+@pytest.mark.parametrize("kind", ["scattered", "grid", "twice", "outliers"])
+def test_rounds_give_the_whole_tree(spark, kind):
+    """More different rows than the driver merges: every one of them is a leaf, and the merges are those of comparing all pairs."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(60, 3))
+    if kind == "grid":
+        points = np.stack(np.meshgrid(*[np.arange(4.0)] * 3), -1).reshape(-1, 3) * 0.1 + 5
+    elif kind == "twice":
+        points = np.concatenate([points, points[:20]])
+    elif kind == "outliers":
+        points[:4] = [[90, 0, 0], [95, 0, 0], [-90, 0, 0], [-97, 0, 0]]
+    df = table(spark, points)
+    tree = ward.fit_ward(df, "v", by_driver=7)
+    n = len(np.unique(points, axis=0))
+    merges = tree.merge_table(df).orderBy("step").collect()
+    assert len(merges) == n - 1 and [r["step"] for r in merges] == list(range(n - 1)) and merges[-1]["size"] == len(points)
+    assert sorted(x for r in merges for x in (r["left"], r["right"])) == list(range(2 * n - 2))
+    assert all(r["left"] < r["right"] < n + r["step"] for r in merges)
+    total = ((points - points.mean(axis=0)) ** 2).sum()
+    rows, variance = tree.variance()
+    assert rows == len(points) and variance == pytest.approx(total)
+    heights, states = plain(points)
+    if kind != "grid":  # with equal distances there are several right trees
+        assert np.allclose([r["height"] for r in merges], heights[len(points) - n :])
+    for k in (1, 3, 5):
+        found = groups(tree.assign(df, "id", "v", k))
+        assert sorted(found) == list(range(k)) and sum(map(len, found.values())) == len(points) and len(found[0]) == max(map(len, found.values()))
+        if kind != "grid":
+            assert {frozenset(g) for g in found.values()} == states[len(points) - 1 - k]
+
+
+def test_merges_of_all_rows(spark, tmp_path):
+    """More different vectors than the driver merges; each takes part in the query's merges."""
+    from voxtide.plans.catalog import QUERIES
+
+    points = np.random.default_rng(7).normal(size=(ward.LEAVES + 300, 2))
+    spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    merges = QUERIES["ward_merges"].run(spark, str(tmp_path))
+    assert merges.count() == len(points) - 1 and merges.agg(F.max("size")).first()[0] == len(points)
+
+
 def test_bounded_leaves(spark):
     """Far more rows than leaves: three groups stay apart, every row has a cluster, and no variance is lost."""
     rng = np.random.default_rng(2)

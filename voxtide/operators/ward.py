@@ -1,32 +1,44 @@
 """Hierarchical clustering with Ward's linkage, bottom-up.
 
-Rows are summarised before they are merged: a leaf holds the number of its rows, their mean and
-their summed squared distance from it. Every task keeps at most LEAVES leaves; when there would be
-more, neighbouring leaves are merged in pairs and the radius within which a row joins a leaf grows to
-theirs, so that no fewer than half stay. The leaves of tasks are merged in groups, again and again,
-until at most LEAVES are left. On these the driver runs the nearest-neighbour chain, which gives the
-same merges as comparing all pairs after every merge.
-
-While there are at most LEAVES different rows, each is its own leaf and the result is Ward's exactly.
-Rows beyond that join the tree at the height of their leaf. The variance is never lost: half the sum of
-the squared heights and the variance inside leaves add up to the variance of the table.
+Every different row is a leaf that counts its rows. Two clusters that are each other's nearest one are
+merged whatever else is merged, since a merge never brings clusters nearer to a third one; so all such
+pairs merge in one round. A round looks for the nearest cluster only of clusters that are new or whose
+nearest one is gone; cuts of these meet cuts of all clusters in tasks. When at most DRIVER clusters are
+left, the driver ends the tree with the nearest-neighbour chain. Both give the merges that comparing all
+pairs after every merge gives, and every leaf takes part. The work grows with the square of the leaves.
+
+A caller may bound the leaves instead (`most`). Rows are then summarised before they are merged: a leaf
+holds the number of its rows, their mean and their summed squared distance from it. Every task keeps at
+most so many leaves; when there would be more, neighbouring leaves are merged in pairs and the radius
+within which a row joins a leaf grows to theirs, so that no fewer than half stay. The leaves of tasks are
+merged in groups, again and again, and the chain runs on the last ones. The variance is never lost: half
+the sum of the squared heights and the variance inside leaves add up to the variance of the table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxtide.operators.numbering import number_rows
 from voxtide.session import materialize
 
-LEAVES = 2_000
+LEAVES = 2_000  # where a caller bounds them
+DRIVER = 8_000  # clusters the driver merges
+CUT = 65_536  # clusters of a side that meet in one task
+CELLS = 1 << 22  # distances held at once
+PAIRS = 65_536  # close pairs measured at once
+ROUND = 40  # a cluster's number: the round that made it, and its first leaf in the lower bits
 FAN_IN = 16  # tables of leaves merged in one task
 STEP = 256  # rows compared with all leaves at once
 LEAF_SCHEMA = "part int, n double, centre array<double>, spread double"
@@ -144,22 +156,34 @@ def chain(n: np.ndarray, centre: np.ndarray) -> list[tuple[int, int, float, floa
     leaves = len(n)
     size, middle = n.astype(float).copy(), centre.astype(float).copy()
     active = np.ones(leaves, bool)
+    square = (middle * middle).sum(axis=1)
+    rounding = 8 * (middle.shape[1] + 8) * np.finfo(float).eps
     found, path = [], []  # merges as pairs of leaves that stand for their clusters
+
+    def gaps(at: int, some: np.ndarray) -> np.ndarray:
+        return 2 * size[some] * size[at] / (size[some] + size[at]) * ((middle[some] - middle[at]) ** 2).sum(axis=1)
+
     while active.sum() > 1:
         if not path:
             path.append(int(np.flatnonzero(active)[0]))
         at = path[-1]
-        gap = 2 * size * size[at] / (size + size[at]) * ((middle - middle[at]) ** 2).sum(axis=1)
+        # products tell which ones can be nearest within their rounding; these are measured by differences
+        gap = 2 * size * size[at] / (size + size[at]) * (square + square[at] - 2 * (middle @ middle[at]))
         gap[~active] = np.inf
         gap[at] = np.inf
-        best = int(gap.argmin())
-        if len(path) > 1 and gap[path[-2]] <= gap[best]:
+        near = np.flatnonzero(gap <= gap.min() + rounding * size[at] * (square[at] + square.max()))
+        if not len(near):  # numbers that are not finite
+            near = np.flatnonzero(active & (np.arange(leaves) != at))
+        true = gaps(at, near)
+        best, least = int(near[true.argmin()]), true.min()
+        if len(path) > 1 and gaps(at, np.asarray(path[-2:-1]))[0] <= least:
             best = path[-2]
         if len(path) > 1 and best == path[-2]:
             path = path[:-2]
             a, b = min(at, best), max(at, best)
-            found.append((float(np.sqrt(max(gap[best], 0.0))), a, b))
+            found.append((float(np.sqrt(gaps(a, np.asarray([b]))[0])), a, b))
             middle[a] = (size[a] * middle[a] + size[b] * middle[b]) / (size[a] + size[b])
+            square[a] = (middle[a] * middle[a]).sum()
             size[a] += size[b]
             active[b] = False
         else:
@@ -187,6 +211,156 @@ def chain(n: np.ndarray, centre: np.ndarray) -> list[tuple[int, int, float, floa
     return out
 
 
+def nearest(x: np.ndarray, n: np.ndarray, ids: np.ndarray, y: np.ndarray, m: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row of x, Ward's distance, lower and higher number) of the nearest other cluster; of equal ones the pair of lowest numbers.
+
+    Products tell which ones can be nearest within their rounding; these are measured by differences,
+    which give the same distance from either side.
+    """
+    out = []
+    square_x, square_y = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    error = (x.shape[1] + 8) * np.finfo(float).eps * (square_x + square_y.max()) * 4 * n
+    order = np.argsort(others)
+    place = order[np.minimum(np.searchsorted(others, ids, sorter=order), len(others) - 1)]
+    step = max(1, min(STEP, CELLS // len(y)))
+    for at in range(0, len(x), step):
+        own = slice(at, at + step)
+        gap = x[own] @ y.T
+        gap *= -2
+        gap += square_x[own, None]
+        gap += square_y
+        gap *= 2 * n[own, None] * m / (n[own, None] + m)
+        self_ = np.flatnonzero(others[place[own]] == ids[own])
+        gap[self_, place[own][self_]] = np.inf
+        row, col = np.nonzero((gap <= (gap.min(axis=1) + error[own])[:, None]) & np.isfinite(gap))
+        row += at
+        for some in range(0, len(row), PAIRS):
+            i, j = row[some : some + PAIRS], col[some : some + PAIRS]
+            true = 2 * n[i] * m[j] / (n[i] + m[j]) * ((x[i] - y[j]) ** 2).sum(axis=1)
+            low, high = np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j])
+            best = np.lexsort((high, low, true, i))
+            best = best[np.unique(i[best], return_index=True)[1]]
+            out.append((i[best], true[best], low[best], high[best]))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, int), np.zeros(0), np.zeros(0, int), np.zeros(0, int))
+
+
+LINK = "id bigint, link struct<gap:double,low:bigint,high:bigint>"
+
+
+def _links(asked: DataFrame, clusters: DataFrame, n_asked: int, n_clusters: int) -> DataFrame:
+    """(id, link) of the nearest clusters found in each cut of `clusters`."""
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    left = max(math.ceil(n_asked / CUT), round(math.sqrt(2 * cores * n_asked / n_clusters)), 1)
+    right = max(math.ceil(n_clusters / CUT), math.ceil(2 * cores / left))
+    cut, own = F.xxhash64("id"), [F.col(c).alias(c) for c in ("id", "n", "c")]  # columns of either side, though of one table
+    q = asked.select(*own, F.pmod(cut, F.lit(left)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("j"))
+    p = clusters.select(*own, F.pmod(cut, F.lit(right)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("i"))
+
+    def sides(table: pa.Table) -> tuple[np.ndarray, ...]:
+        vectors = table["c"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        return vectors, table["n"].to_numpy(), table["id"].to_numpy()
+
+    def meet(q: pa.Table, p: pa.Table) -> pa.Table:
+        found = (np.zeros(0, int), np.zeros(0), np.zeros(0, int), np.zeros(0, int))
+        if q.num_rows and p.num_rows:
+            found = nearest(*sides(q), *sides(p))
+        ids = q["id"].to_numpy()[found[0]] if q.num_rows else found[0]
+        link = pa.StructArray.from_arrays([pa.array(found[1]), pa.array(found[2], pa.int64()), pa.array(found[3], pa.int64())], ["gap", "low", "high"])
+        return pa.table({"id": pa.array(ids, pa.int64()), "link": link})
+
+    return q.groupBy("i", "j").cogroup(p.groupBy("i", "j")).applyInArrow(meet, LINK)
+
+
+def merge_rounds(leaves: DataFrame, n_leaves: int, most: int = DRIVER) -> tuple[list[DataFrame], DataFrame]:
+    """The merges of every round (id, low, high, n, h), and the clusters (id, n, c, h) left, at most `most`."""
+    state, count, links, merges = leaves.select("id", "n", "c", F.lit(0.0).alias("h")), n_leaves, None, []
+    while count > most:
+        asked = state if links is None else state.join(links, "id", "left_anti")
+        new = materialize(_links(asked, state, asked.count(), count), "nearest")
+        known = new if links is None else new.unionByName(links)
+        back = known.select((F.col("link.low") + F.col("link.high") - F.col("id")).alias("id"), "link")
+        links = materialize(known.unionByName(back).groupBy("id").agg(F.min("link").alias("link")), "links")
+        # the pair of the least distance is always one whose sides name each other
+        pairs = links.groupBy("link").count().where("count = 2").select("link.*")
+        first = F.lit(2**ROUND - 1)
+        name = F.lit((len(merges) + 1) << ROUND) + F.least(F.col("low").bitwiseAND(first), F.col("high").bitwiseAND(first))
+        a, b = (state.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "c", "h"))) for end in ("low", "high"))
+        n = F.col("n_low") + F.col("n_high")
+        middle = F.zip_with("c_low", "c_high", lambda x, y: (F.col("n_low") * x + F.col("n_high") * y) / n)
+        joined = pairs.join(a, "low").join(b, "high").select(
+            name.alias("id"), "low", "high", n.alias("n"), middle.alias("c"),
+            F.greatest(F.sqrt("gap"), "h_low", "h_high").alias("h"),  # rounding may put a merge below those it is made of
+        )
+        joined = materialize(joined, "merges")
+        merged = joined.count()
+        if not merged:
+            raise ValueError("too many vectors hold numbers that are not finite")
+        gone = joined.select(F.explode(F.array("low", "high")).alias("gone"))
+        state = materialize(state.join(gone, F.col("id") == F.col("gone"), "left_anti").unionByName(joined.select("id", "n", "c", "h")), "clusters")
+        for end in ("low", "high"):
+            links = links.join(gone, F.col(f"link.{end}") == F.col("gone"), "left_anti")
+        merges.append(joined.drop("c"))
+        count -= merged
+    return merges, state
+
+
+@dataclass(frozen=True)
+class WardTree:
+    """Leaves (id, n, c) and numbered merges (step, id, low, high, n, h), lowest first, as tables."""
+
+    leaves: DataFrame
+    n_leaves: int
+    merges: DataFrame
+
+    @staticmethod
+    def grow(leaves: DataFrame, n_leaves: int, most: int = DRIVER) -> WardTree:
+        merges, rest = merge_rounds(leaves, n_leaves, most)
+        left = rest.toPandas().sort_values("id", ignore_index=True)
+        n, centre = left["n"].to_numpy(), np.vstack(left["c"].to_numpy())
+        name, height = left["id"].tolist(), left["h"].tolist()
+        rows = []
+        for step, (a, b, h, size) in enumerate(chain(n, centre)):
+            name.append((len(merges) + 1 << ROUND) + step)
+            height.append(max(h, height[a], height[b]))
+            rows.append((name[-1], *sorted((name[a], name[b])), float(size), height[-1]))
+        last = leaves.sparkSession.createDataFrame(rows, "id bigint, low bigint, high bigint, n double, h double")
+        every = reduce(DataFrame.unionByName, [*merges, last])
+        return WardTree(leaves, n_leaves, materialize(number_rows(every, ["h", "id"], 0, "step"), "tree"))
+
+    def variance(self) -> tuple[int, float]:
+        """Rows, and their summed squared distance from their mean as the merges hold it."""
+        total = self.merges.agg(F.max("n"), F.sum(F.col("h") * F.col("h") / 2)).first()
+        return int(total[0]), total[1]
+
+    def merge_table(self, points: DataFrame) -> DataFrame:
+        """(step, left, right, height, size): leaves are numbered from 0, merges go on from there."""
+        made = self.merges.select(F.col("id").alias("made"), (F.col("step") + self.n_leaves).alias("number"))
+        ends = self.merges
+        for end in ("low", "high"):
+            ends = ends.join(made.withColumnsRenamed({"made": end, "number": f"number_{end}"}), end, "left")
+        a, b = (F.coalesce(f"number_{end}", end) for end in ("low", "high"))  # a leaf is named by its number
+        return ends.select(
+            F.col("step").cast("int").alias("step"), F.least(a, b).cast("int").alias("left"), F.greatest(a, b).cast("int").alias("right"),
+            F.col("h").alias("height"), F.col("n").cast("bigint").alias("size"),
+        )
+
+    def assign(self, points: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+        """(key, cluster) of the rows fitted on when k clusters are left. Rows without a vector are left out."""
+        kept = self.merges.where(F.col("step") < self.n_leaves - k)
+        up = materialize(kept.select(F.explode(F.array("low", "high")).alias("node"), F.col("id").alias("top")), "parents")
+        while True:  # a way up is twice as long after each round
+            on = up.select(F.col("node").alias("top"), F.col("top").alias("higher"))
+            up = materialize(up.join(on, "top", "left").select("node", F.coalesce("higher", "top").alias("top"), F.col("higher").isNotNull().alias("went")), "parents")
+            if not up.where("went").limit(1).count():
+                break
+        placed = self.leaves.join(up.select(F.col("node").alias("id"), "top"), "id", "left").select("id", "n", "c", F.coalesce("top", "id").alias("top"))
+        sizes = placed.groupBy("top").agg(F.sum("n").alias("n"), F.min("id").alias("first")).orderBy(F.desc("n"), "first").collect()  # k rows
+        number = points.sparkSession.createDataFrame([(r["top"], i) for i, r in enumerate(sizes)], "top bigint, cluster int")
+        labels = placed.join(F.broadcast(number), "top").select(F.col("c").alias("v"), "cluster")
+        rows = points.select(key, F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+        return rows.join(labels, "v").select(key, "cluster")
+
+
 @dataclass(frozen=True)
 class WardModel:
     """Leaves, their merges in order of height, and the variance inside the leaves."""
@@ -196,6 +370,10 @@ class WardModel:
     merges: list[tuple[int, int, float, float]]
     spread: float
 
+    def variance(self) -> tuple[int, float]:
+        """Rows, and their summed squared distance from their mean as leaves and merges hold it."""
+        return int(self.n.sum()), self.spread + sum(h * h / 2 for _, _, h, _ in self.merges)
+
     def cut(self, k: int) -> np.ndarray:
         """Cluster of each leaf when k are left; the largest cluster is 0, ties by the first leaf."""
         leaves = len(self.n)
@@ -235,17 +413,33 @@ class WardModel:
         return points.sparkSession.createDataFrame(rows, "step int, left int, right int, height double, size bigint")
 
 
-def fit_ward(points: DataFrame, vector: str, most: int = LEAVES) -> WardModel:
-    """Fit on an array column; all rows need vectors of one length."""
-    leaves = summarise(points, vector, most)
-    if not len(leaves):
+def fit_ward(points: DataFrame, vector: str, most: int | None = None, by_driver: int = DRIVER) -> WardModel | WardTree:
+    """Fit on an array column; all rows need vectors of one length.
+
+    Equal rows are one leaf. The tree is that of all leaves, unless `most` bounds them; up to `by_driver`
+    leaves are merged by the driver alone.
+    """
+    if most is not None:
+        leaves = summarise(points, vector, most)
+        if not len(leaves):
+            return WardModel(np.zeros(0), np.zeros((0, 0)), [], 0.0)
+        centre, n = np.vstack(leaves["centre"].to_numpy()), leaves["n"].to_numpy()
+        order = np.lexsort(centre.T[::-1])  # whatever order the tasks end in
+        return WardModel(n[order], centre[order], chain(n[order], centre[order]), float(leaves["spread"].sum()))
+    rows = points.select(F.col(vector).cast("array<double>").alias("c")).where("c is not null")
+    rows = materialize(rows.groupBy("c").agg(F.count("*").cast("double").alias("n")), "leaves")
+    count = rows.count()
+    if count > by_driver:
+        return WardTree.grow(materialize(number_rows(rows, ["c"], 0), "numbered leaves"), count, by_driver)
+    if not count:
         return WardModel(np.zeros(0), np.zeros((0, 0)), [], 0.0)
-    centre, n = np.vstack(leaves["centre"].to_numpy()), leaves["n"].to_numpy()
-    order = np.lexsort(centre.T[::-1])  # whatever order the tasks end in
-    return WardModel(n[order], centre[order], chain(n[order], centre[order]), float(leaves["spread"].sum()))
+    leaves = rows.toPandas()
+    centre, n = np.vstack(leaves["c"].to_numpy()), leaves["n"].to_numpy()
+    order = np.lexsort(centre.T[::-1])
+    return WardModel(n[order], centre[order], chain(n[order], centre[order]), 0.0)
 
 
-def ward_clusters(df: DataFrame, key: str, k: int = 5, features: str = "features", most: int = LEAVES) -> DataFrame:
+def ward_clusters(df: DataFrame, key: str, k: int = 5, features: str = "features", most: int | None = None) -> DataFrame:
     """(key, cluster) of rows with a vector column."""
     points = df.select(key, vector_to_array(features).alias("_vector"))
     return fit_ward(points, "_vector", most).assign(points, key, "_vector", k)
