@@ -343,3 +343,28 @@ def test_sparse_products(spark, n):
 
     found = reduction.sum_of_packed(reduction.packed(rows.repartition(3), ["y"], rows=16), 11, work, (n, 22 + n))
     assert found == pytest.approx(np.hstack([s.T @ x, s.T @ x**2, (x @ w).T @ s]))
+
+
+def test_forests_keep_the_nodes_of_rows(spark, monkeypatch):
+    """Rows remember their node in every tree between levels; the trees are those of walking down again."""
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.linalg import Vectors
+
+    from voxtide.operators import search
+
+    rng = np.random.default_rng(9)
+    data = [(i, "ab"[int(x[0] + x[3] > 1)], Vectors.dense(x)) for i, x in enumerate(rng.uniform(size=(120, 6)).round(1))]
+    df = spark.createDataFrame(data, ["id", "kind", "features"]).cache()
+    indexed = StringIndexer(inputCol="kind", outputCol="label").fit(df).transform(df).withColumn("weight", F.lit(1.0))
+    estimator = classify.make_estimator("random_forest", 120, 2, n_estimators=5)
+    assert estimator.getCacheNodeIds()
+    with_, without = (e.fit(indexed).toDebugString.split("\n", 1)[1] for e in (estimator, estimator.copy().setCacheNodeIds(False)))
+    assert with_ == without
+    made, plain = [], search.RandomForestClassifier
+    monkeypatch.setattr(search, "RandomForestClassifier", lambda **point: made.append(point) or plain(**point))
+    rows = search.fold_rows(df, "kind", "id", ["a", "b"], 2)  # written once: forests depend on how rows lie
+    settings = [("random_forest", p) for p in search.grid_points({"n_estimators": [2, 3], "max_depth": [2, None]})]
+    found = search.forest_trials(rows, 6, 2, 2, settings)
+    assert [p["cacheNodeIds"] for p in made] == [True, True]
+    monkeypatch.setattr(search, "RandomForestClassifier", lambda **point: plain(**{**point, "cacheNodeIds": False}))
+    assert search.forest_trials(rows, 6, 2, 2, settings) == found
